@@ -30,14 +30,16 @@ def exact_dedup(docs: DataFrame, *, prefix_chars: int = 64, digest_all: bool = F
     if digest_all:
         rows = scratch.save(rows.select("doc_id", "n_chars", "length", "prefix", digest.alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "rows")
 
-    lengths = rows.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length", F.lit(True).alias("long"))
-    prefixes = rows.join(lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("length", "prefix", F.lit(True).alias("shared"))
+    # Equal texts are counted in every task before anything moves, so a hot length or group is a few rows here.
+    pairs = rows.groupBy("length", "prefix").agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("length").agg(F.sum("n").alias("all")).where("all > 1").select("length", F.lit(True).alias("long"))
+    prefixes = pairs.join(lengths, "length").select("length", "prefix", "long", (F.col("n") > 1).alias("shared"))
     if not digest_all:
         prefixes = scratch.save(prefixes, "prefixes")
         rows = rows.join(prefixes, ["length", "prefix"], "left").select("doc_id", "n_chars", "length", "prefix", F.when(F.col("shared"), digest).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
         rows = scratch.save(rows, "rows")
 
-    rows = rows.join(lengths, "length", "left").join(prefixes, ["length", "prefix"], "left")
+    rows = rows.join(prefixes, ["length", "prefix"], "left")
     best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("low"), F.bitwise_not("row").alias("row")))
     groups = rows.where("shared").groupBy("length", "prefix", "text_sha256").agg(F.count("*").alias("size"), best.alias("best"))
     found = rows.join(groups, ["length", "prefix", "text_sha256"], "left")
