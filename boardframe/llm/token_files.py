@@ -38,38 +38,38 @@ def width(vocab_size: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Eight ids fill ``bits`` whole bytes; each byte gathers the ids that reach into it."""
-    groups = np.zeros((-(-len(ids) // 8), 8), np.uint64)
-    groups.reshape(-1)[: len(ids)] = ids
-    out = np.zeros((len(groups), bits), np.uint8)
+    padded = np.zeros(-(-len(ids) // 8) * 8, np.uint32)
+    padded[: len(ids)] = ids
+    groups = np.ascontiguousarray(padded.reshape(-1, 8).T)
+    out = np.zeros((bits, groups.shape[1]), np.uint8)
     for k in range(bits):
         for i in range(8 * k // bits, min(7, (8 * k + 7) // bits) + 1):
             shift = i * bits - 8 * k
-            part = groups[:, i] << np.uint64(shift) if shift >= 0 else groups[:, i] >> np.uint64(-shift)
-            out[:, k] |= part.astype(np.uint8)
-    return out.tobytes()[: -(-len(ids) * bits // 8)]
+            out[k] |= (groups[i] << np.uint32(shift) if shift >= 0 else groups[i] >> np.uint32(-shift)).astype(np.uint8)
+    return out.T.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(data: bytes | memoryview, bits: int, count: int) -> np.ndarray:
-    groups = np.zeros((-(-count // 8), bits), np.uint8)
-    groups.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
-    out = np.zeros((len(groups), 8), np.uint64)
+    padded = np.zeros(-(-count // 8) * bits, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    groups = np.ascontiguousarray(padded.reshape(-1, bits).T).astype(np.uint32)
+    out = np.zeros((8, groups.shape[1]), np.uint32)
     for i in range(8):
         for k in range(i * bits // 8, (i * bits + bits - 1) // 8 + 1):
             shift = 8 * k - i * bits
-            byte = groups[:, k].astype(np.uint64)
-            out[:, i] |= byte << np.uint64(shift) if shift >= 0 else byte >> np.uint64(-shift)
-    return (out.reshape(-1)[:count] & np.uint64((1 << bits) - 1)).astype("<u4")
+            out[i] |= groups[k] << np.uint32(shift) if shift >= 0 else groups[k] >> np.uint32(-shift)
+    return (out.T.reshape(-1)[:count] & np.uint32((1 << bits) - 1)).astype("<u4")
 
 
 def to_file(doc_ids: list[int | None], ids: list[bytes], bits: int) -> bytes:
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<u8")
     flat = np.frombuffer(b"".join(ids), "<u4")
-    blocks = [pack(flat[i : i + BLOCK], bits) for i in range(0, len(flat), BLOCK)]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype("<u8")
+    packed = pack(flat, bits)  # BLOCK is a multiple of 8, so every block begins at a byte
+    offsets = np.minimum(np.arange(-(-len(flat) // BLOCK) + 1) * (BLOCK * bits // 8), len(packed)).astype("<u8")
     known = np.array([0 if x is None else x for x in doc_ids], "<i8")
     nulls = np.array([x is None for x in doc_ids], np.uint8)
     head = HEAD.pack(MAGIC, VERSION, bits, BLOCK, len(doc_ids), len(flat))
-    return b"".join([head, known.tobytes(), nulls.tobytes(), starts.tobytes(), offsets.tobytes(), *blocks])
+    return b"".join([head, known.tobytes(), nulls.tobytes(), starts.tobytes(), offsets.tobytes(), packed])
 
 
 class TokenFile:
@@ -93,8 +93,8 @@ class TokenFile:
 
     def ids(self, a: int, b: int) -> np.ndarray:
         first, last = a // self.block, -(-b // self.block)
-        parts = [unpack(self.data[int(self.offsets[k]) : int(self.offsets[k + 1])], self.bits, min(self.block, self.count - k * self.block)) for k in range(first, last)]
-        return np.concatenate(parts or [np.zeros(0, "<u4")])[a - first * self.block : b - first * self.block]
+        held = unpack(self.data[int(self.offsets[first]) : int(self.offsets[last])], self.bits, min(last * self.block, self.count) - first * self.block)
+        return held[a - first * self.block : b - first * self.block]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encode([text.as_py()])[0]
+                found = encode(text.as_py())
                 keys.append(key)
                 ids.append(found)
                 size += len(found)

@@ -10,8 +10,8 @@ import os
 import unicodedata
 from array import array
 
-#: Words that a worker remembers at most, before it starts anew.
-MEMORY = 800_000
+#: Words that a worker remembers before it drops those not asked for of late.
+MEMORY = 500_000
 #: Marks that end a word and form one piece of their own after letters.
 MARKS = ".,;:!?|%$&*#"
 
@@ -20,48 +20,58 @@ PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SHOWN = {b: chr(b) for b in PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)} - {*PRINTED}))}
 
 
-class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers, ``end_id`` last; null is empty."""
+class Words(dict):
+    """Ids of white-space separated words. When full, it keeps what was asked for since it was half as full."""
 
-    def __init__(self, vocabulary: str, end_id: int):
+    def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(vocabulary), array("I", [end_id]).tobytes()
-        self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMORY:
+            self.before = dict(self)
+            self.clear()
+            self.parts.clear()
+        found = self[word] = self.before.get(word) or self._encode(word.decode())
+        return found
+
+    def _encode(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._part(word.lower() if word.isascii() else word)
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha():
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return self._part(stem.lower() if stem.isascii() else stem) + self._part(word[len(stem) :])
+
     def _part(self, part: str) -> bytes:
         """Plain letters go to the merges at once; all else goes through the vocabulary's own normalising and splitting."""
+        if part in self.parts:
+            return self.parts[part]
+        plain = ""
         if part.isalpha() and max(part) < "\u0250":
             plain = part if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            if plain.isalpha():
-                shown = plain if plain.isascii() else "".join(map(SHOWN.__getitem__, plain.encode()))
-                return array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
-        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > MEMORY:  # words are then all that the text has
-            self.words, self.parts = {}, {}
-        for word in words:
-            text = word.decode()
-            stem = text.rstrip(MARKS)
-            found = b""
-            for part in (stem.lower() if stem.isascii() else stem, text[len(stem) :]) if stem.isalpha() else (text,):
-                if part and part not in self.parts:
-                    self.parts[part] = self._part(part)
-                found += self.parts[part] if part else b""
-            self.words[word] = found
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words, known = (text or "").encode().split(), self.words
-            if new := {word for word in words if word not in known}:
-                self._learn(new if len(known) + len(new) <= MEMORY else set(words))
-            out.append(b"".join(map(self.words.__getitem__, words)) + self.end)
-        return out
+        if plain.isalpha():
+            shown = plain if plain.isascii() else "".join(map(SHOWN.__getitem__, plain.encode()))
+            found = array("I", [token.id for token in self.tokenize(shown)]).tobytes()
+        else:
+            found = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        self.parts[part] = found
+        return found
+
+
+class Encoder:
+    """``encode(text)`` gives its ids as little-endian unsigned 32-bit integers, ``end_id`` last; null is empty."""
+
+    def __init__(self, vocabulary: str, end_id: int):
+        self.words, self.end = Words(vocabulary), array("I", [end_id]).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.words.__getitem__, (text or "").encode().split())) + self.end
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
