@@ -36,17 +36,22 @@ class Packer:
     """``add`` documents, ``rows()`` gives what is packed, ``rest()`` what is left as pieces below the smallest tier's size."""
 
     def __init__(self, tiers: tuple[int, ...]):
-        self.tiers, self.queues, self.held, self.seq = tiers, [deque() for _ in tiers], 0, 0
+        self.tiers, self.queues, self.sums, self.seq = tiers, [deque() for _ in tiers], [0] * len(tiers), 0
         self.out: list[tuple] = []
 
+    @property
+    def held(self) -> int:
+        return sum(self.sums)
+
     def _route(self, piece: Piece) -> None:
         size = len(piece[3]) // 4
-        self.queues[bisect_left(self.tiers, size)].append(piece)
-        self.held += size
+        tier = bisect_left(self.tiers, size)
+        self.queues[tier].append(piece)
+        self.sums[tier] += size
 
     def _take(self, tier: int) -> Piece:
         piece = self.queues[tier].popleft()
-        self.held -= len(piece[3]) // 4
+        self.sums[tier] -= len(piece[3]) // 4
         return piece
 
     def add(self, doc: int, ids: bytes) -> None:
@@ -79,14 +84,11 @@ class Packer:
             gap -= len(piece[3]) // 4
         self._emit(pieces, window)
 
-    def _sum(self, tier: int) -> int:
-        return sum(len(x[3]) // 4 for q in self.queues[: tier + 1] for x in q)
-
     def pack(self, keep: int) -> None:
         """Down to about ``keep`` ids: a window of each tier that has a piece, from the largest down, again and again."""
-        while self.held > keep:
+        while self.held > max(keep, self.tiers[-1]):
             for tier in range(len(self.tiers) - 1, -1, -1):
-                if self.queues[tier] and self.held > keep and (self.held > len(self.tiers) * self.tiers[-1] * 4 or self._sum(tier) >= self.tiers[tier]):
+                if self.queues[tier] and sum(self.sums[: tier + 1]) >= self.tiers[tier]:
                     self._fill(tier)
 
     def rows(self) -> list[tuple]:
@@ -129,7 +131,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, end_id: int, tiers: tupl
         part, encode, packer = TaskContext.get().partitionId(), encoder(vocabulary, end_id).encode, Packer(tiers)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, encode([text.as_py()])[0])
+                packer.add(doc, encode(text.as_py()))
                 if packer.held > HELD:
                     packer.pack(HELD // 2)
             if rows := packer.rows():
