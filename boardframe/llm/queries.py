@@ -66,8 +66,47 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), _vocabulary(), end_id=END_ID)
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good and not toxic. As many documents are drawn as fit the target better."""
+    from boardframe.llm.importance import resample
+
+    good = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return resample(docs.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), scale=IMPORTANCE_SCALE)
+
+
+#: N-grams that a document's mean log-weight counts as.
+IMPORTANCE_SCALE = 200.0
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boardframe.llm.language import identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = train(docs.where(third != 1).select("text", "lang"))
+    found = identify(docs, model)
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boardframe.llm.decontaminate import decontaminate
+
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boardframe.llm.line_dedup import line_dedup
+
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op2_language_mixture": op2_language_mixture,
+    "op3_decontamination": op3_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
