@@ -8,6 +8,7 @@ standing for the same value, the windows of one alignment agree, and a question
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,55 +26,59 @@ FILTER_BITS = 22
 UNITS = frozenset("mm cm m km mg g kg t ml l s ms min h hz khz mhz kb mb gb tb v w kw inch inches foot feet yard yards mile miles ounce ounces pound pounds second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degrees".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{1,3})?")
 MARKS = "\"'`.,;:!?()[]{}<>*_#%&$|~"
+ENDS = ".!?:|"
+#: Words that a worker remembers at most.
 WORDS = 600_000
 
 
 def canonical(word: str, opens: bool) -> str:
     """The template of a word; ``opens`` if it begins a sentence, where a capital letter tells nothing."""
-    bare = word.strip(MARKS)
-    if NUMBER.fullmatch(bare.lower()):
-        return "<num>"
-    if bare.lower() in UNITS:
+    bare = word if word.isalpha() else word.strip(MARKS)
+    low = bare.lower()
+    if low in UNITS:
         return "<unit>"
-    if not opens and bare[:1].isupper():
-        return "<name>"
-    return bare.lower()
+    if not low.isalpha() and NUMBER.fullmatch(low):
+        return "<num>"
+    return "<name>" if not opens and bare[:1].isupper() else low
+
 
+class Templates(dict):
+    """Words seen so far and their places in arrays: hashes of their templates at a sentence's start and elsewhere, flags."""
 
-class Templates:
-    """Words seen so far: hashes of their templates at a sentence's start and elsewhere, and whether they end one."""
+    NAME = xxhash.xxh3_64_intdigest(b"<name>")
 
     def __init__(self):
-        self.clear()
+        self.reset()
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, 2), np.uint64)
-        self.slots = np.zeros((1 << 12, 2), bool)
-        self.ends = np.zeros(1 << 12, bool)
-
-    def _add(self, word: str) -> None:
-        i = len(self.place)
-        if i == len(self.ends):
-            self.table, self.slots, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.slots, self.ends))
-        for k in (0, 1):
-            found = canonical(word, k == 1)
-            self.table[i, k], self.slots[i, k] = xxhash.xxh3_64_intdigest(found.encode()), found[:1] == "<" and found[-1:] == ">"
-        self.ends[i] = word[-1] in ".!?:|" or not any(map(str.isalnum, word))
-        self.place[word] = i
+    def reset(self) -> None:
+        self.clear()
+        self.opening, self.inner, self.flags = array("Q"), array("Q"), array("B")
+
+    def __missing__(self, word: str) -> int:
+        opening = canonical(word, True)
+        slot = opening in ("<num>", "<unit>")
+        name = not slot and (word if word[0] not in MARKS else word.strip(MARKS))[:1].isupper()
+        found = xxhash.xxh3_64_intdigest(opening.encode())
+        self.opening.append(found)
+        self.inner.append(self.NAME if name else found)
+        # 1: a placeholder at a sentence's start, 2: elsewhere, 4: the next word begins a sentence.
+        self.flags.append(3 * slot | 2 * name | 4 * (word[-1] in ENDS or not any(map(str.isalnum, word))))
+        self[word] = len(self.flags) - 1
+        return len(self.flags) - 1
 
     def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words, hashes of their templates, and which of them are placeholders."""
         words = text.split()
-        if len(self.place) > WORDS:
-            self.clear()
-        for word in words:
-            if word not in self.place:
-                self._add(word)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        opens = np.ones(len(at), np.int64)
-        opens[1:] = self.ends[at[:-1]]
-        return words, self.table[at, opens], self.slots[at, opens]
+        if len(self) > WORDS:
+            self.reset()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        flags = np.frombuffer(self.flags, np.uint8)[at] if len(at) else np.zeros(0, np.uint8)
+        opens = np.ones(len(at), bool)
+        opens[1:] = flags[:-1] & 4 > 0
+        if not len(at):
+            return words, np.zeros(0, np.uint64), opens
+        hashes = np.where(opens, np.frombuffer(self.opening, np.uint64)[at], np.frombuffer(self.inner, np.uint64)[at])
+        return words, hashes, flags & np.where(opens, 1, 2).astype(np.uint8) > 0
 
 
 _SEEN = Templates()
