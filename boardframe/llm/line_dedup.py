@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardframe.llm.store import Scratch
+from boardframe.llm.store import Scratch, marked
 
 #: Lines of fewer characters are only compared exactly: one edit makes them another word.
 MIN_CHARS = 20
@@ -20,8 +20,30 @@ PARTS, FEW = 8, 8
 
 
 def normalised(line: Column) -> Column:
-    """Trimmed and lower-cased, white space as one blank."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " ")))
+    """Without white space at its ends, in lower case."""
+    return F.lower(F.trim(line, F.lit(" \t\r\f\v")))
+
+
+def place_of(doc_id: Column, line_no: Column) -> Column:
+    """One number that orders lines by doc_id (null first) and number, so that minima need no sorting."""
+    known = (doc_id.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
+    return (F.coalesce(known, F.lit(-(1 << 31)).cast("decimal(31,0)")) + line_no).cast("decimal(38,0)")
+
+
+def doc_of(place: Column) -> Column:
+    return F.when(place >= 0, F.floor(place / F.lit(1 << 31)).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def line_of(place: Column) -> Column:
+    return F.pmod(place, F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
+
+
+def halves(size: Column, line: Column) -> Column:
+    """Hashes of a line's beginning and end, each of the power of two characters that is half of it at most. Lines that differ in one
+    edit share one; where one character less makes the power smaller, both powers are taken."""
+    power = [F.call_function("shiftleft", F.lit(1), F.floor(F.log2((n - 1) / 2)).cast("int")) for n in (size, size - 1)]
+    first, last = ([F.xxhash64(F.lit(side), cut(line, n)) for n in power] for side, cut in ((0, F.left), (1, F.right)))
+    return F.when(power[0] == power[1], F.array(first[0], last[0])).otherwise(F.array(*first, *last))
 
 
 def outside(m: Column, u: Column, v: Column, line: Column) -> Column:
@@ -29,71 +51,78 @@ def outside(m: Column, u: Column, v: Column, line: Column) -> Column:
     return F.xxhash64(m, u, v, F.left(line, u), F.right(line, m - v))
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, line (normalised) and its key, two hashes."""
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    lines = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), normalised(F.col("raw")).alias("line"))
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
+
+
 def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each line of each row of ``docs`` (doc_id, text): doc_id, line_no, keep_doc_id, keep_line_no, kept, how.
 
-    Lines are separated by line feeds and numbered from 1. Equal means equal after trimming, lower-casing and folding white
-    space; near means one edit apart (inserted, deleted or other character), for lines of ``min_chars`` characters at
-    least. A line is kept if no equal or near line comes earlier, by doc_id (null first) and number; keep_* name the
-    earliest of them. Blank lines are kept and equal nothing. Null texts have no lines, empty texts one blank line. Of
-    repeated rows one line is the earlier one. how: first, blank or later.
+    Lines are separated by line feeds and numbered from 1. Equal means equal after trimming and lower-casing; near means
+    one edit apart (inserted, deleted or other character), for lines of ``min_chars`` characters (20 or more) at least.
+    A line is kept if no equal or near line comes earlier, by doc_id (null first) and number; keep_* name the earliest of
+    them. Blank lines are kept and equal nothing. Null texts have no lines, empty texts one blank line. Rows that repeat
+    doc_id and text count as one document: their lines get the same verdicts. how: first, blank or later.
     """
+    if min_chars < 20:
+        raise ValueError("min_chars must be 20 or more")
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    line = normalised(F.col("raw"))
-    lines = lines.select("doc_id", "row", (F.col("at") + 1).cast("long").alias("line_no"), line.alias("line"))
     size = F.char_length("line")
-    # Blocks as (m, u, v, hash): halves, with m the line's own length and one less, as the shorter line of a pair decides.
-    half = [(m, F.floor(m * i / 2).cast("int"), F.floor(m * (i + 1) / 2).cast("int")) for m in (size, size - 1) for i in (0, 1)]
-    blocks = F.array(*(F.struct(m.alias("m"), u.alias("u"), v.alias("v"), outside(m, u, v, F.col("line")).alias("h")) for m, u, v in half))
-    rows = scratch.save(lines.select("doc_id", "row", "line_no", F.when(F.col("line") != "", F.unhex(F.md5("line"))).alias("key"), F.when(size >= min_chars, blocks).alias("blocks")), "rows")
-
-    place = F.struct("doc_id", "line_no", "row")
-    firsts = scratch.save(rows.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("first"), F.first("blocks").alias("blocks")), "firsts")
-    able = firsts.where("blocks IS NOT NULL").select("key", "first", F.explode("blocks").alias("b")).select("key", "first", "b.*")
-    able = scratch.save(_shared(able), "able")
-
-    # The texts of these lines, from where each first stands.
-    lone = able.groupBy("key").agg(F.first("first").alias("first")).select("key", F.col("first.doc_id").alias("w_doc"), F.col("first.line_no").alias("w_line"))
-    ids = lone.select("w_doc").distinct()
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    source = texts.join(ids, texts["doc_id"].eqNullSafe(ids["w_doc"]), "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    source = source.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), normalised(F.col("raw")).alias("line")).withColumn("k", F.unhex(F.md5("line")))
-    text = source.join(lone, (source["k"] == lone["key"]) & source["doc_id"].eqNullSafe(lone["w_doc"]) & (source["line_no"] == lone["w_line"])).select("key", "line").dropDuplicates(["key"])
+    rows = _split(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("k1")).alias("k1"), "k2", F.when(size >= min_chars, halves(size, F.col("line"))).alias("halves"))
+    rows = scratch.save(rows, "rows")
+    firsts = scratch.save(rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min(place_of(F.col("doc_id"), F.col("line_no"))).alias("first")), "firsts")
+
+    # Lines that share a half with another line. A half that many lines share is counted where they lie.
+    keyed = rows.where("halves IS NOT NULL").select("k1", "k2", F.explode("halves").alias("half"))
+    shared = keyed.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
+    able = keyed.join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    able = scratch.save(able.join(firsts, ["k1", "k2"]).select("k1", "k2", "first", doc_of(F.col("first")).alias("w_doc"), line_of(F.col("first")).alias("w_line")), "able")
+
+    # Their texts, from where each first stands.
+    source = _split(marked(docs.select("doc_id", "text"), able.select(F.col("w_doc").alias("doc_id"))))
+    same = (source["k1"] == able["k1"]) & (source["k2"] == able["k2"]) & source["doc_id"].eqNullSafe(able["w_doc"]) & (source["line_no"] == able["w_line"])
+    text = source.join(able, same).select(able["k1"], able["k2"], "first", "line").dropDuplicates(["k1", "k2"])
     text = scratch.save(text, "texts")
 
-    state, turn = able.drop("h").join(text, "key"), 0
-    state = scratch.save(state, "blocks-0")
+    # Blocks: halves, with m the line's own length and one less, as the shorter line of a pair decides.
+    half = [(m, F.floor(m * i / 2).cast("int"), F.floor(m * (i + 1) / 2).cast("int")) for m in (size, size - 1) for i in (0, 1)]
+    state = text.select("k1", "k2", "first", "line", F.explode(F.array(*(F.struct(m.alias("m"), u.alias("u"), v.alias("v")) for m, u, v in half))).alias("b")).select("k1", "k2", "first", "line", "b.*")
+    state, turn = scratch.save(_shared(state), "blocks-0"), 0
     while (state.agg(F.max(F.col("v") - F.col("u"))).first()[0] or 0) > FEW:
         step = F.ceil((F.col("v") - F.col("u")) / PARTS).cast("int")
-        parts = state.select("key", "first", "line", "m", "v", F.explode(F.sequence("u", F.col("v") - 1, step)).alias("u"), step.alias("step")).withColumn("v", F.least(F.col("u") + F.col("step"), "v")).drop("step")
+        parts = state.select("k1", "k2", "first", "line", "m", "v", F.explode(F.sequence("u", F.col("v") - 1, step)).alias("u"), step.alias("step")).withColumn("v", F.least(F.col("u") + F.col("step"), "v")).drop("step")
         turn += 1
-        state = scratch.save(_shared(parts.withColumn("h", outside(F.col("m"), F.col("u"), F.col("v"), F.col("line")))).drop("h"), f"blocks-{turn}")
+        state = scratch.save(_shared(parts), f"blocks-{turn}")
         scratch.drop(f"blocks-{turn - 1}")
 
     # Variants: a line of m characters without its character q, for its likes; with nothing deleted before q, for those that
     # have one more there; and a line of m + 1 characters without its character q.
     own, q = F.char_length("line") == F.col("m"), F.col("q")
-    spots = state.select("key", "first", "line", "m", F.explode(F.sequence("u", "v")).alias("q"), "v")
-    less = spots.where(own & (q < F.col("v"))).select("key", "first", F.xxhash64(F.lit(1), "m", "q", F.left("line", q), F.right("line", F.col("m") - q - 1)).alias("variant"))
-    more = spots.select("key", "first", F.xxhash64(F.lit(2), "m", "q", F.left("line", q), F.right("line", F.col("m") - q)).alias("variant"))
+    spots = state.select("k1", "k2", "first", "line", "m", F.explode(F.sequence("u", "v")).alias("q"), "v")
+    less = spots.where(own & (q < F.col("v"))).select("k1", "k2", "first", F.xxhash64(F.lit(1), "m", "q", F.left("line", q), F.right("line", F.col("m") - q - 1)).alias("variant"))
+    more = spots.select("k1", "k2", "first", F.xxhash64(F.lit(2), "m", "q", F.left("line", q), F.right("line", F.col("m") - q)).alias("variant"))
     variants = scratch.save(less.union(more).distinct(), "variants")
     # Lines with one variant are all within one edit of each other, so the earliest of them is all that each needs.
-    least = variants.groupBy("variant").agg(F.min(F.struct("first", "key")).alias("low"), F.count("*").alias("n")).where("n > 1").select("variant", "low")
-    pairs = variants.join(least, "variant").where("low.key <> key").select("key", F.col("low.key").alias("other"), F.col("low.first").alias("near")).distinct()
-    other = text.select(F.col("key").alias("other"), F.col("line").alias("other_line"))
-    near = pairs.join(text, "key").join(other, "other").where(F.levenshtein("line", "other_line", 1) == 1)
-    near = scratch.save(near.groupBy("key").agg(F.min("near").alias("near")), "near")
+    least = variants.groupBy("variant").agg(F.min("first").alias("near"), F.count("*").alias("n")).where("n > 1").select("variant", "near")
+    pairs = variants.join(least, "variant").where("near < first").select("k1", "k2", "first", "near").distinct()
+    other = text.select(F.col("first").alias("near"), F.col("line").alias("other_line"))
+    near = pairs.join(text.select("k1", "k2", "line"), ["k1", "k2"]).join(other, "near").where(F.levenshtein("line", "other_line", 1) == 1)
+    near = scratch.save(near.groupBy("k1", "k2").agg(F.min("near").alias("near")), "near")
 
-    best = firsts.select("key", "first").join(near, "key", "left").select("key", F.least("first", F.coalesce("near", "first")).alias("best"))
-    found = rows.drop("blocks").join(best, "key", "left")
-    keep = F.coalesce("best", place)
-    same = (keep["row"] == F.col("row")) & (keep["line_no"] == F.col("line_no"))
-    how = F.when(F.col("key").isNull(), "blank").when(same, "first").otherwise("later")
-    return found.select("doc_id", "line_no", keep["doc_id"].alias("keep_doc_id"), keep["line_no"].alias("keep_line_no"), same.alias("kept"), how.alias("how"))
+    best = firsts.join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("near", "first").alias("best"))
+    found = rows.drop("halves").join(best, ["k1", "k2"], "left")
+    own_place = place_of(F.col("doc_id"), F.col("line_no"))
+    kept = F.coalesce(F.col("best") == own_place, F.lit(True))
+    found = found.select("doc_id", "line_no", "k1", "best", kept.alias("kept"))
+    how = F.when(F.col("k1").isNull(), "blank").when(F.col("kept"), "first").otherwise("later")
+    return found.select("doc_id", "line_no", F.when(F.col("kept"), F.col("doc_id")).otherwise(doc_of(F.col("best"))).alias("keep_doc_id"), F.when(F.col("kept"), F.col("line_no")).otherwise(line_of(F.col("best"))).alias("keep_line_no"), "kept", how.alias("how"))
 
 
 def _shared(blocks: DataFrame) -> DataFrame:
     """Blocks whose outside several lines share, counted where they lie before anything moves."""
-    groups = blocks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return blocks.join(groups, "h", "left_semi")
+    hashed = blocks.withColumn("h", outside(F.col("m"), F.col("u"), F.col("v"), F.col("line")))
+    groups = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return hashed.join(groups, "h", "left_semi").drop("h")

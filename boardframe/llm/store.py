@@ -10,9 +10,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch at most, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+#: Bits of the table that ``marked`` looks documents up in. Its size is fixed; a full one lets all pass.
+DOC_BITS = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +48,14 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{tag}")
         path.getFileSystem(conf).delete(path, True)
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with one of these doc_ids, and some others: by a table of bits of fixed size, gathered as 64-bit words."""
+    bit = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - DOC_BITS)
+    words = ids.select(F.shiftrightunsigned(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    table = bytearray(1 << (DOC_BITS - 3))
+    for r in words:
+        table[8 * r["w"] : 8 * r["w"] + 8] = (r["b"] % (1 << 64)).to_bytes(8, "little")
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), (F.shiftrightunsigned(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0)
