@@ -25,24 +25,27 @@ def features(text: str) -> np.ndarray:
     return (np.concatenate([words, runs(words, 2)]) >> np.uint64(64 - 17)).astype(np.int64)
 
 
-def log_ratio(docs: DataFrame, *, smoothing: float = 1.0) -> np.ndarray:
-    """Of target to raw, for each bucket, from all rows of ``docs`` (text, target boolean). A row for each bucket reaches the driver."""
+def counts(texts: DataFrame, smoothing: float) -> np.ndarray:
+    """Of each bucket over all rows of ``texts`` (text). A row for each bucket reaches the driver at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             found = [features(text.as_py()) for text in batch.column(0)]
-            for total, some in ((raw, found), (target, [x for x, wanted in zip(found, batch.column(1).to_pylist(), strict=True) if wanted])):
-                total += np.bincount(np.concatenate(some), minlength=BUCKETS) if some else 0
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
+            total += np.bincount(np.concatenate(found), minlength=BUCKETS) if found else 0
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
-    rows = docs.select("text", "target").where("text IS NOT NULL").mapInArrow(count, "bucket int, raw long, target long")
-    rows = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.full(BUCKETS, smoothing), np.full(BUCKETS, smoothing)
-    raw[rows["bucket"].to_numpy()] += rows["raw"].to_numpy()
-    target[rows["bucket"].to_numpy()] += rows["target"].to_numpy()
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    rows = texts.select("text").where("text IS NOT NULL").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.full(BUCKETS, smoothing)
+    out[rows["bucket"].to_numpy()] += rows["n"].to_numpy()
+    return out
+
+
+def log_ratio(raw: DataFrame, target: DataFrame, *, smoothing: float = 1.0) -> np.ndarray:
+    """Of target to raw, for each bucket."""
+    a, b = counts(target, smoothing), counts(raw, smoothing)
+    return np.log(a / a.sum()) - np.log(b / b.sum())
 
 
 def largest(keys: DataFrame, k: int) -> tuple[float, int]:
@@ -66,8 +69,8 @@ def largest(keys: DataFrame, k: int) -> tuple[float, int]:
     return high, k - above
 
 
-def resample(docs: DataFrame, *, keep: float | None = None, seed: int = 0, scale: float = 1.0) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, target boolean): doc_id, log_weight, key, selected.
+def resample(docs: DataFrame, target: DataFrame, *, keep: float | None = None, seed: int = 0, scale: float = 1.0) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, log_weight, key, selected. ``target`` (text) has the wanted kind.
 
     ``keep`` of the rows are drawn, rounded up; by default as many as have a log-weight above 0, which are those that the
     target explains better than the raw texts do. log_weight is the mean over the text's n-grams times ``scale``, so that long
@@ -75,7 +78,7 @@ def resample(docs: DataFrame, *, keep: float | None = None, seed: int = 0, scale
     The noise depends on ``seed``, doc_id and text only. Of equal keys at the edge the smaller doc_id is drawn (null last).
     """
     scratch = Scratch(docs.sparkSession, "importance")
-    ratio = log_ratio(docs).astype(np.float64)
+    ratio = log_ratio(docs, target).astype(np.float64)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

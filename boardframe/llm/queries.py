@@ -69,10 +69,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic. As many documents are drawn as fit the target better."""
     from boardframe.llm.importance import resample
+    from boardframe.llm.store import marked
 
-    good = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target")).distinct()
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return resample(docs.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), scale=IMPORTANCE_SCALE)
+    good = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, marked(docs, good).join(good, "doc_id", "left_semi"), scale=IMPORTANCE_SCALE)
 
 
 #: N-grams that a document's mean log-weight counts as.
@@ -95,6 +96,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boardframe.llm.suffix_dedup import dedup_strings
+
+    return dedup_strings(read(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.jaccard_join import similar
 
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_language_mixture": op2_language_mixture,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
