@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardframe.llm.store import Scratch
+from boardframe.llm.store import Scratch, marked, without
 
 #: Code points of white space that equality ignores.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -51,3 +51,20 @@ def exact_dedup(docs: DataFrame, *, prefix_chars: int = 64, digest_all: bool = F
         "text_sha256",
         F.when(F.col("shared"), "full").when(F.col("long"), "prefix").otherwise("length").alias("refined"),
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps. Of rows that repeat doc_id and text one stays."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    found = scratch.save(exact_dedup(docs, digest_all=True).select("doc_id", "kept", "text_sha256"), "found")
+    ids = scratch.save(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).where("NOT every"), "ids")
+    rest = without(docs, ids.select("doc_id"))
+    # doc_ids of which one row stays and another goes: repeated rows, or different texts under one doc_id.
+    mixed = ids.where("some").select("doc_id")
+    if not mixed.take(1):
+        return rest
+    some = marked(docs, mixed).withColumn("_digest", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, ""), 256))
+    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    keep = keep.join(mixed, keep["_id"].eqNullSafe(mixed["doc_id"]), "left_semi")
+    same = some["doc_id"].eqNullSafe(keep["_id"]) & (some["_digest"] == keep["_kept"])
+    return rest.unionByName(some.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest"))

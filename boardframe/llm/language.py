@@ -120,3 +120,16 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 3.0) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "languages", "proportions"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
+
+
+def keep_identified(docs: DataFrame, model: Model, *, min_score: float = 0.5, penalty: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is named with this score at least."""
+    Scratch(docs.sparkSession, "lang")
+    place = docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [infer(x.as_py(), model, penalty) for x in batch.column(place)]
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score, *_ in found], pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)

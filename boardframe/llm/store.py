@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch at most, so that a batch of long texts stays small.
@@ -50,12 +50,25 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with one of these doc_ids, and some others: by a table of bits of fixed size, gathered as 64-bit words."""
+def _is_marked(ids: DataFrame) -> Column:
+    """Whether the column doc_id may be one of ``ids`` (doc_id): by a table of bits of fixed size, gathered as 64-bit words."""
     bit = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - DOC_BITS)
-    words = ids.select(F.shiftrightunsigned(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = ids.select(F.shiftrightunsigned(bit, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     table = bytearray(1 << (DOC_BITS - 3))
     for r in words:
         table[8 * r["w"] : 8 * r["w"] + 8] = (r["b"] % (1 << 64)).to_bytes(8, "little")
     byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), (F.shiftrightunsigned(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return docs.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0)
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with one of these doc_ids, and some others, so that few texts move to the join that follows."""
+    return docs.where(_is_marked(ids))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without these doc_ids. Only texts that may be among them move."""
+    test, gone = _is_marked(ids), ids.select(F.col("doc_id").alias("_gone")).distinct()
+    some = docs.where(test)
+    return docs.where(~test).unionByName(some.join(gone, some["doc_id"].eqNullSafe(gone["_gone"]), "left_anti"))
