@@ -319,7 +319,7 @@ def dedup_strings(docs: DataFrame, *, length: int = 100) -> DataFrame:
     found = scratch.save(dealt.mapInArrow(_rerank(length), SCHEMA), "found")
 
     first = found.where(F.col("kind") == FIRST)
-    many = first.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("rank", F.lit(True).alias("many"))
+    many = scratch.save(first.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("rank", F.lit(True).alias("many")), "many")
     places = first.join(many, "rank", "left").groupBy("doc", "twin").agg(F.collect_list(F.struct("rank", "pos", "low", "high", F.coalesce("many", F.lit(False)).alias("many"))).alias("places"))
     table = _bits(first)
 
