@@ -8,16 +8,14 @@ standing for the same value, the windows of one alignment agree, and a question
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardframe.llm.hashing import runs
+from boardframe.llm.hashing import SPACE, between, bounds, runs, sums
 from boardframe.llm.store import Scratch
 
 #: Bits of the table of window hashes that goes to every task: its size is fixed, a full one only lets more windows pass.
@@ -26,75 +24,88 @@ FILTER_BITS = 22
 UNITS = frozenset("mm cm m km mg g kg t ml l s ms min h hz khz mhz kb mb gb tb v w kw inch inches foot feet yard yards mile miles ounce ounces pound pounds second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degrees".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{1,3})?")
 MARKS = "\"'`.,;:!?()[]{}<>*_#%&$|~"
+#: A word that ends so, or has marks only, ends a sentence.
 ENDS = ".!?:|"
-#: Words that a worker remembers at most.
-WORDS = 600_000
+SEPARATOR = re.compile(r"[\x20\x09-\x0D]+")
+
+IS_MARK, IS_END, IS_DIGIT = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (MARKS.encode(), ENDS.encode(), b"0123456789"))
+
+
+def _hash(text: str) -> np.uint64:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return between(sums(raw), np.array([0]), np.array([len(raw)]))[0]
+
+
+NUM, UNIT, NAME = (_hash(x) for x in ("<num>", "<unit>", "<name>"))
+UNIT_HASHES = np.sort(np.array([_hash(x) for x in UNITS]))
+UNIT_BITS = np.zeros(1 << 16, bool)
+UNIT_BITS[(UNIT_HASHES >> np.uint64(48)).astype(np.int64)] = True
 
 
 def canonical(word: str, opens: bool) -> str:
     """The template of a word; ``opens`` if it begins a sentence, where a capital letter tells nothing."""
-    bare = word if word.isalpha() else word.strip(MARKS)
+    bare = word.strip(MARKS)
     low = bare.lower()
     if low in UNITS:
         return "<unit>"
-    if not low.isalpha() and NUMBER.fullmatch(low):
+    if NUMBER.fullmatch(low):
         return "<num>"
-    return "<name>" if not opens and bare[:1].isupper() else low
-
-
-class Templates(dict):
-    """Words seen so far and their places in arrays: hashes of their templates at a sentence's start and elsewhere, flags."""
-
-    NAME = xxhash.xxh3_64_intdigest(b"<name>")
-
-    def __init__(self):
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.opening, self.inner, self.flags = array("Q"), array("Q"), array("B")
-
-    def __missing__(self, word: str) -> int:
-        opening = canonical(word, True)
-        slot = opening in ("<num>", "<unit>")
-        name = not slot and (word if word[0] not in MARKS else word.strip(MARKS))[:1].isupper()
-        found = xxhash.xxh3_64_intdigest(opening.encode())
-        self.opening.append(found)
-        self.inner.append(self.NAME if name else found)
-        # 1: a placeholder at a sentence's start, 2: elsewhere, 4: the next word begins a sentence.
-        self.flags.append(3 * slot | 2 * name | 4 * (word[-1] in ENDS or not any(map(str.isalnum, word))))
-        self[word] = len(self.flags) - 1
-        return len(self.flags) - 1
-
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, hashes of their templates, and which of them are placeholders."""
-        words = text.split()
-        if len(self) > WORDS:
-            self.reset()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        flags = np.frombuffer(self.flags, np.uint8)[at] if len(at) else np.zeros(0, np.uint8)
-        opens = np.ones(len(at), bool)
-        opens[1:] = flags[:-1] & 4 > 0
-        if not len(at):
-            return words, np.zeros(0, np.uint64), opens
-        hashes = np.where(opens, np.frombuffer(self.opening, np.uint64)[at], np.frombuffer(self.inner, np.uint64)[at])
-        return words, hashes, flags & np.where(opens, 1, 2).astype(np.uint8) > 0
-
-
-_SEEN = Templates()
-
-
-def windows(text: str, n: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, int]:
-    """Words, placeholder flags, hashes of the windows, which windows have enough plain words, and the words in a window.
+    return "<name>" if not opens and bare[:1] != low[:1] else low
+
+
+def ends(word: str) -> bool:
+    return word[-1] in ENDS or not word.strip(MARKS)
+
+
+def _cores(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and the same without the marks around them."""
+    first, last = bounds(raw)
+    solid = np.flatnonzero(~(IS_MARK | SPACE)[raw])
+    a, b = np.searchsorted(solid, first), np.searchsorted(solid, last)
+    if not len(solid):
+        return first, last, first, first
+    blank = a == b
+    start, end = solid[np.minimum(a, len(solid) - 1)], solid[np.maximum(b - 1, 0)] + 1
+    return first, last, np.where(blank, first, start), np.where(blank, first, end)
+
+
+def templates(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the templates of a text's words, and which of them are placeholders; as ``canonical`` has them, for all at once."""
+    own, low = np.frombuffer(text.encode(), np.uint8), np.frombuffer(text.lower().encode(), np.uint8)
+    first, last, start, end = _cores(low)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    hashes = between(sums(low), start, end)
+    slots = np.zeros(len(hashes), bool)
+    for i in np.flatnonzero(UNIT_BITS[(hashes >> np.uint64(48)).astype(np.int64)]):
+        if UNIT_HASHES[min(np.searchsorted(UNIT_HASHES, hashes[i]), len(UNIT_HASHES) - 1)] == hashes[i] and end[i] > start[i]:
+            hashes[i], slots[i] = UNIT, True
+    digits = np.concatenate([[0], np.cumsum(IS_DIGIT[low])])
+    for i in np.flatnonzero(digits[end] > digits[start]):
+        if NUMBER.fullmatch(low[start[i] : end[i]].tobytes().decode()):
+            hashes[i], slots[i] = NUM, True
+    _, own_last, own_start, own_end = _cores(own)
+    opens = np.ones(len(hashes), bool)
+    opens[1:] = IS_END[own[own_last[:-1] - 1]] | (own_start[:-1] == own_end[:-1])
+    # A capital letter is one that lower case writes otherwise: its first two bytes tell.
+    own2, low2 = np.append(own, [0, 0]), np.append(low, [0, 0])
+    wide = own2[own_start] >= 0xC0
+    capital = (own2[own_start] != low2[start]) | wide & (own2[own_start + 1] != low2[start + 1])
+    names = capital & ~opens & ~slots & (end > start)
+    hashes[names] = NAME
+    return hashes, slots | names
+
+
+def windows(text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Placeholder flags, hashes of the windows, which windows have enough plain words, and the words in a window.
 
     A text of fewer than ``n`` words is one window. Half of a window's words at least must be plain."""
-    words, hashes, slots = _SEEN.read(text)
-    size = min(n, len(words))
+    hashes, slots = templates(text)
+    size = min(n, len(hashes))
     if not size:
-        return words, slots, np.zeros(0, np.uint64), np.zeros(0, bool), 0
-    found = runs(hashes, size)
+        return slots, np.zeros(0, np.uint64), np.zeros(0, bool), 0
     count = np.concatenate([[0], np.cumsum(slots)])
-    return words, slots, found, 2 * (count[size:] - count[:-size]) <= size, size
+    return slots, runs(hashes, size), 2 * (count[size:] - count[:-size]) <= size, size
 
 
 SCHEMA = "id long, pos int, n int, total int, hash long, values array<string>"
@@ -107,11 +118,13 @@ def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, slots, found, plain, size = windows(text.as_py() or "", n)
+                text = text.as_py() or ""
+                slots, found, plain, size = windows(text, n)
                 if not size:
                     continue
                 ok = plain if wanted is None else plain & wanted[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
                 total = int(plain.sum())
+                words = SEPARATOR.sub(" ", text).strip(" ").split(" ") if ok.any() else []
                 for i in np.flatnonzero(ok).tolist():
                     out.append((key, i, size, total, int(found[i].astype(np.int64)), [words[i + k].strip(MARKS).lower() if slots[i + k] else None for k in range(size)]))
                 if len(out) > 20_000:

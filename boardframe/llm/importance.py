@@ -21,7 +21,7 @@ BUCKETS = 1 << 17
 
 
 def features(text: str) -> np.ndarray:
-    words = word_hashes(text.encode().lower().split())
+    words = word_hashes(text)
     return (np.concatenate([words, runs(words, 2)]) >> np.uint64(64 - 17)).astype(np.int64)
 
 

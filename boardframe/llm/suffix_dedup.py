@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardframe.llm.hashing import mix
+from boardframe.llm.hashing import BASE, POWERS, between, mix, sums
 from boardframe.llm.store import Scratch, shuffle_partitions
 
 GRAM = 32
@@ -38,41 +38,6 @@ DOC_BITS = 24
 #: Low bits of a sliding key that hold the position.
 PLACE = 31
 
-BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BASE = 0xD6E8FEB86659FD93
-BACK = pow(BASE, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2**64, as many as were needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(BACK, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-def sums(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums along the last axis, from which any substring's hash follows."""
-    up, _ = _POWERS.get(raw.shape[-1])
-    out = np.zeros((*raw.shape[:-1], raw.shape[-1] + 1), np.uint64)
-    np.cumsum(BYTES[raw] * up, axis=-1, out=out[..., 1:])
-    return out
-
-
-def between(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from ``a`` to ``b``."""
-    _, down = _POWERS.get(len(total))
-    return mix((total[b] - total[a]) * down[a])
-
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by running minima from both sides of blocks."""
@@ -226,7 +191,7 @@ def window_ranks(around: list[bytes], low: np.ndarray, high: np.ndarray, length:
     """Row, distance before the anchor, and rank of each window that begins ``low`` to ``high`` bytes before it; by row."""
     reach = length - GRAM
     total = sums(np.frombuffer(b"".join(around), np.uint8).reshape(len(around), reach + length))
-    _, down = _POWERS.get(reach + 1)
+    _, down = POWERS.get(reach + 1)
     far = np.arange(reach + 1)
     ranks = mix((total[:, reach - far + length] - total[:, reach - far]) * down[reach - far])
     row, at = np.nonzero((far >= low[:, None]) & (far <= high[:, None]))

@@ -1,8 +1,10 @@
 import random
+import re
 
-import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from boardframe.llm.decontaminate import canonical, decontaminate
+from boardframe.llm.decontaminate import MARKS, canonical, decontaminate, ends, templates
 
 WORDS = ["alpha", "beta", "gamma", "delta", "and", "of", "runs", "to", "sells", "each", "with", "left", "after", "how", "many", "does"]
 
@@ -19,12 +21,12 @@ def brute(docs, items, n=8, coverage=0.25):
         forms = []
         for w in words:
             forms.append(canonical(w, opens))
-            opens = w[-1] in ".!?:|" or not any(map(str.isalnum, w))
+            opens = ends(w)
         size = min(n, len(words))
         for i in range(len(words) - size + 1 if size else 0):
             part = forms[i : i + size]
             if 2 * sum(f.startswith("<") and f.endswith(">") for f in part) <= size:
-                out.append((i, tuple(part), [w.strip("\"'`.,;:!?()[]{}<>*_#%&$|~").lower() if f[:1] == "<" else None for w, f in zip(words[i : i + size], part)]))
+                out.append((i, tuple(part), [w.strip(MARKS).lower() if f[:1] == "<" else None for w, f in zip(words[i : i + size], part)]))
         return out
 
     cut = {k: windows(t) for k, t in items}
@@ -54,6 +56,18 @@ def test_templates():
     assert canonical("Ada", True) == "ada"
 
 
+@given(st.text("aAé Éß.1k5 m|*İ\n", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_templates_of_a_text(text):
+    words, opens, forms = re.split(r"[ \t-\r]+", text.strip(" \t\n\v\f\r")) if text.strip(" \n") else [], True, []
+    for w in words:
+        forms.append(canonical(w, opens))
+        opens = ends(w)
+    hashes, slots = templates(text)
+    assert slots.tolist() == [f in ("<num>", "<unit>", "<name>") for f in forms]
+    assert len(set(zip(forms, hashes.tolist()))) == len(set(forms)) == len(set(hashes.tolist()))
+
+
 def test_against_windows(spark):
     rng = random.Random(1)
     items = [(i, text(rng, rng.choice([3, 7, 8, 20, 40]))) for i in range(12)]
