@@ -78,6 +78,7 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     # Lines that share a half with another line. A half that many lines share is counted where they lie.
     keyed = rows.where("halves IS NOT NULL").select("k1", "k2", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
+    shared = scratch.save(shared, "shared")  # a table of its own, so that the join may split a hot half
     able = keyed.join(shared, "half", "left_semi").select("k1", "k2").distinct()
     able = scratch.save(able.join(firsts, ["k1", "k2"]).select("k1", "k2", "first", doc_of(F.col("first")).alias("w_doc"), line_of(F.col("first")).alias("w_line")), "able")
 
@@ -90,12 +91,12 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     # Blocks: halves, with m the line's own length and one less, as the shorter line of a pair decides.
     half = [(m, F.floor(m * i / 2).cast("int"), F.floor(m * (i + 1) / 2).cast("int")) for m in (size, size - 1) for i in (0, 1)]
     state = text.select("k1", "k2", "first", "line", F.explode(F.array(*(F.struct(m.alias("m"), u.alias("u"), v.alias("v")) for m, u, v in half))).alias("b")).select("k1", "k2", "first", "line", "b.*")
-    state, turn = scratch.save(_shared(state), "blocks-0"), 0
+    state, turn = scratch.save(_shared(state, scratch, "outside-0"), "blocks-0"), 0
     while (state.agg(F.max(F.col("v") - F.col("u"))).first()[0] or 0) > FEW:
         step = F.ceil((F.col("v") - F.col("u")) / PARTS).cast("int")
         parts = state.select("k1", "k2", "first", "line", "m", "v", F.explode(F.sequence("u", F.col("v") - 1, step)).alias("u"), step.alias("step")).withColumn("v", F.least(F.col("u") + F.col("step"), "v")).drop("step")
         turn += 1
-        state = scratch.save(_shared(parts), f"blocks-{turn}")
+        state = scratch.save(_shared(parts, scratch, f"outside-{turn}"), f"blocks-{turn}")
         scratch.drop(f"blocks-{turn - 1}")
 
     # Variants: a line of m characters without its character q, for its likes; with nothing deleted before q, for those that
@@ -121,8 +122,8 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     return found.select("doc_id", "line_no", F.when(F.col("kept"), F.col("doc_id")).otherwise(doc_of(F.col("best"))).alias("keep_doc_id"), F.when(F.col("kept"), F.col("line_no")).otherwise(line_of(F.col("best"))).alias("keep_line_no"), "kept", how.alias("how"))
 
 
-def _shared(blocks: DataFrame) -> DataFrame:
+def _shared(blocks: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Blocks whose outside several lines share, counted where they lie before anything moves."""
     hashed = blocks.withColumn("h", outside(F.col("m"), F.col("u"), F.col("v"), F.col("line")))
-    groups = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    groups = scratch.save(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), tag)
     return hashed.join(groups, "h", "left_semi").drop("h")
