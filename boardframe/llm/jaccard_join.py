@@ -11,9 +11,8 @@ comparison with each other. Only pairs of a list that are still in different com
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,93 +24,191 @@ from boardframe.llm.components import connected_components
 from boardframe.llm.hashing import runs, word_hashes
 from boardframe.llm.store import Scratch, shuffle_partitions
 
-#: Words whose counts order the shingles; others count as rare. Only speed depends on them.
-COMMON_WORDS = 1 << 16
+#: Words whose counts order the shingles, and slots that hold them; other words count as rare. Only speed depends on them.
+COMMON_WORDS, WORD_SLOTS = 1 << 16, 1 << 20
 #: Bits of a set's parities, and of the table of nodes whose sets are read again. Both sizes are fixed.
 PARITY_BITS, NODE_BITS = 512, 24
+#: Least and most bits, as powers of two, of the table that tells which first shingles several sets may have; eight bits a shingle between. A
+#: full table lets all be indexed.
+TOKEN_BITS = (20, 30)
+BLOCKS = 1024
 #: Times the index entries that pairs within lists may be, before another round of headers is tried first.
 PAIRS = 4
 
 
-def shingle_set(text: str | None, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, their hashes, and the hash of each run of ``n`` words; of all words, if they are fewer."""
-    words = (text or "").encode().lower().split()
-    hashes = word_hashes(words)
-    return words, hashes, runs(hashes, min(n, len(words))) if words else hashes
+def shingles(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and of each run of ``n`` words; of all words, if they are fewer."""
+    words = word_hashes(text)
+    return words, runs(words, min(n, len(words))) if len(words) else words
 
 
 def node_of(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _first_pass(n: int):
+def kept(size: int, percent: int) -> int:
+    """First shingles of a set of which a linked set has one at least."""
+    return size - -(-percent * size // 100) + 1
+
+
+def _first_pass(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        words, uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, parities, seen = [], [], [], []
             for text in batch.column(1):
-                words, _, shingles = shingle_set(text.as_py(), n)
-                found = np.unique(shingles)
-                counts.update(words)
+                own, found = shingles(text.as_py(), n)
+                found = np.unique(found)
+                seen.append(own)
                 nodes.append(node_of(found) if len(found) else None)
                 sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(len(nodes), pa.binary()), pa.nulls(len(nodes), pa.int64())], names=["doc_id", "node", "n", "word", "uses"])
-            if len(counts) > 500_000:
-                counts = Counter({w: c for w, c in counts.items() if c > 1})
-        top = [(w, c) for w, c in counts.most_common(COMMON_WORDS) if c > 1]
-        none = pa.nulls(len(top), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(top), pa.binary()), pa.nulls(len(top), pa.int32()), pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], names=["doc_id", "node", "n", "word", "uses"])
+                bits = np.bincount((found >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY_BITS) & 1
+                parities.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=["doc_id", "node", "n", "parity", "word", "uses"])
+            new, count = np.unique(np.concatenate([words.repeat(np.minimum(uses, 1)), *seen]) if seen else words, return_counts=True)
+            count[np.searchsorted(new, words)] += uses - np.minimum(uses, 1)
+            top = np.argsort(-count, kind="stable")[: 4 * COMMON_WORDS] if len(new) > 4 * COMMON_WORDS else np.arange(len(new))
+            top.sort()
+            words, uses = new[top], count[top]
+        keep = np.flatnonzero(uses > 1)
+        keep = keep[np.argsort(-uses[keep], kind="stable")[:COMMON_WORDS]]
+        none = len(keep)
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int64())), pa.array(words[keep].view(np.int64)), pa.array(uses[keep])], names=["doc_id", "node", "n", "parity", "word", "uses"])
 
     return run
 
 
-def common_words(rows: DataFrame) -> dict[bytes, int]:
-    """The words used most, COMMON_WORDS of them at most: the driver sees counts by magnitude, then only those above one."""
+def common_words(rows: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Counts of the words used most, by slots of their hashes; words that share a slot share the higher count. The driver sees counts
+    by magnitude, then COMMON_WORDS of the words at most."""
     uses = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("uses").alias("uses")).withColumn("size", F.floor(F.log2("uses") * 8).cast("int"))
-    uses.persist()
-    try:
-        total, least = 0, math.inf
-        for r in sorted(uses.groupBy("size").count().collect(), reverse=True):
-            if total + r["count"] > COMMON_WORDS:
-                break
-            total, least = total + r["count"], r["size"]
-        if least == math.inf:
-            return {}
+    uses = scratch.save(uses, "uses")
+    out, total, least = np.zeros(WORD_SLOTS, np.int64), 0, None
+    for r in sorted(uses.groupBy("size").count().collect(), reverse=True):
+        if total + r["count"] > COMMON_WORDS:
+            break
+        total, least = total + r["count"], r["size"]
+    if least is not None:
         found = uses.where(F.col("size") >= least).select("word", "uses").toArrow()
-    finally:
-        uses.unpersist()
-    return dict(zip(found["word"].to_pylist(), found["uses"].to_pylist(), strict=True))
+        slots = (found["word"].to_numpy().view(np.uint64) >> np.uint64(44)).astype(np.int64)
+        np.maximum.at(out, slots, found["uses"].to_numpy())
+    return out
+
+
+def _prefix(text: str | None, n: int, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's set, and its first shingles: those with the rarest word first."""
+    words, found = shingles(text, n)
+    if not len(words):
+        return words, words
+    uses = common[(words >> np.uint64(44)).astype(np.int64)]
+    rare = uses[: len(found)]
+    for i in range(1, min(n, len(words))):
+        rare = np.minimum(rare, uses[i : i + len(found)])
+    found, first = np.unique(found, return_index=True)
+    rare, k = rare[first], kept(len(found), percent)
+    if k < len(found):
+        some = np.flatnonzero(rare <= np.partition(rare, k - 1)[k - 1])
+    else:
+        some = np.arange(len(found))
+    return found, found[some[np.lexsort((found[some], rare[some]))][:k]]
+
+
+def _once(texts, n: int, percent: int, common: np.ndarray, seen: set[bytes]):
+    """Node, size and first shingles of each text whose set this task has not had."""
+    for text in texts:
+        found, first = _prefix(text.as_py(), n, percent, common)
+        if len(found) and (node := node_of(found)) not in seen:
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.add(node)
+            yield node, len(found), first
 
 
-def _prefixes(n: int, percent: int, common: dict[bytes, int]):
+def _slots(n: int, percent: int, common: np.ndarray, bits: int):
+    """Which slots first shingles fall into, once and more often, as packed gaps for each block of slots."""
+
+    def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slots, count = np.unique(np.concatenate(held), return_counts=True)
+        out: tuple[list, list, list] = ([], [], [])
+        for often in (False, True):
+            part = slots[(count > 1) == often]
+            edges = np.searchsorted(part, np.arange(BLOCKS + 1, dtype=np.uint64) << np.uint64(bits - 10))
+            for k in np.flatnonzero(np.diff(edges)):
+                own = (part[edges[k] : edges[k + 1]] & np.uint64((1 << (bits - 10)) - 1)).astype(np.uint32)
+                for to, x in zip(out, (int(k), often, zlib.compress(np.diff(own, prepend=np.uint32(0)).tobytes(), 1)), strict=True):
+                    to.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], names=["block", "often", "gaps"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for _, _, first in _once(batch.column(0), n, percent, common, seen):
+                held.append(first >> np.uint64(64 - bits))
+                size += len(first)
+                if size > 4_000_000:
+                    yield from pack(held)
+                    held, size = [], 0
+        if held:
+            yield from pack(held)
+
+    return run
+
+
+def _shared(bits: int):
+    """Rows sorted by block to the slots that were hit more than once, a packed row of bits for each block."""
+    width = 1 << (bits - 10)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, one, two = None, np.zeros(width, bool), np.zeros(width, bool)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(two).tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+        for batch in batches:
+            for k, often, gaps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != block:
+                    if block is not None:
+                        yield done()
+                    block = k
+                    one[:], two[:] = False, False
+                at = np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint32))
+                two[at] |= one[at] | often
+                one[at] = True
+        if block is not None:
+            yield done()
+
+    return run
+
+
+def shared_slots(texts: DataFrame, n: int, percent: int, common: np.ndarray, total: int) -> tuple[np.ndarray, int]:
+    """A table of bits, of at most 2 ** 30, on which slots several sets' first shingles fall into."""
+    bits = min(max(TOKEN_BITS[0], (8 * max(total, 1)).bit_length()), TOKEN_BITS[1])
+    rows = texts.mapInArrow(_slots(n, percent, common, bits), "block int, often boolean, gaps binary")
+    rows = rows.repartition(shuffle_partitions(texts.sparkSession), "block").sortWithinPartitions("block")
+    table = np.zeros((BLOCKS, 1 << (bits - 13)), np.uint8)
+    found = rows.mapInArrow(_shared(bits), "block int, bits binary").toArrow()
+    for k, data in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        table[k] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return table.reshape(-1), bits
+
+
+def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
+    """Index entries: first shingles that another set may have, with the place they have among the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             nodes: list[bytes] = []
-            parts: list[np.ndarray] = []
-            sizes, lengths = [], []
-            for text in batch.column(0):
-                words, _, shingles = shingle_set(text.as_py(), n)
-                if not words:
-                    continue
-                found, first = np.unique(shingles, return_index=True)
-                node = node_of(found)
-                if node in seen:
-                    continue
-                seen.add(node)
-                uses = np.fromiter(map(common.get, words, repeat(0)), np.int64, len(words))
-                rare = np.min([uses[i : i + len(shingles)] for i in range(min(n, len(words)))], axis=0)[first]
-                keep = len(found) - -(-percent * len(found) // 100) + 1
-                order = np.lexsort((found, rare))[:keep]
+            parts: list[tuple] = []
+            for node, size, first in _once(batch.column(0), n, percent, common, seen):
+                slot = (first >> np.uint64(64 - bits)).astype(np.int64)
+                pos = np.flatnonzero((table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+                parts.append((first[pos], np.full(len(pos), len(nodes)), np.full(len(pos), size, np.int32), pos.astype(np.int32)))
                 nodes.append(node)
-                parts.append(found[order])
-                sizes.append(len(found))
-                lengths.append(keep)
-            if len(seen) > 200_000:
-                seen.clear()
-            at = np.repeat(np.arange(len(nodes)), lengths) if nodes else np.zeros(0, np.int64)
-            pos = np.concatenate([np.arange(k) for k in lengths]) if nodes else at
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64) if parts else at), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int32)[at] if nodes else at.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "node", "n", "pos"])
+            token, at, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(size), pa.array(pos)], names=["token", "node", "n", "pos"])
 
     return run
 
@@ -122,17 +219,15 @@ def _sets(n: int, wanted: np.ndarray):
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(0):
-                _, _, shingles = shingle_set(text.as_py(), n)
-                found = np.unique(shingles)
+                found = np.unique(shingles(text.as_py(), n)[1])
                 node = node_of(found)
                 if not len(found) or node in seen or not wanted[int.from_bytes(node[:4], "big") >> (32 - NODE_BITS)]:
                     continue
+                if len(seen) > 200_000:
+                    seen.clear()
                 seen.add(node)
-                parity = np.packbits(np.bincount((found >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY_BITS) & 1)
-                out.append((node, parity.view(np.int64).tolist(), found.view(np.int64)))
-            if len(seen) > 200_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["node", "parity", "items"])
+                out.append((node, found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["node", "items"])
 
     return run
 
@@ -151,28 +246,42 @@ def _fits(percent: int) -> Column:
 class _Links:
     """Compares pairs of nodes, each once, and keeps what it has found in tables."""
 
-    def __init__(self, sets: DataFrame, percent: int, scratch: Scratch):
-        self.sets, self.percent, self.scratch, self.rounds = sets, percent, scratch, 0
+    def __init__(self, texts: DataFrame, words: int, parity: DataFrame, percent: int, scratch: Scratch):
+        self.texts, self.words, self.parity, self.percent, self.scratch, self.rounds = texts, words, parity, percent, scratch, 0
         self.done: DataFrame | None = None
 
+    def _items(self, pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes in ``pairs``, read again from the texts."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        bit = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - NODE_BITS).cast("int")
+        # At most as many rows as the table has bits.
+        used = nodes.select(bit.alias("bit")).distinct().toArrow()
+        wanted = np.zeros(1 << NODE_BITS, bool)
+        wanted[used["bit"].to_numpy()] = True
+        sets = self.texts.mapInArrow(_sets(self.words, wanted), "node binary, items array<long>")
+        return self.scratch.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"sets-{self.rounds}")
+
     def compare(self, pairs: DataFrame) -> int:
-        """``pairs``: node, other, n, other_n. Returns how many links are new."""
+        """``pairs``: node, other, n, other_n. Returns how many links are new. Parities tell most unlike sets without reading them."""
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("n") + F.col("other_n")).alias("sum")).distinct()
         if self.done is not None:
             pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
         self.rounds += 1
         most = F.col("sum") - 2 * F.ceil(self.percent * F.col("sum") / (100 + self.percent))
-        parity = self.sets.select("node", "parity")
         apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(parity.toDF("a", "pa"), "a").join(parity.toDF("b", "pb"), "b").withColumn("near", apart <= most).drop("pa", "pb")
-        near = self.scratch.save(near, f"near-{self.rounds}")
-        items = self.sets.select("node", "items")
-        both = near.where("near").join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+        both = pairs.join(self.parity.toDF("a", "pa"), "a").join(self.parity.toDF("b", "pb"), "b")
+        near = self.scratch.save(both.select("a", "b", "sum", (apart <= most).alias("near")), f"near-{self.rounds}")
+        close = near.where("near")
+        if not close.take(1):
+            self.done = near.select("a", "b", F.lit(None).cast("boolean").alias("link")).union(self.done) if self.done is not None else near.select("a", "b", F.lit(None).cast("boolean").alias("link"))
+            return 0
+        items = self._items(close)
+        both = close.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
         same = F.size(F.array_intersect("ia", "ib"))
         found = self.scratch.save(both.where(100 * same >= self.percent * (F.col("sum") - same)).select("a", "b"), f"links-{self.rounds}")
+        self.scratch.drop(f"sets-{self.rounds}")
         links = near.select("a", "b").join(found.withColumn("link", F.lit(True)), ["a", "b"], "left")
-        self.done = links if self.done is None else self.done.union(links)
-        self.done = self.scratch.save(self.done, f"done-{self.rounds}")
+        self.done = self.scratch.save(links if self.done is None else self.done.union(links), f"done-{self.rounds}")
         return found.count()
 
     def components(self) -> DataFrame:
@@ -190,45 +299,44 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select("doc_id", "text")
-    first = scratch.save(texts.mapInArrow(_first_pass(words), "doc_id long, node binary, n int, word binary, uses long"), "first")
-    common = common_words(first)
+    texts = docs.select("text")
+    first = docs.select("doc_id", "text").mapInArrow(_first_pass(words, percent), "doc_id long, node binary, n int, parity array<long>, word long, uses long")
+    first = scratch.save(first, "first")
+    common = common_words(first, scratch)
     rows = first.where("n IS NOT NULL").select("doc_id", "node", "n")
-
-    index = docs.select("text").mapInArrow(_prefixes(words, percent, common), "token long, node binary, n int, pos int")
-    # Entries of lists with two sets at least; most lists have one.
-    index = scratch.save(index, "index")
+    classes = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
+    classes = scratch.save(classes, "classes")
+    total = classes.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
+    table, bits = shared_slots(texts, words, percent, common, int(total))
+    table = spark.sparkContext.broadcast(table)
+
+    index = scratch.save(texts.mapInArrow(_entries(words, percent, common, table, bits), "token long, node binary, n int, pos int"), "index")
+    # Entries of lists with two sets at least. A list's sets are told apart by half their names, which are numbers.
+    half = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
+    lists = index.groupBy("token").agg(F.min(half).alias("low"), F.max(half).alias("high")).where("low <> high").select("token")
+    lists = scratch.save(lists, "lists")
     width = math.log(100 / percent) * (1 + 1e-9)
-    lists = index.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    entries = index.join(lists, "token", "left_semi").withColumn("band", F.floor(F.log("n") / width).cast("int")).distinct()
-    entries = scratch.save(entries, "entries")
+    entries = index.join(lists, "token", "left_semi").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    entries = scratch.save(entries.distinct(), "entries")
     scratch.drop("index")
+    parity = first.where("node IS NOT NULL").select("node", "parity").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    links = _Links(texts, words, scratch.save(parity, "parity"), percent, scratch)
 
-    wanted = np.zeros(1 << NODE_BITS, bool)
-    # At most as many rows as the table has bits.
-    bits = entries.select(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").alias("k")).select(F.shiftright("k", 32 - NODE_BITS).cast("int").alias("bit")).distinct().toArrow()
-    wanted[bits["bit"].to_numpy()] = True
-    sets = docs.select("text").mapInArrow(_sets(words, wanted), "node binary, parity array<long>, items array<long>").dropDuplicates(["node"])
-    links = _Links(scratch.save(sets, "sets"), percent, scratch)
-
-    seed, open_, found = 0, entries, 0
-    members = None
+    seed, open_, members = 0, entries, None
     while True:
         found = links.compare(_headed(open_, seed, percent))
         seed += 1
         if found or members is None:
             members = links.components()
-        open_, pairs, size = _open_lists(entries, members, percent)
-        open_ = scratch.save(open_, f"open-{seed}")
+        open_, pairs, size = _open_lists(entries, members, scratch, seed)
         if not pairs or pairs <= PAIRS * size or not found:
             break
     if pairs:
-        a, b = open_, open_.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("band").alias("other_band"), F.col("component").alias("other_component"))
-        rest = a.join(b, "token").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component"))).where(_fits(percent))
+        b = open_.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
+        rest = open_.join(b, "token").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component"))).where(_fits(percent))
         if links.compare(rest.select("node", "other", "n", "other_n")):
             members = links.components()
 
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     named = classes.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     linked = links.done.where("link")
@@ -247,10 +355,13 @@ def _headed(entries: DataFrame, seed: int, percent: int) -> DataFrame:
     return probed.where((F.col("node") != F.col("other")) & _fits(percent)).select("node", "other", "n", "other_n")
 
 
-def _open_lists(entries: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, int, int]:
+def _open_lists(entries: DataFrame, members: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, int, int]:
     """Entries of lists that still have several components, the pairs across them, and how many entries there are."""
-    named = entries.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = scratch.save(entries.join(members, "node", "left").withColumn("component", F.coalesce("component", "node")), f"named-{turn}")
     parts = named.groupBy("token", "component").agg(F.count("*").alias("c"))
     lists = parts.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("k")).where("k > 1")
+    lists = scratch.save(lists, f"lists-{turn}")
     total = lists.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs"), F.sum("m").alias("m")).first()
-    return named.join(lists.select("token"), "token", "left_semi"), int(total["pairs"] or 0), int(total["m"] or 0)
+    open_ = scratch.save(named.join(lists.select("token"), "token", "left_semi"), f"open-{turn}")
+    scratch.drop(f"named-{turn}")
+    return open_, int(total["pairs"] or 0), int(total["m"] or 0)
