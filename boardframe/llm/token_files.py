@@ -29,7 +29,9 @@ from boardframe.llm.tokens import encoder
 HEAD = struct.Struct("<4sIIIQQ")
 MAGIC, VERSION, BLOCK = b"BFTK", 1, 4096
 #: Bytes of packed ids after which a task starts its next file.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
+#: Ids that are packed or unpacked at once; whole blocks.
+AT_ONCE = 1 << 18
 
 
 def width(vocab_size: int) -> int:
@@ -64,12 +66,13 @@ def unpack(data: bytes | memoryview, bits: int, count: int) -> np.ndarray:
 def to_file(doc_ids: list[int | None], ids: list[bytes], bits: int) -> bytes:
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<u8")
     flat = np.frombuffer(b"".join(ids), "<u4")
-    packed = pack(flat, bits)  # BLOCK is a multiple of 8, so every block begins at a byte
-    offsets = np.minimum(np.arange(-(-len(flat) // BLOCK) + 1) * (BLOCK * bits // 8), len(packed)).astype("<u8")
+    packed = [pack(flat[i : i + AT_ONCE], bits) for i in range(0, len(flat), AT_ONCE)]
+    # BLOCK is a multiple of 8, so every block begins at a byte.
+    offsets = np.minimum(np.arange(-(-len(flat) // BLOCK) + 1) * (BLOCK * bits // 8), sum(map(len, packed))).astype("<u8")
     known = np.array([0 if x is None else x for x in doc_ids], "<i8")
     nulls = np.array([x is None for x in doc_ids], np.uint8)
     head = HEAD.pack(MAGIC, VERSION, bits, BLOCK, len(doc_ids), len(flat))
-    return b"".join([head, known.tobytes(), nulls.tobytes(), starts.tobytes(), offsets.tobytes(), packed])
+    return b"".join([head, known.tobytes(), nulls.tobytes(), starts.tobytes(), offsets.tobytes(), *packed])
 
 
 class TokenFile:
@@ -99,7 +102,7 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
-    def documents(self, ids: int = 1 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
+    def documents(self, ids: int = AT_ONCE) -> Iterator[tuple[int | None, np.ndarray]]:
         """All, in order, unpacking about ``ids`` of them at once."""
         i = 0
         while i < len(self):

@@ -11,7 +11,7 @@ import unicodedata
 from array import array
 
 #: Words that a worker remembers before it drops those not asked for of late.
-MEMORY = 300_000
+MEMORY = 500_000
 #: Marks that end a word and form one piece of their own after letters.
 MARKS = ".,;:!?|%$&*#"
 
@@ -41,12 +41,11 @@ class Words(dict):
         return found
 
     def _encode(self, word: str) -> bytes:
-        if word.isalpha():
-            return self._part(word.lower() if word.isascii() else word)
         stem = word.rstrip(MARKS)
         if not stem.isalpha():
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        return self._part(stem.lower() if stem.isascii() else stem) + self._part(word[len(stem) :])
+        found = self.parts.get(stem) or self._part(stem)
+        return found if len(stem) == len(word) else found + self._part(word[len(stem) :])
 
     def _part(self, part: str) -> bytes:
         """Plain letters go to the merges at once; all else goes through the vocabulary's own normalising and splitting."""
@@ -54,7 +53,7 @@ class Words(dict):
             return self.parts[part]
         plain = ""
         if part.isalpha() and max(part) < "\u0250":
-            plain = part if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+            plain = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
         if plain.isalpha():
             shown = plain if plain.isascii() else "".join(map(SHOWN.__getitem__, plain.encode()))
             found = array("I", [token.id for token in self.tokenize(shown)]).tobytes()
@@ -71,7 +70,9 @@ class Encoder:
         self.words, self.end = Words(vocabulary), array("I", [end_id]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, (text or "").encode().split())) + self.end
+        raw = (text or "").encode()
+        # The vocabulary lower-cases all but its special tokens.
+        return b"".join(map(self.words.__getitem__, (raw if b"<|" in raw else raw.lower()).split())) + self.end
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
