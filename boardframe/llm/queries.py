@@ -67,15 +67,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled as good and not toxic. As many documents are drawn as fit the target better."""
+    """Target: a sample of TARGET_ROWS documents at most that are labelled as good and not toxic. Raw counts and weights
+    cover all documents; as many are drawn as fit the target better."""
     from boardframe.llm.importance import resample
-    from boardframe.llm.store import marked
 
     good = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    some = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, marked(docs, good).join(good, "doc_id", "left_semi"), scale=IMPORTANCE_SCALE)
+    # TARGET_ROWS numbers at most go to every task.
+    return resample(docs, docs.join(F.broadcast(some), "doc_id", "left_semi"), scale=IMPORTANCE_SCALE)
 
 
+#: Labelled documents that the target is estimated from at most.
+TARGET_ROWS = 20_000
 #: N-grams that a document's mean log-weight counts as.
 IMPORTANCE_SCALE = 200.0
 
