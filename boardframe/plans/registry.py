@@ -1,6 +1,338 @@
-"""All registered queries on the driver's tables."""
+"""The library's operators on the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boardframe.functions import boards, text
+from boardframe.operators import audit, overlay, sequences, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of a reader of tables under its name."""
+
+    def add(make: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return make(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[make.__name__] = run
+        if sql:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return add
+
+
+LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {}) WHERE k = 1"
+
+
+@query(f"SELECT event_type, count(*) AS n FROM ({LATEST.format('events')}) GROUP BY 1")
+def latest_per_key_counts(t):
+    return state.counts(state.latest(t("events"), ["user_id"], ["ts", "event_id"]), "event_type")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k = 1")
+def first_wins(t):
+    return state.first(t("conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "role")
+
+
+ACCEPTED = ("click", "purchase")
+
+
+@query(f"SELECT user_id, event_id, event_type FROM ({LATEST.format('''(SELECT * FROM events WHERE event_type IN ('click', 'purchase'))''')})")
+def filter_then_latest(t):
+    return state.latest_accepted(t("events"), ACCEPTED, keys=["user_id"], order=["ts", "event_id"], status="event_type").select("user_id", "event_id", "event_type")
+
+
+@query(f"SELECT user_id, event_id, event_type FROM ({LATEST.format('events')}) WHERE event_type IN ('click', 'purchase')")
+def latest_then_filter(t):
+    return state.latest_accepted(t("events"), ACCEPTED, buried=True, keys=["user_id"], order=["ts", "event_id"], status="event_type").select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'human' END, CASE WHEN l.quality = 1 THEN 'fix' END, d.lang) AS value,
+  CASE WHEN l.toxic = 1 THEN 'override' WHEN l.quality = 1 THEN 'label' ELSE 'original' END AS source
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def overlay_precedence(t):
+    rows = overlay.overlay(t("documents").select("doc_id", "lang"), (t("labels").select("doc_id", "quality", "toxic"), "l_"), key="doc_id")
+    human, fix = F.when(F.col("l_toxic") == 1, "human"), F.when(F.col("l_quality") == 1, "fix")
+    source = F.when(human.isNotNull(), "override").when(fix.isNotNull(), "label").otherwise("original")
+    return rows.select("doc_id", overlay.prefer(human, fix, F.col("lang")).alias("value"), source.alias("source"))
+
+
+@query("SELECT coalesce(lang, '?') AS lang, count(*) AS n FROM documents GROUP BY 1")
+def status_counts(t):
+    return state.counts(t("documents"), "lang")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_ids(t):
+    return state.without_done(t("documents").select("doc_id"), t("labels"), "doc_id")
+
+
+@query("SELECT k AS doc_id FROM range(0, 1000) r(k) WHERE k NOT IN (SELECT doc_id FROM labels)")
+def expected_ids(t):
+    return sequences.missing(t("labels"), "doc_id", 0, 999)
+
+
+@query("SELECT count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def paired_ids(t):
+    return t("documents").join(t("labels").select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_ids(t):
+    return sequences.duplicates(t("lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("""
+SELECT (SELECT count(*) FROM range(0, 400) r(k) WHERE k NOT IN (SELECT doc_id FROM labels)) AS missing,
+  (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated,
+  (SELECT count(*) FROM labels WHERE doc_id IS NULL) AS unnumbered, false AS ok""")
+def coverage_gate(t):
+    return sequences.gate(t("labels"), "doc_id", 0, 399)
+
+
+@query("""
+SELECT min(doc_id) AS low, CASE WHEN min(doc_id) = max(doc_id) THEN CAST(min(doc_id) AS VARCHAR) ELSE min(doc_id) || '-' || max(doc_id) END AS pages
+FROM (SELECT doc_id, toxic, doc_id - row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS g FROM labels) WHERE toxic = 0 GROUP BY g""")
+def page_ranges(t):
+    return sequences.ranges(t("labels").where("toxic = 0"), "doc_id", ["toxic"]).drop("toxic")
+
+
+@query(r"""
+SELECT doc_id, coalesce(nullif(regexp_extract(source, '^\s*(\d+)', 1), ''), replace(source, '*', '')) AS key, coalesce(TRY_CAST(regexp_replace(source, '\D', '', 'g') AS BIGINT), 0) AS number,
+  CAST(length(source) - length(replace(source, '*', '')) AS INTEGER) AS stars FROM documents""")
+def numeric_key(t):
+    s = F.col("source")
+    return t("documents").select("doc_id", text.key(s).alias("key"), text.sort_number(s).alias("number"), text.stars(s).alias("stars"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(t):
+    return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""
+SELECT l_orderkey, base, n AS votes FROM (
+  SELECT l_orderkey, base, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen, base) AS k FROM (
+    SELECT l_orderkey, CAST(l_quantity AS BIGINT) % 5 - l_linenumber % 2 AS base, count(*) AS n, min(l_linenumber) AS seen FROM lineitem GROUP BY 1, 2)) WHERE k = 1""")
+def majority_offset(t):
+    rows = t("lineitem").withColumn("base", F.col("l_quantity").cast("bigint") % 5 - F.col("l_linenumber") % 2)
+    return sequences.majority(rows, "base", ["l_linenumber"], ["l_orderkey"])
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def stitch_text(t):
+    return sequences.stitched(t("conversations"), "text", ["turn"], ["conv_id"])
+
+
+@query("""
+SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS carried FROM conversations""")
+def carry_forward(t):
+    own = F.when(F.col("role") == "user", F.length("text").cast("bigint"))
+    return t("conversations").select("conv_id", "turn", F.coalesce(sequences.carried(own, ["turn"], ["conv_id"]), F.lit(-1)).alias("carried"))
+
+
+@query("""
+SELECT event_type, low, high, gap FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY gap DESC, low) AS k FROM (
+  SELECT event_type, value AS low, lead(value) OVER (PARTITION BY event_type ORDER BY value) AS high, high - low AS gap FROM events) WHERE high IS NOT NULL) WHERE k = 1""")
+def widest_gap(t):
+    return sequences.widest_gap(t("events"), "value", ["event_type"])
+
+
+@query("""
+SELECT user_id, min(event_id) AS low, max(event_id) AS high, count(*) AS n, CAST(floor((min(event_id) + max(event_id)) / 2) AS BIGINT) AS centre FROM (
+  SELECT user_id, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM (
+    SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 50 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, g""")
+def tolerant_runs(t):
+    return sequences.runs(t("events").select("user_id", "event_id"), "event_id", ["user_id"], 50)
+
+
+@query("""
+SELECT user_id, coalesce(max(CASE WHEN f THEN n END), 0) AS longest FROM (SELECT user_id, f, g, count(*) AS n FROM (
+  SELECT user_id, f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, f ORDER BY event_id) AS g
+  FROM (SELECT *, event_type = 'click' AS f FROM events)) GROUP BY 1, 2, 3) GROUP BY 1""")
+def longest_run(t):
+    return sequences.longest_run(t("events"), F.col("event_type") == "click", ["event_id"], ["user_id"])
+
+
+@query("""
+SELECT o_custkey, (k - 1) // 2 AS pair, max(CASE WHEN k % 2 = 1 THEN o_orderkey END) AS first, coalesce(max(CASE WHEN k % 2 = 0 THEN o_orderkey END), -1) AS second
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1, 2""")
+def pair_rows(t):
+    return sequences.pairs(t("orders"), "o_orderkey", ["o_orderkey"], ["o_custkey"]).na.fill(-1, ["second"])
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS INTEGER) AS n, regexp_extract_all(text, '[A-Z][a-z]+')[1] AS first FROM documents")
+def token_scan(t):
+    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))
+    return t("documents").select("doc_id", F.size(found).alias("n"), F.try_element_at(found, F.lit(1)).alias("first"))
+
+
+@query(r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[{}]', '''', 'g')) AS n FROM pages")
+def markup_strip(t):
+    return t("pages").select("page_id", F.length(text.comment_safe(F.regexp_replace("html", "<[^>]*>", ""))).cast("bigint").alias("n"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(translate(text, '–‑−', '---'), '\b0-0-0', 'O-O-O', 'g'), '\b0-0', 'O-O', 'g')) AS folded FROM documents")
+def normalise_text(t):
+    return t("documents").select("doc_id", F.md5(text.fold_moves(F.col("text"))).alias("folded"))
+
+
+@query("""
+SELECT count(*) AS n, CAST(sum(CASE WHEN d.text IS NOT NULL AND list_slice(string_split(d.text, ' '), 1, 2) = list_slice(string_split(b.text, ' '), 1, 2) THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+  CAST(sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3""")
+def prefix_score(t):
+    docs = t("documents").select((F.col("doc_id") / 3).cast("bigint").alias("item_id"), F.col("text").alias("got"), "doc_id").where("doc_id % 3 = 0")
+    both = t("benchmark").join(docs, "item_id", "left")
+    head = lambda c: F.slice(F.split(c, " "), 1, 2)
+    return both.agg(F.count("*").alias("n"), F.count_if(head("got") == head("text")).alias("ok"), F.count_if(F.col("doc_id").isNull()).alias("missing"))
+
+
+TIER = """CASE WHEN l.toxic = 1 THEN 'LOW' WHEN d.text = '' THEN 'MEDIUM' WHEN contains(d.text, '#') AND coalesce(l.quality, 0) = 0 THEN 'HIGH' ELSE 'MEDIUM' END"""
+
+
+def _tiers(t):
+    rows = t("documents").select("doc_id", "text").join(t("labels"), "doc_id", "left")
+    # Texts of prose hold no printed moves, so a mark is all that can vouch for them.
+    text_ = F.when(F.col("text").contains("#"), "#").when(F.col("text") != "", "-").otherwise("")
+    return rows.select("doc_id", "quality", audit.tier(text_, F.lit(""), F.when(F.col("toxic") == 1, "low").otherwise(""), F.coalesce("quality", F.lit(0))).alias("tier"))
+
+
+@query(f"SELECT d.doc_id, {TIER} AS tier FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def confidence_tier(t):
+    return _tiers(t).select("doc_id", "tier")
+
+
+@query(f"SELECT {TIER} AS tier, CAST(sum(l.quality) AS BIGINT) AS correct, count(*) AS total, avg(CAST(l.quality AS DOUBLE)) AS share FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def calibration(t):
+    return audit.calibration(_tiers(t).where("quality IS NOT NULL").withColumn("correct", F.col("quality") == 1))
+
+
+CHAPTERS = [(1, 20_000, "opening"), (20_001, 35_000, "middle"), (35_001, 10_000_000, "end")]
+
+
+@query(f"SELECT o_orderkey, name FROM orders JOIN (VALUES {', '.join(map(str, CHAPTERS))}) c(low, high, name) ON o_orderkey BETWEEN low AND high")
+def range_lookup(t):
+    orders = t("orders")
+    chapters = orders.sparkSession.createDataFrame(CHAPTERS, "low long, high long, name string")
+    return orders.join(F.broadcast(chapters), F.col("o_orderkey").between(F.col("low"), F.col("high"))).select("o_orderkey", "name")
+
+
+@query("""
+SELECT p_brand, a, b FROM (SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b, row_number() OVER (PARTITION BY x.p_brand ORDER BY abs(x.p_size - y.p_size), x.p_partkey, y.p_partkey) AS k
+FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey AND y.p_partkey - x.p_partkey <= 50) WHERE k = 1""")
+def argmin_pair(t):
+    # Neighbours within 50 keys meet in one bucket of 50 or in the next.
+    own = t("part").select("p_brand", F.col("p_partkey").alias("a"), F.col("p_size").alias("s"), F.floor(F.col("p_partkey") / 50).alias("bucket"))
+    other = own.select("p_brand", F.col("a").alias("b"), F.col("s").alias("z"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
+    pairs = own.join(other, ["p_brand", "bucket"]).where("a < b AND b - a <= 50")
+    return pairs.groupBy("p_brand").agg(F.min(F.struct(F.abs(F.col("s") - F.col("z")).alias("d"), "a", "b")).alias("m")).select("p_brand", "m.a", "m.b")
+
+
+@query("SELECT p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, p_type LIMIT 15")
+def top_fonts(t):
+    rows = t("lineitem").select("l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    return rows.groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(15)
+
+
+@query("""
+SELECT count(*) AS pages, round(avg(CASE WHEN contains(html, '<p>') THEN 1.0 ELSE 0.0 END), 3) AS text_fraction, CAST(sum(length(html)) AS BIGINT) AS total_chars,
+  CAST(sum(CASE WHEN contains(html, '<nav>') THEN 1 ELSE 0 END) AS BIGINT) AS with_nav FROM pages""")
+def doc_profile(t):
+    has = lambda mark: F.col("html").contains(mark)
+    return t("pages").agg(F.count("*").alias("pages"), F.round(F.avg(has("<p>").cast("double")), 3).alias("text_fraction"), F.sum(F.length("html")).alias("total_chars"), F.count_if(has("<nav>")).alias("with_nav"))
+
+
+@query("""
+SELECT doc_id, review, CAST(row_number() OVER (ORDER BY CASE review WHEN 'needs-review' THEN 0 WHEN 'unsolved' THEN 1 WHEN 'no-solution' THEN 2 WHEN 'verified' THEN 3 ELSE 4 END, doc_id) AS BIGINT) AS place FROM (
+  SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'no-solution' WHEN l.quality = 0 AND l.toxic = 1 THEN 'unsolved' WHEN l.quality = 0 THEN 'needs-review' WHEN l.toxic = 1 THEN 'reviewed' ELSE 'verified' END AS review
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
+def review_queue(t):
+    from pyspark.sql import Window
+
+    from boardframe.operators.review import ORDER, outcome
+
+    rows = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
+    review = outcome(F.col("quality").cast("string"), F.col("quality") == 1, F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    rows = rows.select("doc_id", review.alias("review")).withColumn("rank", F.array_position(F.array(*map(F.lit, ORDER)), F.col("review")))
+    # A place among all is the place among rows of one outcome, and how many have an earlier one: no row but counts meet in one task.
+    before = rows.groupBy("rank").agg(F.count("*").alias("n"))
+    before = before.select("rank", (F.coalesce(F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    own = F.row_number().over(Window.partitionBy("rank").orderBy("doc_id"))
+    return rows.withColumn("own", own).join(F.broadcast(before), "rank").select("doc_id", "review", (F.col("own") + F.col("before")).cast("bigint").alias("place"))
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src0' UNION SELECT doc_id FROM labels WHERE toxic = 1")
+def union_candidates(t):
+    return t("documents").where("source = 'src0'").select("doc_id").union(t("labels").where("toxic = 1").select("doc_id")).distinct()
+
+
+BOARDS = ["8/k7/8/8/8/8/8/K7", "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR", "6k1/5ppp/8/8/8/8/8/R5K1", "r3k2r/8/8/8/8/8/8/4K2R"]
+# What the functions must give for BOARDS, worked out by hand: shifts, castling rights, structural reason.
+SHIFTS = [("8/k7/8/8/8/8/8/K7", "up", "k7/8/8/8/8/8/K7/8"), ("8/k7/8/8/8/8/8/K7", "right", "8/1k6/8/8/8/8/8/1K6")]
+RIGHTS = ["-", "KQkq", "-", "Kkq"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, SHIFTS)) + ") x(board, direction, fen)")
+def shift_board(t):
+    rows = t("region").sparkSession.createDataFrame([(b,) for b in BOARDS], "board string")
+    return rows.select("board", F.explode(boards.shifts(F.col("board"))).alias("s")).select("board", "s.direction", "s.fen")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str((b, b, r)) for b, r in zip(BOARDS, RIGHTS, strict=True)) + ") x(board, again, rights)")
+def run_length_round_trip(t):
+    rows = t("region").sparkSession.createDataFrame([(b,) for b in BOARDS], "board string")
+    return rows.select("board", boards.encode(boards.decode(F.col("board"))).alias("again"), boards.castling(F.col("board")).alias("rights"))
+
+
+# Worked by hand from the rules of chess: id, board, side, text, audit status, verify status.
+PUZZLES = [
+    ("1", "6k1/5ppp/8/8/8/8/8/R5K1", "w", "1.Ra8#", "OK", "verified"),
+    ("2", "6k1/5ppp/8/8/8/8/8/R5K1", "b", "1.Ra8#", "TURN", "verified"),
+    ("3", "6k1/5ppp/8/8/8/8/8/R5K1", "w", "1.Ra8# (1.Rb8)", "VAR_ONLY", "verified"),
+    ("4", "6k1/5ppp/8/8/8/8/8/R5K1", "w", "1.Rb8", "ILLEGAL", "needs_review"),
+    ("5", "8/8/8/8/8/8/8/R5K1", "w", "1.Ra8", "STRUCT", "needs_review"),
+    ("6", "4k3/8/8/8/8/8/8/4K2R", "w", "1.O-O", "OK", "verified"),
+    ("7", "4k3/8/8/8/8/6K1/8/R6R", "w", "1.Rd1", "PARSE", "needs_review"),
+]
+
+
+def _puzzles(t):
+    from boardframe.sources.readers import PUZZLE
+
+    return t("region").sparkSession.createDataFrame([(i, None, f, s, m, "recognized", 0, None, None, None, None) for i, f, s, m, *_ in PUZZLES], PUZZLE)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str((p[0], p[4])) for p in PUZZLES) + ") x(id, status)")
+def replay_status(t):
+    return audit.audit(_puzzles(t)).select("id", "status")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str((p[0], p[5])) for p in PUZZLES) + ") x(id, status)")
+def verify_status(t):
+    return audit.verify(_puzzles(t)).select("id", "status")
+
+
+@query("SELECT * FROM (VALUES ('1', 'full'), ('2', 'full'), ('3', 'mainline'), ('4', 'unparsed'), ('6', 'full'), ('7', 'unparsed')) x(id, tier)")
+def export_tiers(t):
+    from boardframe.operators.export import games
+
+    rows = _puzzles(t).withColumn("to_move", F.when(F.col("id") == "2", "w").otherwise(F.col("to_move")))
+    return games(rows, "Fixture").select("id", "tier")
+
+
+@query("SELECT * FROM (VALUES ('1', 'REPAIRED', '1. Ra8#'), ('2', 'REPAIRED', '1. Ra8#'), ('3', 'REPAIRED', '1. Rhd1 Ke7 2. Ra5'), ('4', 'UNREPAIRED', NULL)) x(id, status, moves)")
+def repaired_moves(t):
+    from boardframe.operators.repair import repair_moves
+
+    board, two = "6k1/5ppp/8/8/8/8/8/R5K1", "4k3/8/8/8/8/6K1/8/R6R"
+    rows = [("1", board, "w", "1.Ra8#"), ("2", board, "w", "1.Na8#"), ("3", two, "w", "1.Rd1 Ke7 2.Ra5"), ("4", board, "w", "none")]
+    return repair_moves(t("region").sparkSession.createDataFrame(rows, "id string, fen string, to_move string, moves string")).select("id", "status", "moves")
