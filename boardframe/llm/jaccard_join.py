@@ -22,18 +22,18 @@ from pyspark.sql import functions as F
 
 from boardframe.llm.components import connected_components
 from boardframe.llm.hashing import runs, word_hashes
-from boardframe.llm.store import Scratch, shuffle_partitions
+from boardframe.llm.store import Scratch, marked, shuffle_partitions
 
 #: Words whose counts order the shingles, and slots that hold them; other words count as rare. Only speed depends on them.
 COMMON_WORDS, WORD_SLOTS = 1 << 16, 1 << 20
-#: Bits of a set's parities, and of the table of nodes whose sets are read again. Both sizes are fixed.
-PARITY_BITS, NODE_BITS = 512, 24
+#: Bits of a set's parities.
+PARITY_BITS = 512
 #: Least and most bits, as powers of two, of the table that tells which first shingles several sets may have; eight bits a shingle between. A
 #: full table lets all be indexed.
 TOKEN_BITS = (20, 30)
 BLOCKS = 1024
 #: Times the index entries that pairs within lists may be, before another round of headers is tried first.
-PAIRS = 4
+PAIRS = 64
 
 
 def shingles(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,21 +213,11 @@ def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
     return run
 
 
-def _sets(n: int, wanted: np.ndarray):
+def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(0):
-                found = np.unique(shingles(text.as_py(), n)[1])
-                node = node_of(found)
-                if not len(found) or node in seen or not wanted[int.from_bytes(node[:4], "big") >> (32 - NODE_BITS)]:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(node)
-                out.append((node, found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["node", "items"])
+            found = [x for x in (np.unique(shingles(text.as_py(), n)[1]) for text in batch.column(0)) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "items"])
 
     return run
 
@@ -237,6 +227,11 @@ def _alpha(x: Column, y: Column, percent: int) -> Column:
     return F.ceil(percent * (x + y) / (100 + percent))
 
 
+def _early(percent: int) -> Column:
+    """Whether an entry's place leaves room for a link with a set of its own size."""
+    return F.col("n") - F.col("pos") >= _alpha(F.col("n"), F.col("n"), percent)
+
+
 def _fits(percent: int) -> Column:
     """Whether sizes and positions (n, pos and other_n, other_pos) leave room for a link."""
     x, y = F.col("n"), F.col("other_n")
@@ -246,19 +241,15 @@ def _fits(percent: int) -> Column:
 class _Links:
     """Compares pairs of nodes, each once, and keeps what it has found in tables."""
 
-    def __init__(self, texts: DataFrame, words: int, parity: DataFrame, percent: int, scratch: Scratch):
-        self.texts, self.words, self.parity, self.percent, self.scratch, self.rounds = texts, words, parity, percent, scratch, 0
+    def __init__(self, docs: DataFrame, words: int, classes: DataFrame, parity: DataFrame, percent: int, scratch: Scratch):
+        self.docs, self.words, self.classes, self.parity, self.percent, self.scratch, self.rounds = docs, words, classes, parity, percent, scratch, 0
         self.done: DataFrame | None = None
 
     def _items(self, pairs: DataFrame) -> DataFrame:
-        """The sets of the nodes in ``pairs``, read again from the texts."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        bit = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - NODE_BITS).cast("int")
-        # At most as many rows as the table has bits.
-        used = nodes.select(bit.alias("bit")).distinct().toArrow()
-        wanted = np.zeros(1 << NODE_BITS, bool)
-        wanted[used["bit"].to_numpy()] = True
-        sets = self.texts.mapInArrow(_sets(self.words, wanted), "node binary, items array<long>")
+        """The sets of the nodes in ``pairs``, read again from one text of each."""
+        nodes = self.scratch.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"nodes-{self.rounds}")
+        ids = self.classes.join(nodes, "node", "left_semi").select(F.col("class_id").alias("doc_id"))
+        sets = marked(self.docs, ids).select("text").mapInArrow(_sets(self.words), "node binary, items array<long>")
         return self.scratch.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"sets-{self.rounds}")
 
     def compare(self, pairs: DataFrame) -> int:
@@ -299,6 +290,7 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    docs = docs.select("doc_id", "text")
     texts = docs.select("text")
     first = docs.select("doc_id", "text").mapInArrow(_first_pass(words, percent), "doc_id long, node binary, n int, parity array<long>, word long, uses long")
     first = scratch.save(first, "first")
@@ -320,7 +312,7 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     entries = scratch.save(entries.distinct(), "entries")
     scratch.drop("index")
     parity = first.where("node IS NOT NULL").select("node", "parity").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    links = _Links(texts, words, scratch.save(parity, "parity"), percent, scratch)
+    links = _Links(docs, words, classes, scratch.save(parity, "parity"), percent, scratch)
 
     seed, open_, members = 0, entries, None
     while True:
@@ -328,13 +320,17 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
         seed += 1
         if found or members is None:
             members = links.components()
-        open_, pairs, size = _open_lists(entries, members, scratch, seed)
+        open_, pairs, size = _open_lists(entries, members, percent, scratch, seed)
         if not pairs or pairs <= PAIRS * size or not found:
             break
     if pairs:
-        b = open_.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
-        rest = open_.join(b, "token").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component"))).where(_fits(percent))
-        if links.compare(rest.select("node", "other", "n", "other_n")):
+        # Of two linked sets the smaller has a common shingle so early that even an equal set could be linked, and the other lies in
+        # its band or the next.
+        small = open_.where(_early(percent)).select("token", "node", "n", "pos", "component", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        large = open_.select("token", "band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
+        keys = (small["token"] == large["token"]) & (small["band"] == large["band"])
+        apart = (F.col("component") != F.col("other_component")) & ((F.col("n") < F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("node") != F.col("other")))
+        if links.compare(small.join(large, keys & apart & _fits(percent)).select("node", "other", "n", "other_n")):
             members = links.components()
 
     named = classes.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -355,13 +351,16 @@ def _headed(entries: DataFrame, seed: int, percent: int) -> DataFrame:
     return probed.where((F.col("node") != F.col("other")) & _fits(percent)).select("node", "other", "n", "other_n")
 
 
-def _open_lists(entries: DataFrame, members: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, int, int]:
-    """Entries of lists that still have several components, the pairs across them, and how many entries there are."""
+def _open_lists(entries: DataFrame, members: DataFrame, percent: int, scratch: Scratch, turn: int) -> tuple[DataFrame, int, int]:
+    """Entries of lists that still have several components, about how many pairs across them are to be looked at, and how many entries there are."""
     named = scratch.save(entries.join(members, "node", "left").withColumn("component", F.coalesce("component", "node")), f"named-{turn}")
-    parts = named.groupBy("token", "component").agg(F.count("*").alias("c"))
-    lists = parts.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("k")).where("k > 1")
-    lists = scratch.save(lists, f"lists-{turn}")
-    total = lists.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs"), F.sum("m").alias("m")).first()
+    parts = named.groupBy("token", "band", "component").agg(F.count("*").alias("c"), F.count_if(_early(percent)).alias("e"))
+    parts = scratch.save(parts, f"parts-{turn}")
+    lists = parts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("c").alias("m")).where("low <> high")
+    lists = scratch.save(lists.select("token", "m"), f"lists-{turn}")
+    blocks = parts.join(lists, "token", "left_semi").groupBy("token", "band").agg((F.sum("c") * F.sum("e") - F.sum(F.col("c") * F.col("e"))).alias("p"))
+    pairs, size = blocks.agg(F.sum("p")).first()[0], lists.agg(F.sum("m")).first()[0]
     open_ = scratch.save(named.join(lists.select("token"), "token", "left_semi"), f"open-{turn}")
     scratch.drop(f"named-{turn}")
-    return open_, int(total["pairs"] or 0), int(total["m"] or 0)
+    # An open list may have its components in different bands; then no pair is counted, but there may be one.
+    return open_, max(int(pairs or 0), int(bool(size))), int(size or 0)
