@@ -1,9 +1,9 @@
 """Exact Jaccard join of shingle sets that skips by relations between sets.
 
-Texts become sets of hashed word shingles; equal sets are one node. In a global order that puts shingles with rare words
-first, two sets that are similar enough share one of their first shingles, so only those are indexed. Index lists are kept
-in blocks of sets of similar size. A block is headed by its entry of least position, and is skipped whole if not even the
-header's position leaves room for the overlap asked for. What remains is answered through similar sets: a set is compared
+Texts become sets of hashed word shingles; equal sets are one node. In a global order that puts shingles of one set alone
+first, then those with rare words, two sets that are similar enough share one of their first shingles, so only those
+are indexed, and only if a bit table says that several sets have them. Index lists are kept in blocks of sets of similar
+size; each knows its least position and largest size, and is skipped whole if not even these leave room for the overlap asked for. What remains is answered through similar sets: a set is compared
 with the headers of its blocks first, and what is linked to a header takes over that one's links; sets of one component need no
 comparison with each other. Only pairs of a list that are still in different components are compared one by one.
 """
@@ -28,9 +28,9 @@ from boardframe.llm.store import Scratch, marked, shuffle_partitions
 COMMON_WORDS, WORD_SLOTS = 1 << 16, 1 << 20
 #: Bits of a set's parities.
 PARITY_BITS = 512
-#: Least and most bits, as powers of two, of the table that tells which first shingles several sets may have; eight bits a shingle between. A
-#: full table lets all be indexed.
-TOKEN_BITS = (20, 30)
+#: Least and most bits, as powers of two, of the table that tells which shingles several sets may have; about two bits a shingle between. A
+#: full table lets all be indexed, in the order of their words.
+TOKEN_BITS = (20, 28)
 BLOCKS = 1024
 #: Times the index entries that pairs within lists may be, before another round of headers is tried first.
 PAIRS = 64
@@ -95,37 +95,20 @@ def common_words(rows: DataFrame, scratch: Scratch) -> np.ndarray:
     return out
 
 
-def _prefix(text: str | None, n: int, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's set, and its first shingles: those with the rarest word first."""
-    words, found = shingles(text, n)
-    if not len(words):
-        return words, words
-    uses = common[(words >> np.uint64(44)).astype(np.int64)]
-    rare = uses[: len(found)]
-    for i in range(1, min(n, len(words))):
-        rare = np.minimum(rare, uses[i : i + len(found)])
-    found, first = np.unique(found, return_index=True)
-    rare, k = rare[first], kept(len(found), percent)
-    if k < len(found):
-        some = np.flatnonzero(rare <= np.partition(rare, k - 1)[k - 1])
-    else:
-        some = np.arange(len(found))
-    return found, found[some[np.lexsort((found[some], rare[some]))][:k]]
-
-
-def _once(texts, n: int, percent: int, common: np.ndarray, seen: set[bytes]):
-    """Node, size and first shingles of each text whose set this task has not had."""
+def _once(texts, n: int, seen: set[bytes]):
+    """Node, hashes of words and of shingles, and distinct shingles of each text whose set this task has not had."""
     for text in texts:
-        found, first = _prefix(text.as_py(), n, percent, common)
-        if len(found) and (node := node_of(found)) not in seen:
+        words, found = shingles(text.as_py(), n)
+        distinct, first = np.unique(found, return_index=True)
+        if len(distinct) and (node := node_of(distinct)) not in seen:
             if len(seen) > 200_000:
                 seen.clear()
             seen.add(node)
-            yield node, len(found), first
+            yield node, words, found, distinct, first
 
 
-def _slots(n: int, percent: int, common: np.ndarray, bits: int):
-    """Which slots first shingles fall into, once and more often, as packed gaps for each block of slots."""
+def _slots(n: int, bits: int):
+    """Which slots shingles fall into, once and more often, as packed gaps for each block of slots."""
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         slots, count = np.unique(np.concatenate(held), return_counts=True)
@@ -144,9 +127,9 @@ def _slots(n: int, percent: int, common: np.ndarray, bits: int):
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for _, _, first in _once(batch.column(0), n, percent, common, seen):
-                held.append(first >> np.uint64(64 - bits))
-                size += len(first)
+            for _, _, _, distinct, _ in _once(batch.column(0), n, seen):
+                held.append(distinct >> np.uint64(64 - bits))
+                size += len(distinct)
                 if size > 4_000_000:
                     yield from pack(held)
                     held, size = [], 0
@@ -182,10 +165,10 @@ def _shared(bits: int):
     return run
 
 
-def shared_slots(texts: DataFrame, n: int, percent: int, common: np.ndarray, total: int) -> tuple[np.ndarray, int]:
-    """A table of bits, of at most 2 ** 30, on which slots several sets' first shingles fall into."""
-    bits = min(max(TOKEN_BITS[0], (8 * max(total, 1)).bit_length()), TOKEN_BITS[1])
-    rows = texts.mapInArrow(_slots(n, percent, common, bits), "block int, often boolean, gaps binary")
+def shared_slots(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, int]:
+    """A table of bits on which slots the shingles of several sets fall into."""
+    bits = min(max(TOKEN_BITS[0], (2 * max(total, 1)).bit_length()), TOKEN_BITS[1])
+    rows = texts.mapInArrow(_slots(n, bits), "block int, often boolean, gaps binary")
     rows = rows.repartition(shuffle_partitions(texts.sparkSession), "block").sortWithinPartitions("block")
     table = np.zeros((BLOCKS, 1 << (bits - 13)), np.uint8)
     found = rows.mapInArrow(_shared(bits), "block int, bits binary").toArrow()
@@ -195,17 +178,26 @@ def shared_slots(texts: DataFrame, n: int, percent: int, common: np.ndarray, tot
 
 
 def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
-    """Index entries: first shingles that another set may have, with the place they have among the first."""
+    """Index entries: of each set's first shingles those that another set may have, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             nodes: list[bytes] = []
             parts: list[tuple] = []
-            for node, size, first in _once(batch.column(0), n, percent, common, seen):
-                slot = (first >> np.uint64(64 - bits)).astype(np.int64)
-                pos = np.flatnonzero((table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
-                parts.append((first[pos], np.full(len(pos), len(nodes)), np.full(len(pos), size, np.int32), pos.astype(np.int32)))
+            for node, words, found, distinct, first in _once(batch.column(0), n, seen):
+                slot = (distinct >> np.uint64(64 - bits)).astype(np.int64)
+                shared = (table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                own, k = int(len(shared) - shared.sum()), kept(len(distinct), percent)
+                if own >= k:  # the first are its alone
+                    continue
+                uses = common[(words >> np.uint64(44)).astype(np.int64)]
+                rare = uses[: len(found)]
+                for i in range(1, len(words) - len(found) + 1):
+                    rare = np.minimum(rare, uses[i : i + len(found)])
+                token, rare = distinct[shared], rare[first][shared]
+                order = np.lexsort((token, rare))[: k - own]
+                parts.append((token[order], np.full(len(order), len(nodes)), np.full(len(order), len(distinct), np.int32), np.arange(own, k, dtype=np.int32)))
                 nodes.append(node)
             token, at, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(size), pa.array(pos)], names=["token", "node", "n", "pos"])
@@ -298,8 +290,8 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     rows = first.where("n IS NOT NULL").select("doc_id", "node", "n")
     classes = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
     classes = scratch.save(classes, "classes")
-    total = classes.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
-    table, bits = shared_slots(texts, words, percent, common, int(total))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    table, bits = shared_slots(texts, words, int(total))
     table = spark.sparkContext.broadcast(table)
 
     index = scratch.save(texts.mapInArrow(_entries(words, percent, common, table, bits), "token long, node binary, n int, pos int"), "index")
@@ -343,7 +335,8 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
 
 def _headed(entries: DataFrame, seed: int, percent: int) -> DataFrame:
     """Pairs of each entry with the headers of its token's blocks of its own and the next sizes."""
-    lead = F.struct("pos", "node", "n") if not seed else F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "pos")
+    # The same set heads most lists of a group of similar sets, so that each of these is compared with few.
+    lead = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "pos")
     blocks = entries.groupBy("token", "band").agg(F.min(lead).alias("head"), F.min("pos").alias("low_pos"), F.max("n").alias("high_n"))
     blocks = blocks.select("token", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"), F.col("head.pos").alias("other_pos"), "low_pos", "high_n", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     room = F.least(F.col("n") - F.col("pos"), F.col("high_n") - F.col("low_pos"))

@@ -64,7 +64,7 @@ def test_against_all_pairs(spark, monkeypatch, n, percent, pairs):
 
 
 def test_full_tables_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TOKEN_BITS", (13, 13))
+    monkeypatch.setattr(jaccard_join, "TOKEN_BITS", (14, 14))
     monkeypatch.setattr(jaccard_join, "COMMON_WORDS", 2)
     docs = corpus(9, 6)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=90).collect()]
