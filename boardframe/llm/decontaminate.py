@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from boardframe.llm.hashing import SPACE, between, bounds, runs, sums
 from boardframe.llm.store import Scratch
+from boardframe.llm.tokens import forget
 
 #: Bits of the table of window hashes that goes to every task: its size is fixed, a full one only lets more windows pass.
 FILTER_BITS = 22
@@ -115,6 +116,7 @@ def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame
     """A row for each window of ``rows`` (id, text) that ``wanted``, a table of bits, lets pass; all without one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -3,9 +3,10 @@
 Texts become sets of hashed word shingles; equal sets are one node. In a global order that puts shingles of one set alone
 first, then those with rare words, two sets that are similar enough share one of their first shingles, so only those
 are indexed, and only if a bit table says that several sets have them. Index lists are kept in blocks of sets of similar
-size; each knows its least position and largest size, and is skipped whole if not even these leave room for the overlap asked for. What remains is answered through similar sets: a set is compared
-with the headers of its blocks first, and what is linked to a header takes over that one's links; sets of one component need no
-comparison with each other. Only pairs of a list that are still in different components are compared one by one.
+size; each knows its least position and largest size, and is skipped whole if not even these leave room for the overlap
+asked for. What remains is answered through similar sets: a set is compared with the headers of its blocks first, and what is
+linked to a header takes over that one's links; sets of one component need no comparison with each other. Only pairs of a
+list that are still in different components are compared one by one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from boardframe.llm.components import connected_components
 from boardframe.llm.hashing import runs, word_hashes
 from boardframe.llm.store import Scratch, marked, shuffle_partitions
+from boardframe.llm.tokens import forget
 
 #: Words whose counts order the shingles, and slots that hold them; other words count as rare. Only speed depends on them.
 COMMON_WORDS, WORD_SLOTS = 1 << 16, 1 << 20
@@ -53,6 +55,7 @@ def kept(size: int, percent: int) -> int:
 
 def _first_pass(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words, uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             nodes, sizes, parities, seen = [], [], [], []
@@ -123,6 +126,7 @@ def _slots(n: int, bits: int):
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], names=["block", "often", "gaps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -130,7 +134,7 @@ def _slots(n: int, bits: int):
             for _, _, _, distinct, _ in _once(batch.column(0), n, seen):
                 held.append(distinct >> np.uint64(64 - bits))
                 size += len(distinct)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield from pack(held)
                     held, size = [], 0
         if held:
@@ -181,6 +185,7 @@ def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
     """Index entries: of each set's first shingles those that another set may have, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[bytes] = set()
         for batch in batches:
             nodes: list[bytes] = []

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardframe.llm.store import Scratch
+from boardframe.llm.tokens import forget
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -114,6 +115,7 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 3.0) -> DataFram
     Scratch(docs.sparkSession, "lang")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [infer(x.as_py(), model, penalty) for x in batch.column(1)]
             lang, score, langs, shares = zip(*found, strict=True) if found else ([], [], [], [])
@@ -128,6 +130,7 @@ def keep_identified(docs: DataFrame, model: Model, *, min_score: float = 0.5, pe
     place = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [infer(x.as_py(), model, penalty) for x in batch.column(place)]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score, *_ in found], pa.bool_()))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from boardframe.llm.hashing import BASE, POWERS, between, mix, sums
 from boardframe.llm.store import Scratch, shuffle_partitions
+from boardframe.llm.tokens import forget
 
 GRAM = 32
 #: Anchors that a task ranks among themselves before they move.
@@ -104,6 +105,7 @@ def _rank(length: int):
         yield _spans(doc[old], twin[old], pos[old] - high[old], pos[old] - low[old] + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         parts: list[tuple] = []
         held = 0
         for batch in batches:

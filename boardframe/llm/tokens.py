@@ -83,3 +83,8 @@ def encoder(vocabulary: str, end_id: int) -> Encoder:
     if (vocabulary, end_id) not in _ENCODERS:
         _ENCODERS[vocabulary, end_id] = Encoder(vocabulary, end_id)
     return _ENCODERS[vocabulary, end_id]
+
+
+def forget() -> None:
+    """Frees what this worker remembers; scans that encode nothing call it, as workers outlive their tasks."""
+    _ENCODERS.clear()
