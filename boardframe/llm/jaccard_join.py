@@ -202,10 +202,13 @@ def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
                     rare = np.minimum(rare, uses[i : i + len(found)])
                 token, rare = distinct[shared], rare[first][shared]
                 order = np.lexsort((token, rare))[: k - own]
-                parts.append((token[order], np.full(len(order), len(nodes)), np.full(len(order), len(distinct), np.int32), np.arange(own, k, dtype=np.int32)))
+                token = token[order]
+                before = np.concatenate([np.zeros(1, np.uint64), token[:-1]])  # 0: none
+                parts.append((token, before, np.full(len(order), len(nodes)), np.full(len(order), len(distinct), np.int32), np.arange(own, k, dtype=np.int32)))
                 nodes.append(node)
-            token, at, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(size), pa.array(pos)], names=["token", "node", "n", "pos"])
+            none = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32)]
+            token, before, at, size, pos = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(before.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(size), pa.array(pos)], names=["token", "before", "node", "n", "pos"])
 
     return run
 
@@ -272,6 +275,15 @@ class _Links:
         self.done = self.scratch.save(links if self.done is None else self.done.union(links), f"done-{self.rounds}")
         return found.count()
 
+    def labels(self) -> DataFrame:
+        """node, component: for each linked node the one that comes first as a header, of itself and its links. Nodes with one label are of
+        one component; those of one component may still have several labels, and are then compared."""
+        links = self.done.where("link").select(F.col("a").alias("node"), F.col("b").alias("other"))
+        both = links.union(links.select("other", "node"))
+        first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", F.lit(0)).alias("h"), "other")).alias("first"))
+        own = F.struct(F.xxhash64("node", F.lit(0)).alias("h"), F.col("node").alias("other"))
+        return self.scratch.save(first.select("node", F.least("first", own)["other"].alias("component")), f"labels-{self.rounds}")
+
     def components(self) -> DataFrame:
         return self.scratch.save(connected_components(self.done.where("link").select("a", "b"), self.scratch, f"cc-{self.rounds}"), f"components-{self.rounds}")
 
@@ -299,7 +311,7 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     table, bits = shared_slots(texts, words, int(total))
     table = spark.sparkContext.broadcast(table)
 
-    index = scratch.save(texts.mapInArrow(_entries(words, percent, common, table, bits), "token long, node binary, n int, pos int"), "index")
+    index = scratch.save(texts.mapInArrow(_entries(words, percent, common, table, bits), "token long, before long, node binary, n int, pos int"), "index")
     # Entries of lists with two sets at least. A list's sets are told apart by half their names, which are numbers.
     half = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
     lists = index.groupBy("token").agg(F.min(half).alias("low"), F.max(half).alias("high")).where("low <> high").select("token")
@@ -316,19 +328,20 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
         found = links.compare(_headed(open_, seed, percent))
         seed += 1
         if found or members is None:
-            members = links.components()
+            members = links.labels()
         open_, pairs, size = _open_lists(entries, members, percent, scratch, seed)
         if not pairs or pairs <= PAIRS * size or not found:
             break
     if pairs:
         # Of two linked sets the smaller has a common shingle so early that even an equal set could be linked, and the other lies in
-        # its band or the next.
-        small = open_.where(_early(percent)).select("token", "node", "n", "pos", "component", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-        large = open_.select("token", "band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
+        # its band or the next. Where both have the same shingle just before this one, they have met there.
+        small = open_.where(_early(percent)).select("token", "before", "node", "n", "pos", "component", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        large = open_.select("token", F.col("before").alias("other_before"), "band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
         keys = (small["token"] == large["token"]) & (small["band"] == large["band"])
         apart = (F.col("component") != F.col("other_component")) & ((F.col("n") < F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("node") != F.col("other")))
-        if links.compare(small.join(large, keys & apart & _fits(percent)).select("node", "other", "n", "other_n")):
-            members = links.components()
+        anew = (F.col("before") != F.col("other_before")) | (F.col("before") == 0)
+        links.compare(small.join(large, keys & anew & apart & _fits(percent)).select("node", "other", "n", "other_n"))
+    members = links.components()
 
     named = classes.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
