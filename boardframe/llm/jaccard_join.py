@@ -243,6 +243,7 @@ class _Links:
 
     def __init__(self, docs: DataFrame, words: int, classes: DataFrame, parity: DataFrame, percent: int, scratch: Scratch):
         self.docs, self.words, self.classes, self.parity, self.percent, self.scratch, self.rounds = docs, words, classes, parity, percent, scratch, 0
+        self.turns = 0
         self.done: DataFrame | None = None
 
     def _items(self, pairs: DataFrame) -> DataFrame:
@@ -278,14 +279,23 @@ class _Links:
     def labels(self) -> DataFrame:
         """node, component: for each linked node the one that comes first as a header, of itself and its links. Nodes with one label are of
         one component; those of one component may still have several labels, and are then compared."""
+        self.turns += 1
         links = self.done.where("link").select(F.col("a").alias("node"), F.col("b").alias("other"))
         both = links.union(links.select("other", "node"))
         first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", F.lit(0)).alias("h"), "other")).alias("first"))
         own = F.struct(F.xxhash64("node", F.lit(0)).alias("h"), F.col("node").alias("other"))
-        return self.scratch.save(first.select("node", F.least("first", own)["other"].alias("component")), f"labels-{self.rounds}")
+        return self.scratch.save(first.select("node", F.least("first", own)["other"].alias("component")), f"labels-{self.turns}")
 
     def components(self) -> DataFrame:
-        return self.scratch.save(connected_components(self.done.where("link").select("a", "b"), self.scratch, f"cc-{self.rounds}"), f"components-{self.rounds}")
+        """node, component over all links: components of the labels, if links between different labels are left."""
+        labels = self.labels()
+        a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")) for c in "ab")
+        edges = self.done.where("link").select("a", "b").join(a, "a").join(b, "b").where("la <> lb").select("la", "lb").distinct()
+        edges = self.scratch.save(edges, "edges")
+        if not edges.take(1):
+            return labels
+        roots = connected_components(edges, self.scratch).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        return self.scratch.save(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
 
 
 def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -305,7 +315,7 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     first = scratch.save(first, "first")
     common = common_words(first, scratch)
     rows = first.where("n IS NOT NULL").select("doc_id", "node", "n")
-    classes = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
+    classes = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     classes = scratch.save(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     table, bits = shared_slots(texts, words, int(total))
@@ -320,8 +330,7 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     entries = index.join(lists, "token", "left_semi").withColumn("band", F.floor(F.log("n") / width).cast("int"))
     entries = scratch.save(entries.distinct(), "entries")
     scratch.drop("index")
-    parity = first.where("node IS NOT NULL").select("node", "parity").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    links = _Links(docs, words, classes, scratch.save(parity, "parity"), percent, scratch)
+    links = _Links(docs, words, classes, classes.select("node", "parity"), percent, scratch)
 
     seed, open_, members = 0, entries, None
     while True:
@@ -343,11 +352,11 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
         links.compare(small.join(large, keys & anew & apart & _fits(percent)).select("node", "other", "n", "other_n"))
     members = links.components()
 
-    named = classes.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "class_id").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     linked = links.done.where("link")
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = scratch.save(named.join(low, "component").join(degree, "node", "left").select("node", "class_id", "component_id", "n_links"), "named")
+    named = named.join(low, "component").join(degree, "node", "left").select("node", "class_id", "component_id", "n_links")
     return rows.join(named, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
