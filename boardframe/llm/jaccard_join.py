@@ -7,6 +7,9 @@ size; each knows its least position and largest size, and is skipped whole if no
 asked for. What remains is answered through similar sets: a set is compared with the headers of its blocks first, and what is
 linked to a header takes over that one's links; sets of one component need no comparison with each other. Only pairs of a
 list that are still in different components are compared one by one.
+
+That gives components. Every link lies within one, so each set's links are derived from there: a set is told by its difference from
+one header of its component, and the differences of two sets tell their overlap. Pairs are counted in blocks and never become rows.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ TOKEN_BITS = (20, 28)
 BLOCKS = 1024
 #: Times the index entries that pairs within lists may be, before another round of headers is tried first.
 PAIRS = 64
+#: Sets, and items of their differences, of a part of a component; any two parts are compared by one task at a time.
+PART_SETS, PART_ITEMS = 256, 1 << 20
+#: Cells of a table of sets and items that is multiplied at once.
+CELLS = 1 << 22
 
 
 def shingles(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +229,64 @@ def _sets(n: int):
     return run
 
 
+def _linked(held: list[tuple], percent: int) -> np.ndarray:
+    """For each of these sets (name, size, whether of the first part, difference from a set that is the same for all), with how many of the
+    other part it is linked; of its own part, if there is but one."""
+    size, first = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], bool)
+    length = np.array([len(x[3]) for x in held], np.int64)
+    _, item, often = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+    several = often > 1
+    use = several[item]
+    row, column = np.arange(len(held)).repeat(length)[use], (np.cumsum(several) - 1)[item[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    one = bool(first.all())
+    a = np.flatnonzero(first)
+    b = a if one else np.flatnonzero(~first)
+    both, wide = np.zeros((len(a), len(b)), np.int64), max(1, CELLS // len(held))
+    for low in range(0, int(several.sum()), wide):
+        part = slice(*np.searchsorted(column, [low, low + wide]))
+        table = np.zeros((len(held), min(wide, int(several.sum()) - low)), np.float32)
+        table[row[part], column[part] - low] = 1
+        both += (table[a] @ table[b].T).astype(np.int64)
+    total = size[a][:, None] + size[b][None, :]
+    same = (total - (length[a][:, None] + length[b][None, :] - 2 * both)) // 2
+    link = 100 * same >= percent * (total - same)
+    out = np.zeros(len(held), np.int64)
+    if one:
+        np.fill_diagonal(link, False)
+    else:
+        out[b] = link.sum(0)
+    out[a] = link.sum(1)
+    return out
+
+
+def _degrees(percent: int):
+    """Rows sorted by component and two of its parts (low, high) to the links between sets of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.binary()), pa.array(_linked(held, percent))], names=["node", "n_links"])
+
+        for batch in batches:
+            *keys, parts, nodes, sizes = (c.to_pylist() for c in batch.columns[:6])
+            items = batch.column(6)
+            edges = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+            values = items.flatten().to_numpy()
+            for i, now in enumerate(zip(*keys, strict=True)):
+                if now != key:
+                    if held:
+                        yield done()
+                    key, held = now, []
+                held.append((nodes[i], sizes[i], parts[i] == now[1], values[edges[i] : edges[i + 1]]))
+        if held:
+            yield done()
+
+    return run
+
+
 def _alpha(x: Column, y: Column, percent: int) -> Column:
     """Least overlap of sets of these sizes that links them."""
     return F.ceil(percent * (x + y) / (100 + percent))
@@ -297,15 +362,34 @@ class _Links:
         roots = connected_components(edges, self.scratch).select(F.col("node").alias("component"), F.col("component").alias("root"))
         return self.scratch.save(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
 
-
-def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id, n_links.
+    def degrees(self, members: DataFrame) -> DataFrame:
+        """node, n_links over all pairs of each component of ``members``: its header is the set that names it."""
+        ids = self.classes.join(members, "node", "left_semi").select(F.col("class_id").alias("doc_id"))
+        sets = marked(self.docs, ids).select("text").mapInArrow(_sets(self.words), "node binary, items array<long>")
+        sets = self.scratch.save(sets.join(members, "node").dropDuplicates(["node"]), "members")
+        heads = self.scratch.save(sets.where("node = component").select("component", F.col("items").alias("head")), "heads")
+        apart = F.concat(F.array_except("items", "head"), F.array_except("head", "items"))
+        sets = self.scratch.save(sets.join(heads, "component").select("component", "node", F.size("items").alias("n"), apart.alias("apart")), "apart")
+        self.scratch.drop("members")
+        parts = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum(F.size("apart")) / PART_ITEMS)).cast("int").alias("parts"))
+        parts = self.scratch.save(parts, "parts")  # a table of its own, so that the join may split a large component
+        own = sets.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        own = own.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "apart")
+        key = ["component", "low", "high"]
+        own = own.repartition(shuffle_partitions(self.docs.sparkSession), *key).sortWithinPartitions(*key)
+        found = own.mapInArrow(_degrees(self.percent), "node binary, n_links long")
+        return self.scratch.save(found.groupBy("node").agg(F.sum("n_links").alias("n_links")), "degrees")
+
+
+def similar(docs: DataFrame, *, words: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id and, if ``count``, n_links.
 
     A text's set has its distinct runs of ``words`` words (ASCII white space between them, A-Z lower-cased), or all its words
     as one if they are fewer. Sets are linked when 100 * intersection >= ``percent`` * union. component_id is the smallest
     doc_id that can be reached over links, class_id the smallest with an equal set (null doc_ids come last). Null, empty and
-    blank texts have no set and are alone. Repeated rows get one row each. n_links counts the links to other sets that were
-    looked at; those within a component that follow from others need not be.
+    blank texts have no set and are alone. Repeated rows get one row each. n_links is how many other sets a text's set is
+    linked to, over all of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -354,10 +438,12 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
 
     named = classes.select("node", "class_id").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    linked = links.done.where("link")
-    degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = named.join(low, "component").join(degree, "node", "left").select("node", "class_id", "component_id", "n_links")
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.join(low, "component")
+    out = [F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")]
+    if count:
+        named = named.join(links.degrees(members), "node", "left")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(named.drop("component"), "node", "left").select("doc_id", *out)
 
 
 def _headed(entries: DataFrame, seed: int, percent: int) -> DataFrame:

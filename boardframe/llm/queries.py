@@ -109,7 +109,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.jaccard_join import similar
 
-    return similar(read(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return similar(read(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

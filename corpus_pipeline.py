@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component over five-word shingles and a similarity of 0.8 the smallest doc_id stays."""
-    found = Scratch(spark, "near").save(similar(docs, words=5, percent=80).select("doc_id", "component_id"), "found")
+    found = Scratch(spark, "near").save(similar(docs, words=5, percent=80, count=False).select("doc_id", "component_id"), "found")
     return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 

@@ -72,6 +72,24 @@ def test_full_tables_lose_nothing(spark, monkeypatch):
     assert sorted(got, key=key) == sorted(brute(docs, 3, 90), key=key)
 
 
+@pytest.mark.parametrize(("part", "cells"), [(256, 1 << 22), (4, 64)])
+def test_all_links_are_counted(spark, monkeypatch, part, cells):
+    monkeypatch.setattr(jaccard_join, "PART_SETS", part)
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    base = [f"w{i}" for i in range(200)]
+    near = [(100 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(0, 60, 3)]  # all alike, none equal
+    chain = [(200 + i, " ".join(f"c{j}" for j in range(6 * i, 6 * i + 150))) for i in range(12)]  # each like its neighbours only
+    docs = corpus(4, 8) + near + chain + near[:3]
+    found = sets(docs, 3)
+    own = set(found) - {frozenset()}
+    want = sorted(((d is None, d or 0), sum(a != b and 100 * len(a & b) >= 90 * len(a | b) for b in own) if a else 0) for (d, _), a in zip(docs, found, strict=True))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_links"]) for r in similar(frame, words=3, percent=90).collect())
+    assert got == want
+    links = dict(got)
+    assert links[(False, 103)] > 10 and links[(False, 205)] == 2
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar(frame).collect()) == [(1, 0, 1), (2, 0, 2)]
