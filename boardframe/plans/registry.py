@@ -29,6 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _id_range(t) -> tuple[int, int]:
+    """Least and greatest doc_id of the documents; without any, a range that holds nothing."""
+    low, high = t("documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    return (0, -1) if low is None else (low, high)
+
+
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM {}) WHERE k = 1"
 
 
@@ -78,7 +84,7 @@ def missing_ids(t):
 
 @query("SELECT k AS doc_id FROM range(0, 1000) r(k) WHERE k NOT IN (SELECT doc_id FROM labels)")
 def expected_ids(t):
-    return sequences.missing(t("labels"), "doc_id", 0, 999)
+    return sequences.missing(t("labels"), "doc_id", *_id_range(t))
 
 
 @query("SELECT count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -96,7 +102,7 @@ SELECT (SELECT count(*) FROM range(0, 400) r(k) WHERE k NOT IN (SELECT doc_id FR
   (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated,
   (SELECT count(*) FROM labels WHERE doc_id IS NULL) AS unnumbered, false AS ok""")
 def coverage_gate(t):
-    return sequences.gate(t("labels"), "doc_id", 0, 399)
+    return sequences.gate(t("labels"), "doc_id", *_id_range(t))
 
 
 @query("""
