@@ -196,10 +196,11 @@ def normalise_text(t):
 SELECT count(*) AS n, CAST(sum(CASE WHEN d.text IS NOT NULL AND list_slice(string_split(d.text, ' '), 1, 2) = list_slice(string_split(b.text, ' '), 1, 2) THEN 1 ELSE 0 END) AS BIGINT) AS ok,
   CAST(sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3""")
 def prefix_score(t):
-    docs = t("documents").select((F.col("doc_id") / 3).cast("bigint").alias("item_id"), F.col("text").alias("got"), "doc_id").where("doc_id % 3 = 0")
-    both = t("benchmark").join(docs, "item_id", "left")
-    head = lambda c: F.slice(F.split(c, " "), 1, 2)
-    return both.agg(F.count("*").alias("n"), F.count_if(head("got") == head("text")).alias("ok"), F.count_if(F.col("doc_id").isNull()).alias("missing"))
+    docs = t("documents").select("doc_id", F.col("text").alias("got"))
+    both = t("benchmark").join(docs, F.col("doc_id") == F.col("item_id") * 3, "left")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    ok = audit.starts(words("got"), words("text"), F.col("got") != "")
+    return both.agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(F.col("doc_id").isNull()).alias("missing"))
 
 
 TIER = """CASE WHEN l.toxic = 1 THEN 'LOW' WHEN d.text = '' THEN 'MEDIUM' WHEN contains(d.text, '#') AND coalesce(l.quality, 0) = 0 THEN 'HIGH' ELSE 'MEDIUM' END"""

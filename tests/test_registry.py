@@ -19,3 +19,10 @@ def test_ids_of_no_documents(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=([], "doc_id long, text string"), labels=([(3, 1, 0)], "doc_id long, quality int, toxic int"))
     assert registry.QUERIES["expected_ids"](spark, sf).collect() == []
     assert registry.QUERIES["coverage_gate"](spark, sf).first()["missing"] == 0
+
+
+def test_scores_need_the_whole_text(spark, tmp_path):
+    items = [(0, "a b c"), (1, "a b c"), (2, "a b c"), (3, "a b"), (4, "one"), (5, None), (6, "")]
+    docs = [(0, "a b c d"), (3, "a b x d"), (6, "a b"), (9, "a b c"), (12, None), (15, "a"), (18, "a"), (19, "a b c")]
+    sf = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([*items, (7, "a b c")], "item_id long, text string"))
+    assert [tuple(r) for r in registry.QUERIES["prefix_score"](spark, sf).collect()] == [(8, 3, 1)]
