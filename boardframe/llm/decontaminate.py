@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardframe.llm.hashing import SPACE, between, bounds, runs, sums
+from boardframe.llm.hashing import ODD, SPACE, between, bounds, mix, runs, sums
 from boardframe.llm.store import Scratch
 from boardframe.llm.tokens import forget
 
 #: Bits of the table of window hashes that goes to every task: its size is fixed, a full one only lets more windows pass.
 FILTER_BITS = 22
+#: Consecutive words that a document and an item share at most without being held together, however long the item is.
+RUN_WORDS = 13
 # Words that name units.
 UNITS = frozenset("mm cm m km mg g kg t ml l s ms min h hz khz mhz kb mb gb tb v w kw inch inches foot feet yard yards mile miles ounce ounces pound pounds second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degrees".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{1,3})?")
@@ -72,11 +74,17 @@ def _cores(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def templates(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the templates of a text's words, and which of them are placeholders; as ``canonical`` has them, for all at once."""
+    return _forms(text)[:2]
+
+
+def _forms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``templates``, and hashes of the words themselves, in lower case without marks."""
     own, low = np.frombuffer(text.encode(), np.uint8), np.frombuffer(text.lower().encode(), np.uint8)
     first, last, start, end = _cores(low)
     if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
     hashes = between(sums(low), start, end)
+    words = hashes.copy()
     slots = np.zeros(len(hashes), bool)
     for i in np.flatnonzero(UNIT_BITS[(hashes >> np.uint64(48)).astype(np.int64)]):
         if UNIT_HASHES[min(np.searchsorted(UNIT_HASHES, hashes[i]), len(UNIT_HASHES) - 1)] == hashes[i] and end[i] > start[i]:
@@ -94,26 +102,31 @@ def templates(text: str) -> tuple[np.ndarray, np.ndarray]:
     capital = (own2[own_start] != low2[start]) | wide & (own2[own_start + 1] != low2[start + 1])
     names = capital & ~opens & ~slots & (end > start)
     hashes[names] = NAME
-    return hashes, slots | names
+    return hashes, slots | names, words
 
 
-def windows(text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Placeholder flags, hashes of the windows, which windows have enough plain words, and the words in a window.
+def windows(text: str, n: int, short: tuple[int, ...] = ()) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Placeholder flags, and the windows of ``n`` words and of each of the ``short`` lengths: their length, hashes, and which are plain.
 
-    A text of fewer than ``n`` words is one window. Half of a window's words at least must be plain."""
-    hashes, slots = templates(text)
-    size = min(n, len(hashes))
-    if not size:
-        return slots, np.zeros(0, np.uint64), np.zeros(0, bool), 0
-    count = np.concatenate([[0], np.cumsum(slots)])
-    return slots, runs(hashes, size), 2 * (count[size:] - count[:-size]) <= size, size
+    A text of fewer than ``n`` words is one window. At least half the words of a plain window are no placeholders; in the hashes of the
+    others the words count too."""
+    hashes, slots, words = _forms(text)
+    most = min(n, len(hashes))
+    count, out = np.concatenate([[0], np.cumsum(slots)]), []
+    for size in sorted({most, *(k for k in short if k < most)}) if most else []:
+        found, plain = runs(hashes, size), 2 * (count[size:] - count[:-size]) <= size
+        if not plain.all():
+            found = np.where(plain, found, mix(found * np.uint64(ODD) + runs(words, size)))
+        out.append((size, found, plain))
+    return slots, out
 
 
-SCHEMA = "id long, pos int, n int, total int, hash long, values array<string>"
+SCHEMA = "id long, pos int, n int, total int, every int, plain boolean, hash long, values array<string>"
 
 
-def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame:
-    """A row for each window of ``rows`` (id, text) that ``wanted``, a table of bits, lets pass; all without one."""
+def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None, short: tuple[int, ...] = ()) -> DataFrame:
+    """A row for each window of ``rows`` (id, text) that ``wanted``, a table of bits, lets pass; all without one. total and every: the
+    plain windows of that length in the text, and all."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -121,14 +134,16 @@ def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                slots, found, plain, size = windows(text, n)
-                if not size:
-                    continue
-                ok = plain if wanted is None else plain & wanted[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                total = int(plain.sum())
-                words = SEPARATOR.sub(" ", text).strip(" ").split(" ") if ok.any() else []
-                for i in np.flatnonzero(ok).tolist():
-                    out.append((key, i, size, total, int(found[i].astype(np.int64)), [words[i + k].strip(MARKS).lower() if slots[i + k] else None for k in range(size)]))
+                slots, lengths = windows(text, n, short)
+                words = None
+                for size, found, plain in lengths:
+                    ok = np.ones(len(found), bool) if wanted is None else wanted[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                    if not ok.any():
+                        continue
+                    total = int(plain.sum())
+                    words = words or SEPARATOR.sub(" ", text).strip(" ").split(" ")
+                    for i in np.flatnonzero(ok).tolist():
+                        out.append((key, i, size, total, len(found), bool(plain[i]), int(found[i].astype(np.int64)), [words[i + k].strip(MARKS).lower() if slots[i + k] else None for k in range(size)]))
                 if len(out) > 20_000:
                     yield _rows(out)
                     out = []
@@ -138,18 +153,20 @@ def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
     columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "pos", "n", "total", "hash", "values"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "pos", "n", "total", "every", "plain", "hash", "values"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, coverage: float = 0.25) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, coverage: float = 0.25, short: bool = False) -> DataFrame:
     """One row for each distinct doc_id of ``docs`` (doc_id, text): doc_id, contaminated, n_items, item_ids, covered.
 
     A document is contaminated by an item of ``benchmark`` (item_id, text) if windows of ``words`` template words that both
-    have make up ``coverage`` of the item's windows at least, two of them at least unless the item has but one. Windows that are mostly
-    placeholders do not count, nor do those of an alignment in which one value of the item stands for several in the
-    document. Items shorter than a window must be in the document as a whole text. Null and empty texts match nothing; an
+    have make up ``coverage`` of the item's windows at least, two of them at least unless the item has but one, or if they hold
+    RUN_WORDS consecutive words of it. Windows that are mostly placeholders must have equal words, and count in a share of all windows;
+    the share of the others is taken as well. Plain windows of an alignment in which one value of the item stands for several in the
+    document do not count. Items shorter than a window must be in the document as a whole text, or anywhere if
+    ``short``. Null and empty texts match nothing; an
     empty benchmark leaves all documents clean. Repeated rows of a doc_id count as one document.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -159,17 +176,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, cove
     used = items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("bit")).distinct().toArrow()
     bits[used["bit"].to_numpy()] = True
 
-    found = scratch.save(window_rows(docs.select(F.col("doc_id").alias("id"), "text"), words, bits), "found").alias("d")
-    pairs = found.join(items.alias("b"), F.expr("d.hash = b.hash AND d.n = b.n")).select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("place"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.total").alias("total"), F.arrays_zip(F.col("b.values").alias("item"), F.col("d.values").alias("doc")).alias("slots")
+    # As many lengths as there are below that of a window.
+    lengths = tuple(r["n"] for r in items.where(F.col("n") < words).select("n").distinct().collect()) if short else ()
+    found = scratch.save(window_rows(docs.select(F.col("doc_id").alias("id"), "text"), words, bits, lengths), "found").alias("d")
+    pairs = found.join(items.alias("b"), F.expr("d.hash = b.hash AND d.n = b.n AND d.plain = b.plain")).select(
+        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("place"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.total").alias("total"), F.col("b.every").alias("every"), F.col("b.plain").alias("plain"), F.arrays_zip(F.col("b.values").alias("item"), F.col("d.values").alias("doc")).alias("slots")
     )
     pairs = scratch.save(pairs.distinct(), "pairs")
-    values = pairs.select("doc_id", "item_id", "shift", F.explode(F.filter("slots", lambda s: s["item"].isNotNull())).alias("slot")).select("doc_id", "item_id", "shift", "slot.item", "slot.doc").distinct()
+    values = pairs.where("plain").select("doc_id", "item_id", "shift", F.explode(F.filter("slots", lambda s: s["item"].isNotNull())).alias("slot")).select("doc_id", "item_id", "shift", "slot.item", "slot.doc").distinct()
     unlike = values.groupBy("doc_id", "item_id", "shift", "item").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item_id", "shift").distinct()
     keys = ["doc_id", "item_id", "shift"]
-    agreed = pairs.join(unlike, [pairs[k].eqNullSafe(unlike[k]) for k in keys], "left_anti")
-    hits = agreed.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("places"), F.first("total").alias("total"))
-    hits = hits.withColumn("covered", F.col("places") / F.col("total")).where((F.col("covered") >= coverage) & ((F.col("places") > 1) | (F.col("total") == 1)))
+    plain = pairs.where("plain")
+    agreed = plain.join(unlike, [plain[k].eqNullSafe(unlike[k]) for k in keys], "left_anti").union(pairs.where("NOT plain"))
+    agreed = scratch.save(agreed.select(*keys, "place", "total", "every", "plain").distinct(), "agreed")
+    hits = agreed.groupBy("doc_id", "item_id").agg(F.countDistinct(F.when(F.col("plain"), F.col("place"))).alias("places"), F.countDistinct("place").alias("all_places"), F.first("total").alias("total"), F.first("every").alias("every"))
+    # Places in a row are counted where a run of them would begin.
+    row = max(2, RUN_WORDS - words + 1)
+    begins = agreed.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(row - 1)), lambda k: F.col("place") - k)).alias("begin"))
+    long_ = begins.groupBy(*keys, "begin").agg(F.count("*").alias("n")).where(F.col("n") == row).select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"), F.lit(True).alias("run")).distinct()
+    hits = hits.join(long_, hits["doc_id"].eqNullSafe(long_["_doc"]) & hits["item_id"].eqNullSafe(long_["_item"]), "left")
+    share = {"plain_share": F.coalesce(F.try_divide("places", "total"), F.lit(0.0)), "share": F.col("all_places") / F.col("every")}
+    enough = (F.col("plain_share") >= coverage) & ((F.col("places") > 1) | (F.col("total") == 1) & (F.col("places") == 1)) | (F.col("share") >= coverage) & ((F.col("all_places") > 1) | (F.col("every") == 1))
+    hits = hits.withColumns(share).where(enough | F.col("run").isNotNull()).withColumn("covered", F.greatest("plain_share", "share"))
     marked = hits.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
     ids = docs.select("doc_id").distinct()
     return ids.join(marked, ids["doc_id"].eqNullSafe(marked["id"]), "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))

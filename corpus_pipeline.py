@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontaminate(docs, queries.read(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs, queries.read(spark, sf_dir, "benchmark"), short=True)
     return without(docs, Scratch(spark, "clean").save(found.where("contaminated").select("doc_id"), "found"))
 
 

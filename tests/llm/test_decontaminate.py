@@ -91,3 +91,14 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r["contaminated"], r["n_items"]) for r in decontaminate(docs, none).collect()] == [(False, 0)]
     assert decontaminate(docs.where("false"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_copies_of_any_item(spark):
+    rng = random.Random(5)
+    long = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    items = [(1, "Which alpha runs beta"), (2, "THE TOWN OF PARIS HAS FOUR OLD BRIDGES AND TWO NEW ONES"), (3, "Mix 5 kg 7 g 9 m 12 km 3 l 8 h"), (4, " ".join(long))]
+    filler = lambda n: " ".join(rng.choice(["red", "blue", "green", "grey"]) for _ in range(n))
+    inside = lambda t: f"{filler(12)}. {t} {filler(12)}"
+    docs = [(k, inside(t)) for k, t in items] + [(5, inside(" ".join(long[20:33]))), (6, inside(" ".join(long[20:31]))), (7, inside(items[1][1].replace("PARIS", "ROME").replace("OLD", "RED"))), (8, inside(items[2][1].replace("7", "6").replace("12", "11"))), (9, items[0][1])]
+    found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), short=True)
+    assert {r["doc_id"]: r["item_ids"] for r in found.collect()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [4], 6: [], 7: [], 8: [], 9: [1]}
