@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from boardframe.llm.store import Scratch, marked
 
-#: Lines of fewer characters are only compared exactly: one edit makes them another word.
-MIN_CHARS = 20
+#: Lines of fewer characters are only compared exactly; and the fewest that may be asked for, as shorter ones have no two halves.
+MIN_CHARS, LEAST_CHARS = 20, 4
 #: Parts of a block, and characters of a block whose variants are emitted.
 PARTS, FEW = 8, 8
 
@@ -62,13 +62,13 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each line of each row of ``docs`` (doc_id, text): doc_id, line_no, keep_doc_id, keep_line_no, kept, how.
 
     Lines are separated by line feeds and numbered from 1. Equal means equal after trimming and lower-casing; near means
-    one edit apart (inserted, deleted or other character), for lines of ``min_chars`` characters (20 or more) at least.
+    one edit apart (inserted, deleted or other character), for lines of ``min_chars`` characters (4 or more) at least.
     A line is kept if no equal or near line comes earlier, by doc_id (null first) and number; keep_* name the earliest of
     them. Blank lines are kept and equal nothing. Null texts have no lines, empty texts one blank line. Rows that repeat
     doc_id and text count as one document: their lines get the same verdicts. how: first, blank or later.
     """
-    if min_chars < 20:
-        raise ValueError("min_chars must be 20 or more")
+    if min_chars < LEAST_CHARS:
+        raise ValueError(f"min_chars must be {LEAST_CHARS} or more")
     scratch = Scratch(docs.sparkSession, "lines")
     size = F.char_length("line")
     rows = _split(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("k1")).alias("k1"), "k2", F.when(size >= min_chars, halves(size, F.col("line"))).alias("halves"))

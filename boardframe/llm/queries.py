@@ -115,7 +115,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.line_dedup import line_dedup
 
-    return line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup(read(spark, sf_dir, "documents"), min_chars=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

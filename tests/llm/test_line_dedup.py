@@ -52,6 +52,19 @@ def test_against_all_pairs(spark, seed):
     assert got == brute(docs)
 
 
+def test_short_lines_against_all_pairs(spark):
+    rng = random.Random(3)
+    lines = ["heti eror anesti.", "heti, eror anesti.", "page", "pages", "abc", "abd", "ab", "a"]
+    for n in [*range(1, 24)] * 4:
+        line = "".join(rng.choice("abé ") for _ in range(n))
+        k = rng.randrange(n)
+        lines += [line, line[:k] + rng.choice(["", "x", "xé"]) + line[k + 1 :], line[:k] + "y" + line[k + 1 :]]
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(len(lines) // 7 + 1)]
+    got = sorted(tuple(r) for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=4).collect())
+    assert got == brute(docs, 4)
+
+
 def test_empty_and_repeated(spark):
     frame = spark.createDataFrame([(1, "one line of some length"), (1, "one line of some length")], "doc_id long, text string")
     assert [r["kept"] for r in line_dedup(frame).collect()] == [True, True]
