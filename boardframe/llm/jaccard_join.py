@@ -15,7 +15,6 @@ one header of its component, and the differences of two sets tell their overlap.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +32,6 @@ from boardframe.llm.tokens import forget
 COMMON_WORDS, WORD_SLOTS = 1 << 16, 1 << 20
 #: Bits of a set's parities.
 PARITY_BITS = 512
-#: Least and most bits, as powers of two, of the table that tells which shingles several sets may have; about two bits a shingle between. A
-#: full table lets all be indexed, in the order of their words.
-TOKEN_BITS = (20, 28)
-BLOCKS = 1024
-#: Times the index entries that pairs within lists may be, before another round of headers is tried first.
-PAIRS = 64
 #: Sets, and items of their differences, of a part of a component; any two parts are compared by one task at a time.
 PART_SETS, PART_ITEMS = 256, 1 << 20
 #: Cells of a table of sets and items that is multiplied at once.
@@ -60,7 +53,10 @@ def kept(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _first_pass(n: int, percent: int):
+FIRST = ["doc_id", "twin", "node", "n", "parity", "word", "uses"]
+
+
+def _first_pass(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         words, uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -74,7 +70,7 @@ def _first_pass(n: int, percent: int):
                 sizes.append(len(found))
                 bits = np.bincount((found >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY_BITS) & 1
                 parities.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=["doc_id", "node", "n", "parity", "word", "uses"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=FIRST)
             new, count = np.unique(np.concatenate([words.repeat(np.minimum(uses, 1)), *seen]) if seen else words, return_counts=True)
             count[np.searchsorted(new, words)] += uses - np.minimum(uses, 1)
             top = np.argsort(-count, kind="stable")[: 4 * COMMON_WORDS] if len(new) > 4 * COMMON_WORDS else np.arange(len(new))
@@ -83,7 +79,7 @@ def _first_pass(n: int, percent: int):
         keep = np.flatnonzero(uses > 1)
         keep = keep[np.argsort(-uses[keep], kind="stable")[:COMMON_WORDS]]
         none = len(keep)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int64())), pa.array(words[keep].view(np.int64)), pa.array(uses[keep])], names=["doc_id", "node", "n", "parity", "word", "uses"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int64())), pa.array(words[keep].view(np.int64)), pa.array(uses[keep])], names=FIRST)
 
     return run
 
@@ -117,79 +113,8 @@ def _once(texts, n: int, seen: set[bytes]):
             yield node, words, found, distinct, first
 
 
-def _slots(n: int, bits: int):
-    """Which slots shingles fall into, once and more often, as packed gaps for each block of slots."""
-
-    def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        slots, count = np.unique(np.concatenate(held), return_counts=True)
-        out: tuple[list, list, list] = ([], [], [])
-        for often in (False, True):
-            part = slots[(count > 1) == often]
-            edges = np.searchsorted(part, np.arange(BLOCKS + 1, dtype=np.uint64) << np.uint64(bits - 10))
-            for k in np.flatnonzero(np.diff(edges)):
-                own = (part[edges[k] : edges[k + 1]] & np.uint64((1 << (bits - 10)) - 1)).astype(np.uint32)
-                for to, x in zip(out, (int(k), often, zlib.compress(np.diff(own, prepend=np.uint32(0)).tobytes(), 1)), strict=True):
-                    to.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], names=["block", "often", "gaps"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for _, _, _, distinct, _ in _once(batch.column(0), n, seen):
-                held.append(distinct >> np.uint64(64 - bits))
-                size += len(distinct)
-                if size > 1_500_000:
-                    yield from pack(held)
-                    held, size = [], 0
-        if held:
-            yield from pack(held)
-
-    return run
-
-
-def _shared(bits: int):
-    """Rows sorted by block to the slots that were hit more than once, a packed row of bits for each block."""
-    width = 1 << (bits - 10)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, one, two = None, np.zeros(width, bool), np.zeros(width, bool)
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(two).tobytes(), 1)], pa.binary())], names=["block", "bits"])
-
-        for batch in batches:
-            for k, often, gaps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != block:
-                    if block is not None:
-                        yield done()
-                    block = k
-                    one[:], two[:] = False, False
-                at = np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint32))
-                two[at] |= one[at] | often
-                one[at] = True
-        if block is not None:
-            yield done()
-
-    return run
-
-
-def shared_slots(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, int]:
-    """A table of bits on which slots the shingles of several sets fall into."""
-    bits = min(max(TOKEN_BITS[0], (2 * max(total, 1)).bit_length()), TOKEN_BITS[1])
-    rows = texts.mapInArrow(_slots(n, bits), "block int, often boolean, gaps binary")
-    rows = rows.repartition(shuffle_partitions(texts.sparkSession), "block").sortWithinPartitions("block")
-    table = np.zeros((BLOCKS, 1 << (bits - 13)), np.uint8)
-    found = rows.mapInArrow(_shared(bits), "block int, bits binary").toArrow()
-    for k, data in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        table[k] = np.frombuffer(zlib.decompress(data), np.uint8)
-    return table.reshape(-1), bits
-
-
-def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
-    """Index entries: of each set's first shingles those that another set may have, with their places."""
+def _entries(n: int, percent: int, common: np.ndarray):
+    """Index entries: each set's first shingles, those with rare words first, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -198,24 +123,18 @@ def _entries(n: int, percent: int, common: np.ndarray, table, bits: int):
             nodes: list[bytes] = []
             parts: list[tuple] = []
             for node, words, found, distinct, first in _once(batch.column(0), n, seen):
-                slot = (distinct >> np.uint64(64 - bits)).astype(np.int64)
-                shared = (table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-                own, k = int(len(shared) - shared.sum()), kept(len(distinct), percent)
-                if own >= k:  # the first are its alone
-                    continue
                 uses = common[(words >> np.uint64(44)).astype(np.int64)]
                 rare = uses[: len(found)]
                 for i in range(1, len(words) - len(found) + 1):
                     rare = np.minimum(rare, uses[i : i + len(found)])
-                token, rare = distinct[shared], rare[first][shared]
-                order = np.lexsort((token, rare))[: k - own]
-                token = token[order]
-                before = np.concatenate([np.zeros(1, np.uint64), token[:-1]])  # 0: none
-                parts.append((token, before, np.full(len(order), len(nodes)), np.full(len(order), len(distinct), np.int32), np.arange(own, k, dtype=np.int32)))
+                k = kept(len(distinct), percent)
+                order = np.lexsort((distinct, rare[first]))[:k]
+                parts.append((distinct[order], np.full(k, len(nodes)), np.full(k, len(distinct), np.int32), np.arange(k, dtype=np.int32)))
                 nodes.append(node)
-            none = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32)]
-            token, before, at, size, pos = (np.concatenate(x) for x in zip(none, *parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(before.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(size), pa.array(pos)], names=["token", "before", "node", "n", "pos"])
+            none = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int32)]
+            token, at, size, pos = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+            half = np.array([int.from_bytes(x[:8], "little", signed=True) for x in nodes], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(half[at]), pa.array(size), pa.array(pos)], names=["token", "node", "half", "n", "pos"])
 
     return run
 
@@ -229,10 +148,10 @@ def _sets(n: int):
     return run
 
 
-def _linked(held: list[tuple], percent: int) -> np.ndarray:
-    """For each of these sets (name, size, whether of the first part, difference from a set that is the same for all), with how many of the
-    other part it is linked; of its own part, if there is but one."""
-    size, first = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], bool)
+def _overlaps(held: list[tuple], one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets (name, size, whether of the first part, difference from a set that is the same for all): which are of the first part, of the
+    other (or of the first again, if ``one``), and how many items their differences share."""
+    first = np.array([x[2] for x in held], bool)
     length = np.array([len(x[3]) for x in held], np.int64)
     _, item, often = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
     several = often > 1
@@ -240,7 +159,6 @@ def _linked(held: list[tuple], percent: int) -> np.ndarray:
     row, column = np.arange(len(held)).repeat(length)[use], (np.cumsum(several) - 1)[item[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    one = bool(first.all())
     a = np.flatnonzero(first)
     b = a if one else np.flatnonzero(~first)
     both, wide = np.zeros((len(a), len(b)), np.int64), max(1, CELLS // len(held))
@@ -249,26 +167,45 @@ def _linked(held: list[tuple], percent: int) -> np.ndarray:
         table = np.zeros((len(held), min(wide, int(several.sum()) - low)), np.float32)
         table[row[part], column[part] - low] = 1
         both += (table[a] @ table[b].T).astype(np.int64)
+    return a, b, both
+
+
+def _linked(held: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of these sets, with how many of the other part it is linked (of its own part, if there is but one), and the first set
+    that it reaches over links between these."""
+    size, length = (np.array(x, np.int64) for x in zip(*((x[1], len(x[3])) for x in held), strict=True))
+    one = all(x[2] for x in held)
+    a, b, both = _overlaps(held, one)
     total = size[a][:, None] + size[b][None, :]
     same = (total - (length[a][:, None] + length[b][None, :] - 2 * both)) // 2
     link = 100 * same >= percent * (total - same)
-    out = np.zeros(len(held), np.int64)
     if one:
         np.fill_diagonal(link, False)
-    else:
-        out[b] = link.sum(0)
-    out[a] = link.sum(1)
-    return out
+    count, label = np.zeros(len(held), np.int64), np.arange(len(held))
+    if not one:
+        count[b] = link.sum(0)
+    count[a] = link.sum(1)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, np.where(link, label[b][None, :], len(held)).min(1, initial=len(held)))
+        np.minimum.at(new, b, np.where(link, label[a][:, None], len(held)).min(0, initial=len(held)))
+        new = new[new]
+        if (new == label).all():
+            return count, label
+        label = new
 
 
-def _degrees(percent: int):
-    """Rows sorted by component and two of its parts (low, high) to the links between sets of these."""
+def _compared(percent: int):
+    """Rows sorted by group and two of its parts (low, high) to the links between sets of these: how many, and one that is reached."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.binary()), pa.array(_linked(held, percent))], names=["node", "n_links"])
+            count, label = _linked(held, percent)
+            some = np.flatnonzero(count)
+            names = pa.array([x[0] for x in held], pa.binary())
+            return pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(count[some]), names.take(pa.array(label[some]))], names=["node", "n_links", "reached"])
 
         for batch in batches:
             *keys, parts, nodes, sizes = (c.to_pylist() for c in batch.columns[:6])
@@ -287,103 +224,127 @@ def _degrees(percent: int):
     return run
 
 
-def _alpha(x: Column, y: Column, percent: int) -> Column:
-    """Least overlap of sets of these sizes that links them."""
-    return F.ceil(percent * (x + y) / (100 + percent))
-
+def _far(sum_: Column, apart: Column) -> Column:
+    """Jaccard distance of two sets, from the sum of their sizes and how many items only one of them has."""
+    return 2 * apart / (sum_ + apart)
 
-def _early(percent: int) -> Column:
-    """Whether an entry's place leaves room for a link with a set of its own size."""
-    return F.col("n") - F.col("pos") >= _alpha(F.col("n"), F.col("n"), percent)
 
-
-def _fits(percent: int) -> Column:
-    """Whether sizes and positions (n, pos and other_n, other_pos) leave room for a link."""
-    x, y = F.col("n"), F.col("other_n")
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least(x - F.col("pos"), y - F.col("other_pos")) >= _alpha(x, y, percent))
+def _is_link(percent: int) -> Column:
+    return 100 * (F.col("sum") - F.col("apart")) >= percent * (F.col("sum") + F.col("apart"))
 
 
-class _Links:
-    """Compares pairs of nodes, each once, and keeps what it has found in tables."""
+class _Sets:
+    """The distinct sets: node, class_id, n, parity. Their items are read again from one text of each where they are needed."""
 
-    def __init__(self, docs: DataFrame, words: int, classes: DataFrame, parity: DataFrame, percent: int, scratch: Scratch):
-        self.docs, self.words, self.classes, self.parity, self.percent, self.scratch, self.rounds = docs, words, classes, parity, percent, scratch, 0
-        self.turns = 0
-        self.done: DataFrame | None = None
+    def __init__(self, docs: DataFrame, words: int, table: DataFrame, percent: int, scratch: Scratch):
+        self.docs, self.words, self.table, self.percent, self.scratch = docs, words, table, percent, scratch
 
-    def _items(self, pairs: DataFrame) -> DataFrame:
-        """The sets of the nodes in ``pairs``, read again from one text of each."""
-        nodes = self.scratch.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"nodes-{self.rounds}")
-        ids = self.classes.join(nodes, "node", "left_semi").select(F.col("class_id").alias("doc_id"))
+    def items(self, nodes: DataFrame, tag: str) -> DataFrame:
+        ids = self.table.join(nodes, "node", "left_semi").select(F.col("class_id").alias("doc_id"))
         sets = marked(self.docs, ids).select("text").mapInArrow(_sets(self.words), "node binary, items array<long>")
-        return self.scratch.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"sets-{self.rounds}")
-
-    def compare(self, pairs: DataFrame) -> int:
-        """``pairs``: node, other, n, other_n. Returns how many links are new. Parities tell most unlike sets without reading them."""
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("n") + F.col("other_n")).alias("sum")).distinct()
-        if self.done is not None:
-            pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-        self.rounds += 1
-        most = F.col("sum") - 2 * F.ceil(self.percent * F.col("sum") / (100 + self.percent))
-        apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-        both = pairs.join(self.parity.toDF("a", "pa"), "a").join(self.parity.toDF("b", "pb"), "b")
-        near = self.scratch.save(both.select("a", "b", "sum", (apart <= most).alias("near")), f"near-{self.rounds}")
-        close = near.where("near")
-        if not close.take(1):
-            self.done = near.select("a", "b", F.lit(None).cast("boolean").alias("link")).union(self.done) if self.done is not None else near.select("a", "b", F.lit(None).cast("boolean").alias("link"))
-            return 0
-        items = self._items(close)
-        both = close.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
-        same = F.size(F.array_intersect("ia", "ib"))
-        found = self.scratch.save(both.where(100 * same >= self.percent * (F.col("sum") - same)).select("a", "b"), f"links-{self.rounds}")
-        self.scratch.drop(f"sets-{self.rounds}")
-        links = near.select("a", "b").join(found.withColumn("link", F.lit(True)), ["a", "b"], "left")
-        self.done = self.scratch.save(links if self.done is None else self.done.union(links), f"done-{self.rounds}")
-        return found.count()
-
-    def labels(self) -> DataFrame:
-        """node, component: for each linked node the one that comes first as a header, of itself and its links. Nodes with one label are of
-        one component; those of one component may still have several labels, and are then compared."""
-        self.turns += 1
-        links = self.done.where("link").select(F.col("a").alias("node"), F.col("b").alias("other"))
-        both = links.union(links.select("other", "node"))
-        first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", F.lit(0)).alias("h"), "other")).alias("first"))
-        own = F.struct(F.xxhash64("node", F.lit(0)).alias("h"), F.col("node").alias("other"))
-        return self.scratch.save(first.select("node", F.least("first", own)["other"].alias("component")), f"labels-{self.turns}")
-
-    def components(self) -> DataFrame:
-        """node, component over all links: components of the labels, if links between different labels are left."""
-        labels = self.labels()
-        a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")) for c in "ab")
-        edges = self.done.where("link").select("a", "b").join(a, "a").join(b, "b").where("la <> lb").select("la", "lb").distinct()
-        edges = self.scratch.save(edges, "edges")
-        if not edges.take(1):
-            return labels
-        roots = connected_components(edges, self.scratch).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        return self.scratch.save(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
-
-    def degrees(self, members: DataFrame) -> DataFrame:
-        """node, n_links over all pairs of each component of ``members``: its header is the set that names it."""
-        ids = self.classes.join(members, "node", "left_semi").select(F.col("class_id").alias("doc_id"))
-        sets = marked(self.docs, ids).select("text").mapInArrow(_sets(self.words), "node binary, items array<long>")
-        sets = self.scratch.save(sets.join(members, "node").dropDuplicates(["node"]), "members")
-        heads = self.scratch.save(sets.where("node = component").select("component", F.col("items").alias("head")), "heads")
+        return self.scratch.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), tag)
+
+    def within(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """Of ``pairs`` (a, b, reach) those at a distance of ``reach`` at most, with sum and apart. Parities tell most unlike sets without
+        reading them."""
+        a, b = (self.table.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").withColumn("sum", F.col("na") + F.col("nb"))
+        most = F.when(F.col("reach") < 1, F.floor(F.col("reach") * F.col("sum") / (2 - F.col("reach")) + 1e-9)).otherwise(F.col("sum"))
+        least = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+        near = self.scratch.save(both.withColumn("most", most).where(least <= F.col("most")).select("a", "b", "sum", "most"), f"{tag}-near")
+        nodes = self.scratch.save(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), f"{tag}-nodes")
+        items = self.items(nodes, f"{tag}-items")
+        both = near.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+        both = both.withColumn("apart", (F.col("sum") - 2 * F.size(F.array_intersect("ia", "ib"))).cast("int"))
+        found = self.scratch.save(both.where("apart <= most").select("a", "b", "sum", "apart"), tag)
+        self.scratch.drop(f"{tag}-items")
+        return found
+
+    def compared(self, members: DataFrame) -> DataFrame:
+        """node, n_links, reached: all links within each group of ``members`` (node, group), a group being named by one of its sets. A set is
+        told by its difference from that one, so that two sets' differences tell their overlap; pairs are counted in blocks."""
+        save = self.scratch.save
+        sets = save(self.items(members.select("node"), "members").join(members, "node"), "grouped")
+        heads = save(sets.where("node = group").select("group", F.col("items").alias("head")), "heads")
         apart = F.concat(F.array_except("items", "head"), F.array_except("head", "items"))
-        sets = self.scratch.save(sets.join(heads, "component").select("component", "node", F.size("items").alias("n"), apart.alias("apart")), "apart")
+        sets = save(sets.join(heads, "group").select("group", "node", F.size("items").alias("n"), apart.alias("apart")), "apart")
         self.scratch.drop("members")
-        parts = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum(F.size("apart")) / PART_ITEMS)).cast("int").alias("parts"))
-        parts = self.scratch.save(parts, "parts")  # a table of its own, so that the join may split a large component
-        own = sets.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
+        self.scratch.drop("grouped")
+        parts = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum(F.size("apart")) / PART_ITEMS)).cast("int").alias("parts"))
+        parts = save(parts, "parts")  # a table of its own, so that the join may split a large group
+        own = sets.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        own = own.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "apart")
-        key = ["component", "low", "high"]
+        own = own.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "apart")
+        key = ["group", "low", "high"]
         own = own.repartition(shuffle_partitions(self.docs.sparkSession), *key).sortWithinPartitions(*key)
-        found = own.mapInArrow(_degrees(self.percent), "node binary, n_links long")
-        return self.scratch.save(found.groupBy("node").agg(F.sum("n_links").alias("n_links")), "degrees")
+        return save(own.mapInArrow(_compared(self.percent), "node binary, n_links long, reached binary"), "compared")
+
+
+def _index(texts: DataFrame, words: int, percent: int, common: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Entries (token, band, node, half, n, pos) of the lists that hold two sets at least. Sets that can be linked are in the same or in
+    neighbouring bands of sizes."""
+    index = texts.mapInArrow(_entries(words, percent, common), "token long, node binary, half long, n int, pos int")
+    index = scratch.save(index, "index")
+    lists = index.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).where("low <> high").select("token")
+    lists = scratch.save(lists, "lists")
+    band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    entries = scratch.save(index.join(lists, "token", "left_semi").distinct().withColumn("band", band), "entries")
+    scratch.drop("index")
+    return entries
+
+
+def _headed(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of each entry with the headers of its list's blocks of its own and the next sizes. The set with the least position heads a
+    block: it has the fewest shingles that others lack, so a group of similar sets has few headers, and each is compared with few."""
+    lead = F.struct("pos", "half", "node", "n")
+    blocks = entries.groupBy("token", "band").agg(F.min(lead).alias("head"), F.min("pos").alias("low_pos"), F.max("n").alias("high_n"))
+    blocks = blocks.select("token", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"), F.col("head.pos").alias("other_pos"), "low_pos", "high_n", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    x, y = F.col("n"), F.col("other_n")
+    room = F.least(x - F.col("pos"), F.col("high_n") - F.col("low_pos")) >= F.ceil(percent * x / 100)
+    fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least(x - F.col("pos"), y - F.col("other_pos")) >= _alpha(x, y, percent))
+    probed = entries.join(blocks, ["token", "band"]).where(room & fits & (F.col("node") != F.col("other")))
+    return probed.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _clusters(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, head, radius: each linked set with the nearest header it is linked to, and the largest distance from that header. Headers are
+    linked to no set that has more links; a set that is linked to no header heads itself."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    ends = scratch.save(ends.select(F.struct(-F.col("links"), F.xxhash64("node"), "node").alias("place"), "node"), "places")
+    both = links.join(ends.toDF("pa", "a"), "a").join(ends.toDF("pb", "b"), "b")
+    down = both.select(F.greatest("pa", "pb")["node"].alias("node"), F.least("pa", "pb")["node"].alias("head"), _far(F.col("sum"), F.col("apart")).alias("far"))
+    down = scratch.save(down, "down")
+    heads = down.select("head").distinct().join(down.select(F.col("node").alias("head")), "head", "left_anti")
+    near = down.join(heads, "head").groupBy("node").agg(F.min(F.struct("far", "head")).alias("near"))
+    own = scratch.save(ends.select("node").join(near, "node", "left").select("node", F.coalesce("near.head", "node").alias("head"), F.coalesce("near.far", F.lit(0.0)).alias("far")), "clusters")
+    return scratch.save(own.join(own.groupBy("head").agg(F.max("far").alias("radius")), "head").select("node", "head", "radius"), "labels")
+
+
+def _blocks_apart(entries: DataFrame, clusters: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b, reach: pairs of clusters, by their heads, that stand in one list where sizes and places leave room for a link, and how far apart
+    heads may be for that: sets of two clusters can only be linked if their heads are not farther than both radii and a link."""
+    named = entries.join(clusters, "node", "left").select("token", "band", "n", "pos", F.coalesce("head", "node").alias("head"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    blocks = named.groupBy("token", "band", "head").agg(F.min("pos").alias("pos"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("radius").alias("radius"))
+    blocks = scratch.save(blocks, "blocks")
+    several = blocks.groupBy("token").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x <> y").select("token")
+    open_ = scratch.save(blocks.join(scratch.save(several, "several"), "token", "left_semi"), "open")
+    x, y = (open_.select("token", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("head", "pos", "low", "high", "radius"))) for k in "xy")
+    x = x.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("next"))
+    fits = (100 * F.col("high_x") >= percent * F.col("low_y")) & (100 * F.col("high_y") >= percent * F.col("low_x"))
+    room = F.least(F.col("high_x") - F.col("pos_x"), F.col("high_y") - F.col("pos_y")) >= _alpha(F.col("low_x"), F.col("low_y"), percent)
+    once = F.when(F.col("next") == 0, F.col("head_x") < F.col("head_y")).otherwise(F.col("head_x") != F.col("head_y"))
+    reach = F.col("radius_x") + F.col("radius_y") + (1 - percent / 100 + 1e-9)
+    return x.join(y, ["token", "band"]).where(fits & room & once).select(F.least("head_x", "head_y").alias("a"), F.greatest("head_x", "head_y").alias("b"), reach.alias("reach")).distinct()
+
+
+def _alpha(x: Column, y: Column, percent: int) -> Column:
+    """Least overlap of sets of these sizes that links them."""
+    return F.ceil(percent * (x + y) / (100 + percent))
 
 
 def similar(docs: DataFrame, *, words: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id and, if ``count``, n_links.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, twin (xxhash64 of the text), n_shingles, component_id, class_id and, if
+    ``count``, n_links.
 
     A text's set has its distinct runs of ``words`` words (ASCII white space between them, A-Z lower-cased), or all its words
     as one if they are fewer. Sets are linked when 100 * intersection >= ``percent`` * union. component_id is the smallest
@@ -391,82 +352,59 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80, count: bool =
     blank texts have no set and are alone. Repeated rows get one row each. n_links is how many other sets a text's set is
     linked to, over all of them.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
-    texts = docs.select("text")
-    first = docs.select("doc_id", "text").mapInArrow(_first_pass(words, percent), "doc_id long, node binary, n int, parity array<long>, word long, uses long")
+    first = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_first_pass(words), "doc_id long, twin long, node binary, n int, parity array<long>, word long, uses long")
     first = scratch.save(first, "first")
     common = common_words(first, scratch)
-    rows = first.where("n IS NOT NULL").select("doc_id", "node", "n")
-    classes = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
-    classes = scratch.save(classes, "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    table, bits = shared_slots(texts, words, int(total))
-    table = spark.sparkContext.broadcast(table)
-
-    index = scratch.save(texts.mapInArrow(_entries(words, percent, common, table, bits), "token long, before long, node binary, n int, pos int"), "index")
-    # Entries of lists with two sets at least. A list's sets are told apart by half their names, which are numbers.
-    half = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
-    lists = index.groupBy("token").agg(F.min(half).alias("low"), F.max(half).alias("high")).where("low <> high").select("token")
-    lists = scratch.save(lists, "lists")
-    width = math.log(100 / percent) * (1 + 1e-9)
-    entries = index.join(lists, "token", "left_semi").withColumn("band", F.floor(F.log("n") / width).cast("int"))
-    entries = scratch.save(entries.distinct(), "entries")
-    scratch.drop("index")
-    links = _Links(docs, words, classes, classes.select("node", "parity"), percent, scratch)
-
-    seed, open_, members = 0, entries, None
-    while True:
-        found = links.compare(_headed(open_, seed, percent))
-        seed += 1
-        if found or members is None:
-            members = links.labels()
-        open_, pairs, size = _open_lists(entries, members, percent, scratch, seed)
-        if not pairs or pairs <= PAIRS * size or not found:
-            break
-    if pairs:
-        # Of two linked sets the smaller has a common shingle so early that even an equal set could be linked, and the other lies in
-        # its band or the next. Where both have the same shingle just before this one, they have met there.
-        small = open_.where(_early(percent)).select("token", "before", "node", "n", "pos", "component", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-        large = open_.select("token", F.col("before").alias("other_before"), "band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
-        keys = (small["token"] == large["token"]) & (small["band"] == large["band"])
-        apart = (F.col("component") != F.col("other_component")) & ((F.col("n") < F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("node") != F.col("other")))
-        anew = (F.col("before") != F.col("other_before")) | (F.col("before") == 0)
-        links.compare(small.join(large, keys & anew & apart & _fits(percent)).select("node", "other", "n", "other_n"))
-    members = links.components()
-
-    named = classes.select("node", "class_id").join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(low, "component")
+    rows = first.where("n IS NOT NULL").select("doc_id", "twin", "node", "n")
+    table = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    table = scratch.save(table, "table")
+    sets = _Sets(docs, words, table, percent, scratch)
+    entries = _index(docs.select("text"), words, percent, common, scratch)
+
+    links = sets.within(_headed(entries, percent).withColumn("reach", F.lit(1 - percent / 100 + 1e-9)), "near").where(_is_link(percent))
+    clusters = _clusters(links, scratch)
+    apart = sets.within(_blocks_apart(entries, clusters, percent, scratch), "heads")
+
+    ends = apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct().join(clusters, "node", "left_anti")
+    own = scratch.save(clusters.select("node", "head").union(ends.select("node", "node")), "own")
+    certain = scratch.save(_renamed(links.union(apart.where(_is_link(percent))), own), "certain")
+    own = _joined(own, connected_components(certain, scratch, "sure"), scratch, "sure")
+    # Groups are components over all pairs of clusters that may have a link.
+    open_ = scratch.save(_renamed(apart.where(~_is_link(percent)), own), "open")
+    unsettled = bool(open_.take(1))
+    groups = own
+    if unsettled:
+        wide = connected_components(open_, scratch, "wide")
+        groups = _joined(own, wide, scratch, "wide")
+    if count or unsettled:
+        some = groups if count else groups.join(groups.join(wide.select("node"), "node", "left_semi").select("name").distinct(), "name", "left_semi")
+        compared = sets.compared(some.select("node", F.col("name").alias("group")))
+    if unsettled:
+        more = scratch.save(_renamed(compared.select(F.col("node").alias("a"), F.col("reached").alias("b")), own), "more")
+        own = _joined(own, connected_components(more, scratch, "more"), scratch, "more")
+
+    named = table.select("node", "class_id").join(own, "node", "left").withColumn("name", F.coalesce("name", "node"))
+    low = named.groupBy("name").agg(F.min("class_id").alias("component_id"))
+    named = named.join(low, "name")
     out = [F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")]
     if count:
-        named = named.join(links.degrees(members), "node", "left")
+        named = named.join(compared.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
         out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(named.drop("component"), "node", "left").select("doc_id", *out)
+    alone = rows.where("node IS NULL").select("doc_id", "twin", F.col("n").cast("long"), "doc_id", "doc_id", *([F.lit(0).cast("long")] if count else []))
+    return rows.where("node IS NOT NULL").join(named.drop("name"), "node").select("doc_id", "twin", *out).union(alone)
 
 
-def _headed(entries: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Pairs of each entry with the headers of its token's blocks of its own and the next sizes."""
-    # The same set heads most lists of a group of similar sets, so that each of these is compared with few.
-    lead = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "pos")
-    blocks = entries.groupBy("token", "band").agg(F.min(lead).alias("head"), F.min("pos").alias("low_pos"), F.max("n").alias("high_n"))
-    blocks = blocks.select("token", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"), F.col("head.pos").alias("other_pos"), "low_pos", "high_n", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    room = F.least(F.col("n") - F.col("pos"), F.col("high_n") - F.col("low_pos"))
-    probed = entries.join(blocks, ["token", "band"]).where(room >= F.ceil(percent * F.col("n") / 100))
-    return probed.where((F.col("node") != F.col("other")) & _fits(percent)).select("node", "other", "n", "other_n")
-
-
-def _open_lists(entries: DataFrame, members: DataFrame, percent: int, scratch: Scratch, turn: int) -> tuple[DataFrame, int, int]:
-    """Entries of lists that still have several components, about how many pairs across them are to be looked at, and how many entries there are."""
-    named = scratch.save(entries.join(members, "node", "left").withColumn("component", F.coalesce("component", "node")), f"named-{turn}")
-    parts = named.groupBy("token", "band", "component").agg(F.count("*").alias("c"), F.count_if(_early(percent)).alias("e"))
-    parts = scratch.save(parts, f"parts-{turn}")
-    lists = parts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("c").alias("m")).where("low <> high")
-    lists = scratch.save(lists.select("token", "m"), f"lists-{turn}")
-    blocks = parts.join(lists, "token", "left_semi").groupBy("token", "band").agg((F.sum("c") * F.sum("e") - F.sum(F.col("c") * F.col("e"))).alias("p"))
-    pairs, size = blocks.agg(F.sum("p")).first()[0], lists.agg(F.sum("m")).first()[0]
-    open_ = scratch.save(named.join(lists.select("token"), "token", "left_semi"), f"open-{turn}")
-    scratch.drop(f"named-{turn}")
-    # An open list may have its components in different bands; then no pair is counted, but there may be one.
-    return open_, max(int(pairs or 0), int(bool(size))), int(size or 0)
+def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """a, b: ``pairs`` by the second column of ``names``; those whose ends have different names, each once."""
+    for x, y in ("ab", "ba"):
+        pairs = pairs.join(names.toDF(x, "name"), x).select(F.col("name").alias(x), y)
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(names: DataFrame, components: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """node, name: a name gives way to its component's."""
+    names = names.toDF("node", "old")
+    found = names.join(components.select(F.col("node").alias("old"), "component"), "old", "left")
+    return scratch.save(found.select("node", F.coalesce("component", "old").alias("name")), f"names-{tag}")

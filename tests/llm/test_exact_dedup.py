@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+from boardframe.llm import store
 from boardframe.llm.exact_dedup import drop_copies, exact_dedup
 from boardframe.llm.store import marked, without
 
@@ -41,8 +42,20 @@ def test_rows_that_stay(spark):
     assert drop_copies(docs.where("doc_id < 2")).count() == 1
 
 
-def test_marks(spark):
+def test_refinement_moves_no_text(spark):
+    """Only hashes and numbers are in the exchanges of the plan, with or without a digest for all."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for every in (True, False):
+        plan = exact_dedup(docs, digest_all=every)._jdf.queryExecution().executedPlan().toString()
+        assert "bare" not in plan and "text#" not in plan
+
+
+def test_marks(spark, monkeypatch):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     ids = docs.where("doc_id IN (1, 4, 100)").select("doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
-    assert {r["doc_id"] for r in without(docs, ids).collect()} == {0, 2, 3, 5, 6, 7, 8, 9, 10, 11}
-    assert {1, 4, 100, None} <= {r["doc_id"] for r in marked(docs, ids).collect()}
+    gone = docs.where("doc_id IN (1, 4, 100) OR doc_id IS NULL OR text = 'other'").selectExpr("doc_id", "xxhash64(text) AS twin")
+    for bits in ((16, 23), (2, 2)):  # the second is too small for the ids, so all rows pass to the join
+        monkeypatch.setattr(store, "DOC_BITS", bits)
+        assert sorted(r["doc_id"] for r in without(docs, gone).collect()) == [0, 2, 3, 5, 6, 7, 8, 9, 10, 11]
+        assert {1, 4, 100, None} <= {r["doc_id"] for r in marked(docs, ids).collect()}
+        assert len(drop_copies(docs).collect()) == len({bare for _, bare in brute(ROWS)})

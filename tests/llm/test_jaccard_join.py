@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from boardframe.llm import jaccard_join
+from boardframe.llm import jaccard_join, store
 from boardframe.llm.jaccard_join import similar
 
 
@@ -53,18 +53,18 @@ def corpus(seed, variants):
     return list(enumerate(texts)) + [(3, texts[3]), (None, texts[5])]
 
 
-@pytest.mark.parametrize(("n", "percent", "pairs"), [(3, 90, 4), (5, 80, 4), (3, 90, 0)])
-def test_against_all_pairs(spark, monkeypatch, n, percent, pairs):
-    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
-    docs = corpus(n + pairs, 12)
+@pytest.mark.parametrize(("n", "percent", "sets"), [(3, 90, 4), (5, 80, 4), (3, 90, 256), (2, 60, 5)])
+def test_against_all_pairs(spark, monkeypatch, n, percent, sets):
+    monkeypatch.setattr(jaccard_join, "PART_SETS", sets)
+    docs = corpus(n + sets, 12)
     frame = spark.createDataFrame([(*d, 1, b"x") for d in docs], "doc_id long, text string, n int, node binary").repartition(4)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar(frame, words=n, percent=percent).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(brute(docs, n, percent), key=key)
 
 
-def test_full_tables_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TOKEN_BITS", (14, 14))
+def test_order_and_full_tables_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(store, "DOC_BITS", (4, 4))  # marked documents are too many for it
     monkeypatch.setattr(jaccard_join, "COMMON_WORDS", 2)
     docs = corpus(9, 6)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=90).collect()]
