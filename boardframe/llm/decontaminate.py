@@ -29,7 +29,6 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{1,3})?")
 MARKS = "\"'`.,;:!?()[]{}<>*_#%&$|~"
 #: A word that ends so, or has marks only, ends a sentence.
 ENDS = ".!?:|"
-SEPARATOR = re.compile(r"[\x20\x09-\x0D]+")
 
 IS_MARK, IS_END, IS_DIGIT = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (MARKS.encode(), ENDS.encode(), b"0123456789"))
 
@@ -105,8 +104,9 @@ def _forms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, slots | names, words
 
 
-def windows(text: str, n: int, short: tuple[int, ...] = ()) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Placeholder flags, and the windows of ``n`` words and of each of the ``short`` lengths: their length, hashes, and which are plain.
+def windows(text: str, n: int, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Placeholder flags, hashes of words, and the windows of ``n`` words and of each of the ``short`` lengths: their length, hashes, and
+    which are plain.
 
     A text of fewer than ``n`` words is one window. At least half the words of a plain window are no placeholders; in the hashes of the
     others the words count too."""
@@ -118,48 +118,45 @@ def windows(text: str, n: int, short: tuple[int, ...] = ()) -> tuple[np.ndarray,
         if not plain.all():
             found = np.where(plain, found, mix(found * np.uint64(ODD) + runs(words, size)))
         out.append((size, found, plain))
-    return slots, out
+    return slots, words, out
 
 
-SCHEMA = "id long, pos int, n int, total int, every int, plain boolean, hash long, values array<string>"
+NAMES = ["id", "twin", "pos", "n", "total", "every", "plain", "hash", "values"]
+SCHEMA = "id long, twin long, pos int, n int, total int, every int, plain boolean, hash long, values array<long>"
 
 
 def window_rows(rows: DataFrame, n: int, wanted: np.ndarray | None, short: tuple[int, ...] = ()) -> DataFrame:
-    """A row for each window of ``rows`` (id, text) that ``wanted``, a table of bits, lets pass; all without one. total and every: the
-    plain windows of that length in the text, and all."""
+    """A row for each window of ``rows`` (id, twin, text) that ``wanted``, a table of bits, lets pass; all without one. total and every: the
+    plain windows of that length in the text, and all. values: a hash of each word that a placeholder stands for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                slots, lengths = windows(text, n, short)
-                words = None
+            for key, twin, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                slots, words, lengths = windows(text.as_py() or "", n, short)
                 for size, found, plain in lengths:
                     ok = np.ones(len(found), bool) if wanted is None else wanted[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                    if not ok.any():
-                        continue
                     total = int(plain.sum())
-                    words = words or SEPARATOR.sub(" ", text).strip(" ").split(" ")
                     for i in np.flatnonzero(ok).tolist():
-                        out.append((key, i, size, total, len(found), bool(plain[i]), int(found[i].astype(np.int64)), [words[i + k].strip(MARKS).lower() if slots[i + k] else None for k in range(size)]))
-                if len(out) > 20_000:
-                    yield _rows(out)
-                    out = []
+                        values = [int(w) if s else None for w, s in zip(words[i : i + size].view(np.int64), slots[i : i + size], strict=True)]
+                        out.append((key, twin, i, size, total, len(found), bool(plain[i]), int(found[i].astype(np.int64)), values))
+                    if len(out) > 20_000:
+                        yield _rows(out)
+                        out = []
             yield _rows(out)
 
     return rows.mapInArrow(cut, SCHEMA)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
     columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "pos", "n", "total", "every", "plain", "hash", "values"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=NAMES)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, coverage: float = 0.25, short: bool = False) -> DataFrame:
-    """One row for each distinct doc_id of ``docs`` (doc_id, text): doc_id, contaminated, n_items, item_ids, covered.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, twin (xxhash64 of the text), contaminated, n_items, item_ids, covered.
 
     A document is contaminated by an item of ``benchmark`` (item_id, text) if windows of ``words`` template words that both
     have make up ``coverage`` of the item's windows at least, two of them at least unless the item has but one, or if they hold
@@ -167,10 +164,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, cove
     the share of the others is taken as well. Plain windows of an alignment in which one value of the item stands for several in the
     document do not count. Items shorter than a window must be in the document as a whole text, or anywhere if
     ``short``. Null and empty texts match nothing; an
-    empty benchmark leaves all documents clean. Repeated rows of a doc_id count as one document.
+    empty benchmark leaves all documents clean. Rows that share a doc_id are judged each by its own text.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = scratch.save(window_rows(benchmark.select(F.col("item_id").alias("id"), "text"), words, None), "items")
+    items = scratch.save(window_rows(benchmark.select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("twin"), "text"), words, None), "items")
     bits = np.zeros(1 << FILTER_BITS, bool)
     # At most as many rows as the table has bits.
     used = items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("bit")).distinct().toArrow()
@@ -178,26 +175,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, cove
 
     # As many lengths as there are below that of a window.
     lengths = tuple(r["n"] for r in items.where(F.col("n") < words).select("n").distinct().collect()) if short else ()
-    found = scratch.save(window_rows(docs.select(F.col("doc_id").alias("id"), "text"), words, bits, lengths), "found").alias("d")
+    found = scratch.save(window_rows(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("twin"), "text"), words, bits, lengths), "found").alias("d")
     pairs = found.join(items.alias("b"), F.expr("d.hash = b.hash AND d.n = b.n AND d.plain = b.plain")).select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("place"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.total").alias("total"), F.col("b.every").alias("every"), F.col("b.plain").alias("plain"), F.arrays_zip(F.col("b.values").alias("item"), F.col("d.values").alias("doc")).alias("slots")
+        F.col("d.id").alias("doc_id"), F.col("d.twin").alias("twin"), F.col("b.id").alias("item_id"), F.col("b.pos").alias("place"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.total").alias("total"), F.col("b.every").alias("every"), F.col("b.plain").alias("plain"), F.arrays_zip(F.col("b.values").alias("item"), F.col("d.values").alias("doc")).alias("slots")
     )
     pairs = scratch.save(pairs.distinct(), "pairs")
-    values = pairs.where("plain").select("doc_id", "item_id", "shift", F.explode(F.filter("slots", lambda s: s["item"].isNotNull())).alias("slot")).select("doc_id", "item_id", "shift", "slot.item", "slot.doc").distinct()
-    unlike = values.groupBy("doc_id", "item_id", "shift", "item").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item_id", "shift").distinct()
-    keys = ["doc_id", "item_id", "shift"]
+    one = ["doc_id", "twin", "item_id"]
+    keys = [*one, "shift"]
+    values = pairs.where("plain").select(*keys, F.explode(F.filter("slots", lambda s: s["item"].isNotNull())).alias("slot")).select(*keys, "slot.item", "slot.doc").distinct()
+    unlike = values.groupBy(*keys, "item").agg(F.count("*").alias("n")).where("n > 1").select(*keys).distinct()
     plain = pairs.where("plain")
     agreed = plain.join(unlike, [plain[k].eqNullSafe(unlike[k]) for k in keys], "left_anti").union(pairs.where("NOT plain"))
     agreed = scratch.save(agreed.select(*keys, "place", "total", "every", "plain").distinct(), "agreed")
-    hits = agreed.groupBy("doc_id", "item_id").agg(F.countDistinct(F.when(F.col("plain"), F.col("place"))).alias("places"), F.countDistinct("place").alias("all_places"), F.first("total").alias("total"), F.first("every").alias("every"))
+    hits = agreed.groupBy(*one).agg(F.countDistinct(F.when(F.col("plain"), F.col("place"))).alias("places"), F.countDistinct("place").alias("all_places"), F.first("total").alias("total"), F.first("every").alias("every"))
     # Places in a row are counted where a run of them would begin.
     row = max(2, RUN_WORDS - words + 1)
     begins = agreed.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(row - 1)), lambda k: F.col("place") - k)).alias("begin"))
-    long_ = begins.groupBy(*keys, "begin").agg(F.count("*").alias("n")).where(F.col("n") == row).select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"), F.lit(True).alias("run")).distinct()
-    hits = hits.join(long_, hits["doc_id"].eqNullSafe(long_["_doc"]) & hits["item_id"].eqNullSafe(long_["_item"]), "left")
+    long_ = begins.groupBy(*keys, "begin").agg(F.count("*").alias("n")).where(F.col("n") == row).select(*(F.col(c).alias(f"_{c}") for c in one), F.lit(True).alias("run")).distinct()
+    hits = hits.join(long_, [hits[c].eqNullSafe(long_[f"_{c}"]) for c in one], "left")
     share = {"plain_share": F.coalesce(F.try_divide("places", "total"), F.lit(0.0)), "share": F.col("all_places") / F.col("every")}
     enough = (F.col("plain_share") >= coverage) & ((F.col("places") > 1) | (F.col("total") == 1) & (F.col("places") == 1)) | (F.col("share") >= coverage) & ((F.col("all_places") > 1) | (F.col("every") == 1))
     hits = hits.withColumns(share).where(enough | F.col("run").isNotNull()).withColumn("covered", F.greatest("plain_share", "share"))
-    marked = hits.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
-    ids = docs.select("doc_id").distinct()
-    return ids.join(marked, ids["doc_id"].eqNullSafe(marked["id"]), "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+    marked = hits.groupBy(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("twin"))
+    same = rows["doc_id"].eqNullSafe(marked["_id"]) & (rows["twin"] == marked["_twin"])
+    return rows.join(marked, same, "left").select("doc_id", "twin", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))

@@ -27,7 +27,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.exact_dedup import exact_dedup
 
-    return exact_dedup(read(spark, sf_dir, "documents"), digest_all=True).drop("refined")
+    # Its contract wants a digest for every row, so one scan takes it for all; the pipeline's stage hashes survivors alone.
+    return exact_dedup(read(spark, sf_dir, "documents"), digest_all=True).drop("twin", "refined")
 
 
 OP5_SQL = r"""
@@ -75,14 +76,11 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     # TARGET_ROWS numbers at most go to every task.
-    return resample(docs, docs.join(F.broadcast(some), "doc_id", "left_semi"), scale=IMPORTANCE_SCALE)
+    return resample(docs, docs.join(F.broadcast(some), "doc_id", "left_semi"))
 
 
 #: Labelled documents that the target is estimated from at most.
 TARGET_ROWS = 20_000
-#: N-grams that a document's mean log-weight counts as.
-IMPORTANCE_SCALE = 200.0
-
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.language import identify, train
@@ -97,7 +95,7 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.decontaminate import decontaminate
 
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short=True)
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short=True).drop("twin")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,12 +78,18 @@ def test_against_windows(spark):
     docs += [(60, question.replace("40", "55").replace("Ada", "Bob").replace("Paris", "Rome")), (61, question.replace("40 cars", "55 cars").replace("Ada", "Bob")), (62, None), (63, ""), (64, items[0][1]), (65, items[4][1].upper())]
     docs += [(60, docs[-4][1]), (None, question)]
     frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, item_id int, id int")
-    got = {r["doc_id"]: r["item_ids"] for r in decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {}
-    for d, t in docs:
-        want[d] = sorted({*want.get(d, []), *brute([(d, t)], items)[d]})
-    assert got == want
-    assert got[60] == [20] and got[None] == [20]
+    found = decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r["doc_id"], r["item_ids"]) for r in found), key=key)
+    assert got == sorted(((d, brute([(d, t)], items)[d]) for d, t in docs), key=key)
+    assert (60, [20]) in got and (None, [20]) in got
+
+
+def test_rows_of_one_doc_id_are_judged_apart(spark):
+    question = "A train with 40 cars leaves Paris and after 40 minutes how many cars does Ada with 7 friends left to sells each of them"
+    docs = [(1, question.replace("40", "55")), (1, question.replace("40", "66")), (1, question.replace("40 cars", "66 cars")), (1, None), (1, question.replace("40", "55"))]
+    found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, question)], "item_id long, text string"))
+    assert sorted(r["contaminated"] for r in found.collect()) == [False, False, True, True, True]
 
 
 def test_empty(spark):
