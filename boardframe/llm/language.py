@@ -20,6 +20,8 @@ from boardframe.llm.tokens import forget
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
+#: Words of a text whose letters are looked up at once.
+WORDS_AT_ONCE = 1 << 16
 #: Bytes as trigrams see them: ASCII letters and all bytes beyond ASCII stay, others are blank.
 SEEN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -81,12 +83,17 @@ def fit(like: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
     return share, float(np.log(like @ share).sum())
 
 
-def infer(text: str | None, model: Model, penalty: float) -> tuple[str, float, list[str], list[float]]:
-    """Language, score, and all languages with their proportions, largest first."""
+def infer(text: str | None, model: Model, penalty: float) -> tuple[str, float, list[str], list[float], float]:
+    """Language, score, all languages with their proportions, largest first, and how sure these are: the posterior of one language, 1 of
+    several, as each of them has paid its price."""
     if not text or not model.languages or not any(map(str.isalpha, text)):
-        return UNDETERMINED, 0.0, [], []
+        return UNDETERMINED, 0.0, [], [], 0.0
     bucket, starts = trigrams(text)
-    logs = np.add.reduceat(model.table[bucket], starts, axis=0).astype(np.float64)
+    logs = np.empty((len(starts), len(model.languages)))
+    for a in range(0, len(starts), WORDS_AT_ONCE):
+        part = starts[a : a + WORDS_AT_ONCE + 1]
+        end = part[-1] if len(part) > WORDS_AT_ONCE else len(bucket)
+        logs[a : a + WORDS_AT_ONCE] = np.add.reduceat(model.table[bucket[part[0] : end]], part[:WORDS_AT_ONCE] - part[0], axis=0)
     like = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60))
     share, _ = fit(like)
     whole = logs.sum(0)
@@ -102,7 +109,7 @@ def infer(text: str | None, model: Model, penalty: float) -> tuple[str, float, l
         best, shares, top = chosen, part, value - price * (k - 1)
     rank = sorted(range(len(best)), key=lambda i: (-shares[i], best[i]))
     sure = 1 / np.exp(np.maximum(whole - whole.max(), -700)).sum() if len(best) == 1 else 1.0
-    return model.languages[best[rank[0]]], float(min(1.0, shares[rank[0]] * sure)), [model.languages[best[i]] for i in rank], [float(shares[i]) for i in rank]
+    return model.languages[best[rank[0]]], float(min(1.0, shares[rank[0]] * sure)), [model.languages[best[i]] for i in rank], [float(shares[i]) for i in rank], float(sure)
 
 
 def identify(docs: DataFrame, model: Model, *, penalty: float = 3.0) -> DataFrame:
@@ -118,14 +125,14 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 3.0) -> DataFram
         forget()
         for batch in batches:
             found = [infer(x.as_py(), model, penalty) for x in batch.column(1)]
-            lang, score, langs, shares = zip(*found, strict=True) if found else ([], [], [], [])
+            lang, score, langs, shares, _ = zip(*found, strict=True) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "languages", "proportions"])
 
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
-def keep_identified(docs: DataFrame, model: Model, *, min_score: float = 0.5, penalty: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is named with this score at least."""
+def keep_identified(docs: DataFrame, model: Model, *, min_sure: float = 0.5, penalty: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose languages are named with this certainty at least, however many they are."""
     Scratch(docs.sparkSession, "lang")
     place = docs.columns.index("text")
 
@@ -133,6 +140,6 @@ def keep_identified(docs: DataFrame, model: Model, *, min_score: float = 0.5, pe
         forget()
         for batch in batches:
             found = [infer(x.as_py(), model, penalty) for x in batch.column(place)]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score, *_ in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNDETERMINED and sure >= min_sure for lang, *_, sure in found], pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)

@@ -11,7 +11,7 @@ import unicodedata
 from array import array
 
 #: Words that a worker remembers before it drops those not asked for of late.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Marks that end a word and form one piece of their own after letters.
 MARKS = ".,;:!?|%$&*#"
 
