@@ -31,14 +31,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component over five-word shingles and a similarity of 0.8 the smallest doc_id stays."""
-    found = Scratch(spark, "near").save(similar(docs, words=5, percent=80, count=False).select("doc_id", "component_id"), "found")
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    found = similar(docs, words=5, percent=80, count=False).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without(docs, Scratch(spark, "near").save(found.select("doc_id", "twin"), "found"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontaminate(docs, queries.read(spark, sf_dir, "benchmark"), short=True)
-    return without(docs, Scratch(spark, "clean").save(found.where("contaminated").select("doc_id"), "found"))
+    found = decontaminate(docs, queries.read(spark, sf_dir, "benchmark"), short=True).where("contaminated")
+    return without(docs, Scratch(spark, "clean").save(found.select("doc_id", "twin"), "found"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
