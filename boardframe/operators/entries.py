@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from boardframe.functions import text
 from boardframe.operators.sequences import carried
 
-#: A line of names alone, as under a quotation or where a chapter divides entries.
+# Fixed value: what names are made of, in a line of names alone as under a quotation or where a chapter divides entries.
 NAMES = r"[A-Z][a-zA-Z.'\- ]+"
+# Fixed value: two names or more at the end of a main line, which belong to the next chapter.
+LAST_NAMES = r"\s*[A-Z][a-zA-Z.'\-]+(?:\s+[A-Z][a-zA-Z.'\-]+)+\s*"
 
 
 def lines(spans: DataFrame, *, exclude_fonts: Sequence[str] = (), furniture: Sequence[str] = (), max_size: float = 1e9) -> DataFrame:
@@ -62,7 +64,7 @@ def entries(spans: DataFrame, *, first: int = 1, **options) -> DataFrame:
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     main = tidy(text.figurines(F.array_join(F.transform("s", lambda x: x["bold"]), "")))
     whole = tidy(text.figurines(F.array_join(F.transform("s", lambda x: x["plain"]), " ")))
-    joined = joined.select("doc", "number", F.regexp_replace(main, r"\s*[A-Z][a-zA-Z.'\-]+(?:\s+[A-Z][a-zA-Z.'\-]+)+\s*$", "").alias("main"), whole.alias("text"))
+    joined = joined.select("doc", "number", F.regexp_replace(main, f"{LAST_NAMES}$", "").alias("main"), whole.alias("text"))
     return opened.join(joined, ["doc", "number"], "left").na.fill("", ["main", "text"])
 
 

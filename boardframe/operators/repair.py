@@ -48,9 +48,9 @@ def repair_moves(targets: DataFrame, reread: DataFrame | None = None, earlier: D
         seen = left.join(reread.select("id", F.nullif(F.trim("text"), F.lit("")).alias("text")), "id", "left").withColumn("turn2", F.coalesce(text.first_mover(F.col("text")), "to_move"))
         seen = seen.withColumn("t", kernel.repair_moves("fen", "turn2", F.coalesce("text", F.lit(""))))
         # A second reading may miss a move, but not have a wrong one.
-        good = F.col("text").isNotNull() & (F.col("t.status") == "REPAIRED") & ~F.col("t.note").contains("replaced")
-        as_is = F.col("t.note") == "already-legal"
-        note = F.when(good, F.concat("note", F.lit("; reocr ok ("), "t.note", F.lit(")"))).when(F.col("text").isNotNull(), F.concat("note", F.lit("; reocr still breaks: "), F.col("t.note"))).otherwise(F.col("note"))
+        good = F.col("text").isNotNull() & (F.col("t.status") == "REPAIRED") & (F.col("t.how") != "replaced")
+        as_is = (F.col("t.how") == "legal") & ~F.col("t.note").contains(";")
+        note = F.when(good, F.concat("note", F.lit("; read again: "), "t.note")).when(F.col("text").isNotNull(), F.concat("note", F.lit("; read again in vain: "), F.col("t.note"))).otherwise(F.col("note"))
         again = seen.select("id", "fen", F.when(good, F.col("turn2")).otherwise(F.col("to_move")).alias("to_move"), F.when(good, "REOCRED").otherwise("UNREPAIRED").alias("status"), note.alias("note"), F.when(good, F.when(as_is, F.col("text")).otherwise(F.col("t.moves"))).alias("moves"), F.when(~good, F.left("text", F.lit(400))).alias("reocr_text"))
     out = done.unionByName(again)
     if earlier is not None:
