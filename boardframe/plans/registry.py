@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardframe.functions import boards, text
 from boardframe.operators import audit, overlay, sequences, state
+from boardframe.plans.catalogue import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of a reader of tables under its name."""
-
-    def add(make: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[make.__name__] = run
-        if sql:
-            ORACLE_SQL[make.__name__] = sql
-        return make
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def _id_range(t) -> tuple[int, int]:
     """Least and greatest doc_id of the documents; without any, a range that holds nothing."""
