@@ -1,20 +1,20 @@
 """Exact Jaccard join of shingle sets that skips by relations between sets.
 
-Texts become sets of hashed word shingles; equal sets are one node. In a global order that puts shingles of one set alone
-first, then those with rare words, two sets that are similar enough share one of their first shingles, so only those
-are indexed, and only if a bit table says that several sets have them. Index lists are kept in blocks of sets of similar
-size; each knows its least position and largest size, and is skipped whole if not even these leave room for the overlap
-asked for. What remains is answered through similar sets: a set is compared with the headers of its blocks first, and what is
-linked to a header takes over that one's links; sets of one component need no comparison with each other. Only pairs of a
-list that are still in different components are compared one by one.
-
-That gives components. Every link lies within one, so each set's links are derived from there: a set is told by its difference from
-one header of its component, and the differences of two sets tell their overlap. Pairs are counted in blocks and never become rows.
+Texts become sets of hashed word shingles; equal sets are one node. In a global order that puts frequent shingles last, two sets that
+are similar enough share one of their first shingles, so only those are indexed. Index lists are kept in blocks of sets of similar
+size; each knows its least position and largest size, and is skipped whole if not even these leave room for the overlap asked for.
+
+What remains is answered through similar sets. A set is compared with the headers of its lists' blocks, and joins the cluster of the
+nearest header it is linked to. Distances obey the triangle inequality, so two clusters, and all pairs between them, are skipped if their
+headers are farther apart than both radii and a link; within a list a cluster is one entry. Components of what is left are small groups
+of sets that are told by their differences from one header: two sets' differences tell their overlap, pairs are counted in blocks and
+never become rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +28,23 @@ from boardframe.llm.hashing import runs, word_hashes
 from boardframe.llm.store import Scratch, marked, shuffle_partitions
 from boardframe.llm.tokens import forget
 
-#: Words whose counts order the shingles, and slots that hold them; other words count as rare. Only speed depends on them.
-COMMON_WORDS, WORD_SLOTS = 1 << 16, 1 << 20
-#: Bits of a set's parities.
-PARITY_BITS = 512
+#: Bits of a shingle's slot, by which its sets are counted; parts of all slots; and shingles that a task packs at once.
+SLOT_BITS, BLOCK_BITS, PACKED = 34, 10, 1_500_000
+#: Frequent slots that tasks get to know at most, and bits of the table they look them up in. The more texts there are, the more
+#: sets a shingle must be in to be one of them; only speed depends on it, as lists of other shingles stay short.
+FREQUENT, TABLE_BITS = 1 << 21, 25
+#: Shingles for which a set's parities have 512 bits; larger sets have more.
+PARITY_EACH = 400
 #: Sets, and items of their differences, of a part of a component; any two parts are compared by one task at a time.
 PART_SETS, PART_ITEMS = 256, 1 << 20
 #: Cells of a table of sets and items that is multiplied at once.
 CELLS = 1 << 22
 
 
-def shingles(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words, and of each run of ``n`` words; of all words, if they are fewer."""
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words of a text; of all words, if they are fewer."""
     words = word_hashes(text)
-    return words, runs(words, min(n, len(words))) if len(words) else words
+    return runs(words, min(n, len(words))) if len(words) else words
 
 
 def node_of(found: np.ndarray) -> bytes:
@@ -53,68 +56,129 @@ def kept(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-FIRST = ["doc_id", "twin", "node", "n", "parity", "word", "uses"]
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of a set's shingles falls into each slot, as 64-bit words. Their number doubles with the size of the set;
+    folding its halves onto each other gives that of fewer slots."""
+    bits = 512 << max(0, (len(found) - 1) // PARITY_EACH).bit_length()
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+FIRST = {"doc_id": pa.int64(), "twin": pa.int64(), "node": pa.binary(), "n": pa.int32(), "parity": pa.list_(pa.int64()), "block": pa.int32(), "slots": pa.binary()}
+FIRST_SCHEMA = "doc_id long, twin long, node binary, n int, parity array<long>, block int, slots binary"
+
+
+def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Slots of many sets and in how many of these each is: a row for each block, with sorted slots as gaps and counts up to 255."""
+    slots, count = np.unique(np.concatenate(held), return_counts=True)
+    edges = np.searchsorted(slots, np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64) << np.uint64(SLOT_BITS - BLOCK_BITS))
+    used = np.flatnonzero(np.diff(edges))
+    low = (slots & np.uint64((1 << (SLOT_BITS - BLOCK_BITS)) - 1)).astype(np.uint32)
+    count = np.minimum(count, 255).astype(np.uint8)
+    data = [zlib.compress(np.diff(low[edges[k] : edges[k + 1]], prepend=np.uint32(0)).tobytes() + count[edges[k] : edges[k + 1]].tobytes(), 1) for k in used]
+    rows = {"block": pa.array(used.astype(np.int32)), "slots": pa.array(data, pa.binary())}
+    return pa.RecordBatch.from_arrays([rows.get(c, pa.nulls(len(used), t)) for c, t in FIRST.items()], names=list(FIRST))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n = len(raw) // 5
+    return np.cumsum(np.frombuffer(raw, np.uint32, n)), np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64)
 
 
 def _first_pass(n: int):
+    """Rows (doc_id, text, twin) to what is known of their sets, and to slots of the sets that this task has not had before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        words, uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            nodes, sizes, parities, seen = [], [], [], []
+            nodes, sizes, parities = [], [], []
             for text in batch.column(1):
-                own, found = shingles(text.as_py(), n)
-                found = np.unique(found)
-                seen.append(own)
+                found = np.unique(shingles(text.as_py(), n))
                 nodes.append(node_of(found) if len(found) else None)
                 sizes.append(len(found))
-                bits = np.bincount((found >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY_BITS) & 1
-                parities.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=FIRST)
-            new, count = np.unique(np.concatenate([words.repeat(np.minimum(uses, 1)), *seen]) if seen else words, return_counts=True)
-            count[np.searchsorted(new, words)] += uses - np.minimum(uses, 1)
-            top = np.argsort(-count, kind="stable")[: 4 * COMMON_WORDS] if len(new) > 4 * COMMON_WORDS else np.arange(len(new))
-            top.sort()
-            words, uses = new[top], count[top]
-        keep = np.flatnonzero(uses > 1)
-        keep = keep[np.argsort(-uses[keep], kind="stable")[:COMMON_WORDS]]
-        none = len(keep)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int64())), pa.array(words[keep].view(np.int64)), pa.array(uses[keep])], names=FIRST)
+                parities.append(parity(found))
+                if nodes[-1] and nodes[-1] not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(nodes[-1])
+                    held.append(found >> np.uint64(64 - SLOT_BITS))
+                    size += len(found)
+                    if size > PACKED:
+                        yield _packed(held)
+                        held, size = [], 0
+            none = len(nodes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64())), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=list(FIRST))
+        if held:
+            yield _packed(held)
 
     return run
 
 
-def common_words(rows: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Counts of the words used most, by slots of their hashes; words that share a slot share the higher count. The driver sees counts
-    by magnitude, then COMMON_WORDS of the words at most."""
-    uses = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("uses").alias("uses")).withColumn("size", F.floor(F.log2("uses") * 8).cast("int"))
-    uses = scratch.save(uses, "uses")
-    out, total, least = np.zeros(WORD_SLOTS, np.int64), 0, None
-    for r in sorted(uses.groupBy("size").count().collect(), reverse=True):
-        if total + r["count"] > COMMON_WORDS:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, slots) sorted by block to the slots that several sets have, by the size of their number (its logarithm). A block's counts
+    are summed as they come; it has a fixed number of slots."""
+    names = ["size", "n", "slots"]
+
+    def done(block: int, counts: np.ndarray | list) -> pa.RecordBatch:
+        if isinstance(counts, list):
+            slots, at = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([x for _, x in counts]))
+        else:
+            slots = np.flatnonzero(counts)
+            total = counts[slots]
+        several = total > 1
+        slots, sizes = slots[several].astype(np.uint64) + (np.uint64(block) << np.uint64(SLOT_BITS - BLOCK_BITS)), np.log2(total[several]).astype(np.int32)
+        found = np.unique(sizes)
+        # Tasks know a slot by its first bits alone.
+        first = [np.unique(slots[sizes == k] >> np.uint64(SLOT_BITS - TABLE_BITS)).astype(np.uint32) for k in found]
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([len(x) for x in first], pa.int64()), pa.array([x.tobytes() for x in first], pa.binary())], names=names)
+
+    block, held, size = None, [], 0
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != block:
+                if block is not None:
+                    yield done(block, held)
+                block, held, size = k, [], 0
+            slots, counts = _unpacked(data)
+            if isinstance(held, list):
+                held.append((slots, counts))
+                size += len(slots)
+                if size > 1 << (SLOT_BITS - BLOCK_BITS - 2):
+                    dense = np.zeros(1 << (SLOT_BITS - BLOCK_BITS), np.int64)
+                    for at, x in held:
+                        dense[at] += x
+                    held = dense
+            else:
+                held[slots] += counts
+    if block is not None:
+        yield done(block, held)
+
+
+def frequent(first: DataFrame, scratch: Scratch) -> np.ndarray:
+    """A table of the slots that most sets have, by their first bits: how frequent each is, 0 for all others. The driver sees a few numbers, then
+    FREQUENT slots at most."""
+    rows = first.where("block IS NOT NULL").select("block", "slots")
+    rows = rows.repartition(shuffle_partitions(first.sparkSession), "block").sortWithinPartitions("block")
+    counts = scratch.save(rows.mapInArrow(_counted, "size int, n long, slots binary"), "counts")
+    out, total, least = np.zeros(1 << TABLE_BITS, np.uint8), 0, None
+    for r in sorted(counts.groupBy("size").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        if total + r["n"] > FREQUENT:
             break
-        total, least = total + r["count"], r["size"]
+        total, least = total + r["n"], r["size"]
     if least is not None:
-        found = uses.where(F.col("size") >= least).select("word", "uses").toArrow()
-        slots = (found["word"].to_numpy().view(np.uint64) >> np.uint64(44)).astype(np.int64)
-        np.maximum.at(out, slots, found["uses"].to_numpy())
+        for r in counts.where(F.col("size") >= least).toArrow().to_pylist():
+            at = np.frombuffer(r["slots"], np.uint32)
+            out[at] = np.maximum(out[at], r["size"])
     return out
 
 
-def _once(texts, n: int, seen: set[bytes]):
-    """Node, hashes of words and of shingles, and distinct shingles of each text whose set this task has not had."""
-    for text in texts:
-        words, found = shingles(text.as_py(), n)
-        distinct, first = np.unique(found, return_index=True)
-        if len(distinct) and (node := node_of(distinct)) not in seen:
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.add(node)
-            yield node, words, found, distinct, first
-
-
-def _entries(n: int, percent: int, common: np.ndarray):
-    """Index entries: each set's first shingles, those with rare words first, with their places."""
+def _entries(n: int, percent: int, table):
+    """Index entries: each set's first shingles, frequent ones last, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -122,19 +186,21 @@ def _entries(n: int, percent: int, common: np.ndarray):
         for batch in batches:
             nodes: list[bytes] = []
             parts: list[tuple] = []
-            for node, words, found, distinct, first in _once(batch.column(0), n, seen):
-                uses = common[(words >> np.uint64(44)).astype(np.int64)]
-                rare = uses[: len(found)]
-                for i in range(1, len(words) - len(found) + 1):
-                    rare = np.minimum(rare, uses[i : i + len(found)])
-                k = kept(len(distinct), percent)
-                order = np.lexsort((distinct, rare[first]))[:k]
-                parts.append((distinct[order], np.full(k, len(nodes)), np.full(k, len(distinct), np.int32), np.arange(k, dtype=np.int32)))
+            for text in batch.column(0):
+                found = np.unique(shingles(text.as_py(), n))
+                if not len(found) or (node := node_of(found)) in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(node)
+                k = kept(len(found), percent)
+                often = table.value[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                order = np.argsort(often, kind="stable")[:k]  # of equally frequent ones the smaller first
+                parts.append((found[order], np.full(k, len(nodes)), np.full(k, len(found), np.int32), np.arange(k, dtype=np.int32)))
                 nodes.append(node)
             none = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int32)]
             token, at, size, pos = (np.concatenate(x) for x in zip(none, *parts, strict=True))
-            half = np.array([int.from_bytes(x[:8], "little", signed=True) for x in nodes], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(half[at]), pa.array(size), pa.array(pos)], names=["token", "node", "half", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(size), pa.array(pos)], names=["token", "node", "n", "pos"])
 
     return run
 
@@ -142,8 +208,8 @@ def _entries(n: int, percent: int, common: np.ndarray):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for x in (np.unique(shingles(text.as_py(), n)[1]) for text in batch.column(0)) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "items"])
+            found = [np.unique(shingles(text.as_py(), n)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["doc_id", "node", "items"])
 
     return run
 
@@ -234,41 +300,44 @@ def _is_link(percent: int) -> Column:
 
 
 class _Sets:
-    """The distinct sets: node, class_id, n, parity. Their items are read again from one text of each where they are needed."""
+    """The distinct sets: node, half (a number that stands for it among candidates), class_id, n, parity. Their items are read again from one
+    text of each where they are needed."""
 
     def __init__(self, docs: DataFrame, words: int, table: DataFrame, percent: int, scratch: Scratch):
         self.docs, self.words, self.table, self.percent, self.scratch = docs, words, table, percent, scratch
 
     def items(self, nodes: DataFrame, tag: str) -> DataFrame:
-        ids = self.table.join(nodes, "node", "left_semi").select(F.col("class_id").alias("doc_id"))
-        sets = marked(self.docs, ids).select("text").mapInArrow(_sets(self.words), "node binary, items array<long>")
-        return self.scratch.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), tag)
+        """node, items for each of ``nodes``, of the text that its class is named by, and so once, but for repeated rows."""
+        ids = self.scratch.save(self.table.join(nodes, "node", "left_semi").select("node", "class_id"), tag)
+        texts = marked(self.docs, ids.select(F.col("class_id").alias("doc_id"))).select("doc_id", "text")
+        sets = texts.mapInArrow(_sets(self.words), "doc_id long, node binary, items array<long>")
+        # No key of the join, so that its rows stay where joins on nodes find them.
+        own = F.xxhash64("doc_id").bitwiseXOR(F.xxhash64("class_id")) == 0
+        return sets.join(ids, "node").where(own).select("node", "items")
 
     def within(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """Of ``pairs`` (a, b, reach) those at a distance of ``reach`` at most, with sum and apart. Parities tell most unlike sets without
-        reading them."""
-        a, b = (self.table.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").withColumn("sum", F.col("na") + F.col("nb"))
+        """Of ``pairs`` (a, b: halves, reach) those at a distance of ``reach`` at most: a, b (nodes), sum and apart. Parities tell most unlike
+        sets without reading them."""
+        a, b = (self.table.select(F.col("half").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").withColumn("sum", F.col("n_a") + F.col("n_b"))
         most = F.when(F.col("reach") < 1, F.floor(F.col("reach") * F.col("sum") / (2 - F.col("reach")) + 1e-9)).otherwise(F.col("sum"))
-        least = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-        near = self.scratch.save(both.withColumn("most", most).where(least <= F.col("most")).select("a", "b", "sum", "most"), f"{tag}-near")
-        nodes = self.scratch.save(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), f"{tag}-nodes")
-        items = self.items(nodes, f"{tag}-items")
-        both = near.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
-        both = both.withColumn("apart", (F.col("sum") - 2 * F.size(F.array_intersect("ia", "ib"))).cast("int"))
-        found = self.scratch.save(both.where("apart <= most").select("a", "b", "sum", "apart"), tag)
-        self.scratch.drop(f"{tag}-items")
-        return found
+        p, q = (_folded(F.col(x), F.size(y)) for x, y in (("p_a", "p_b"), ("p_b", "p_a")))
+        least = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = both.withColumn("most", most).where(least <= F.col("most")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sum", "most")
+        near = self.scratch.save(near, f"{tag}-near")
+        items = self.items(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), f"{tag}-nodes")
+        both = near.join(items.toDF("a", "i_a"), "a").join(items.toDF("b", "i_b"), "b")
+        both = both.select("a", "b", "sum", "most", (F.col("sum") - 2 * F.size(F.array_intersect("i_a", "i_b"))).cast("int").alias("apart"))
+        return self.scratch.save(both.where("apart <= most").select("a", "b", "sum", "apart").distinct(), tag)
 
     def compared(self, members: DataFrame) -> DataFrame:
         """node, n_links, reached: all links within each group of ``members`` (node, group), a group being named by one of its sets. A set is
         told by its difference from that one, so that two sets' differences tell their overlap; pairs are counted in blocks."""
         save = self.scratch.save
-        sets = save(self.items(members.select("node"), "members").join(members, "node"), "grouped")
+        sets = save(self.items(members.select("node"), "members").join(members, "node").dropDuplicates(["node"]), "grouped")
         heads = save(sets.where("node = group").select("group", F.col("items").alias("head")), "heads")
         apart = F.concat(F.array_except("items", "head"), F.array_except("head", "items"))
         sets = save(sets.join(heads, "group").select("group", "node", F.size("items").alias("n"), apart.alias("apart")), "apart")
-        self.scratch.drop("members")
         self.scratch.drop("grouped")
         parts = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum(F.size("apart")) / PART_ITEMS)).cast("int").alias("parts"))
         parts = save(parts, "parts")  # a table of its own, so that the join may split a large group
@@ -280,11 +349,18 @@ class _Sets:
         return save(own.mapInArrow(_compared(self.percent), "node binary, n_links long, reached binary"), "compared")
 
 
-def _index(texts: DataFrame, words: int, percent: int, common: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Entries (token, band, node, half, n, pos) of the lists that hold two sets at least. Sets that can be linked are in the same or in
+def _folded(own: Column, size: Column) -> Column:
+    """Parities as of ``size`` words at most, where that is half of them or less: sets that can be linked have twice as many at most."""
+    half = (F.size(own) / 2).cast("int")
+    folded = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(own) > size, folded).otherwise(own)
+
+
+def _index(texts: DataFrame, words: int, percent: int, table, scratch: Scratch) -> DataFrame:
+    """Entries (token, band, half, n, pos) of the lists that hold two sets at least. Sets that can be linked are in the same or in
     neighbouring bands of sizes."""
-    index = texts.mapInArrow(_entries(words, percent, common), "token long, node binary, half long, n int, pos int")
-    index = scratch.save(index, "index")
+    index = texts.mapInArrow(_entries(words, percent, table), "token long, node binary, n int, pos int")
+    index = scratch.save(index.select("token", F.xxhash64("node").alias("half"), "n", "pos"), "index")
     lists = index.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).where("low <> high").select("token")
     lists = scratch.save(lists, "lists")
     band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
@@ -296,14 +372,14 @@ def _index(texts: DataFrame, words: int, percent: int, common: np.ndarray, scrat
 def _headed(entries: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of each entry with the headers of its list's blocks of its own and the next sizes. The set with the least position heads a
     block: it has the fewest shingles that others lack, so a group of similar sets has few headers, and each is compared with few."""
-    lead = F.struct("pos", "half", "node", "n")
+    lead = F.struct("pos", "half", "n")
     blocks = entries.groupBy("token", "band").agg(F.min(lead).alias("head"), F.min("pos").alias("low_pos"), F.max("n").alias("high_n"))
-    blocks = blocks.select("token", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"), F.col("head.pos").alias("other_pos"), "low_pos", "high_n", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    blocks = blocks.select("token", F.col("head.half").alias("other"), F.col("head.n").alias("other_n"), F.col("head.pos").alias("other_pos"), "low_pos", "high_n", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     x, y = F.col("n"), F.col("other_n")
     room = F.least(x - F.col("pos"), F.col("high_n") - F.col("low_pos")) >= F.ceil(percent * x / 100)
     fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least(x - F.col("pos"), y - F.col("other_pos")) >= _alpha(x, y, percent))
-    probed = entries.join(blocks, ["token", "band"]).where(room & fits & (F.col("node") != F.col("other")))
-    return probed.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    probed = entries.join(blocks, ["token", "band"]).where(room & fits & (F.col("half") != F.col("other")))
+    return probed.select(F.least("half", "other").alias("a"), F.greatest("half", "other").alias("b")).distinct()
 
 
 def _clusters(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -321,9 +397,10 @@ def _clusters(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _blocks_apart(entries: DataFrame, clusters: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b, reach: pairs of clusters, by their heads, that stand in one list where sizes and places leave room for a link, and how far apart
+    """a, b, reach: pairs of clusters, by their heads' halves, that stand in one list where sizes and places leave room for a link, and how far apart
     heads may be for that: sets of two clusters can only be linked if their heads are not farther than both radii and a link."""
-    named = entries.join(clusters, "node", "left").select("token", "band", "n", "pos", F.coalesce("head", "node").alias("head"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    labels = clusters.select(F.xxhash64("node").alias("half"), F.xxhash64("head").alias("head"), "radius")
+    named = entries.join(labels, "half", "left").select("token", "band", "n", "pos", F.coalesce("head", "half").alias("head"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
     blocks = named.groupBy("token", "band", "head").agg(F.min("pos").alias("pos"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("radius").alias("radius"))
     blocks = scratch.save(blocks, "blocks")
     several = blocks.groupBy("token").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x <> y").select("token")
@@ -354,14 +431,13 @@ def similar(docs: DataFrame, *, words: int = 5, percent: int = 80, count: bool =
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
-    first = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_first_pass(words), "doc_id long, twin long, node binary, n int, parity array<long>, word long, uses long")
-    first = scratch.save(first, "first")
-    common = common_words(first, scratch)
+    first = scratch.save(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_first_pass(words), FIRST_SCHEMA), "first")
     rows = first.where("n IS NOT NULL").select("doc_id", "twin", "node", "n")
     table = first.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
-    table = scratch.save(table, "table")
+    table = scratch.save(table.withColumn("half", F.xxhash64("node")), "table")
     sets = _Sets(docs, words, table, percent, scratch)
-    entries = _index(docs.select("text"), words, percent, common, scratch)
+    often = docs.sparkSession.sparkContext.broadcast(frequent(first, scratch))
+    entries = _index(docs.select("text"), words, percent, often, scratch)
 
     links = sets.within(_headed(entries, percent).withColumn("reach", F.lit(1 - percent / 100 + 1e-9)), "near").where(_is_link(percent))
     clusters = _clusters(links, scratch)

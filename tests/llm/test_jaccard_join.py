@@ -65,7 +65,9 @@ def test_against_all_pairs(spark, monkeypatch, n, percent, sets):
 
 def test_order_and_full_tables_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(store, "DOC_BITS", (4, 4))  # marked documents are too many for it
-    monkeypatch.setattr(jaccard_join, "COMMON_WORDS", 2)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "PACKED", 50)
+    monkeypatch.setattr(jaccard_join, "PARITY_EACH", 8)
     docs = corpus(9, 6)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=90).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
