@@ -59,6 +59,26 @@ def repair_moves(targets: DataFrame, reread: DataFrame | None = None, earlier: D
     return out
 
 
+def _readings(targets: DataFrame, replies: DataFrame, masks: DataFrame) -> DataFrame:
+    """What each round of replies says of a target, as boards, captions and squares called empty."""
+    said = {r: replies.where(F.col("round") == r).groupBy("id").agg(F.max("text").alias(f"t{r}")) for r in (1, 2, 3)}
+    rows = reduce(lambda a, b: a.join(b, "id", "left"), said.values(), targets.select("id", "fen", "to_move", "moves").join(masks.select("id", "mask"), "id", "left"))
+    gone = F.regexp_extract_all(F.lower(F.coalesce("t2", F.lit(""))), F.lit(r"\b([a-h][1-8])\s*[:\-]\s*empty"), 1)
+    board = {f"b{r}": text.listing(F.col(f"t{r}")) for r in (1, 2, 3)}
+    return rows.select("id", boards.placement(F.col("fen")).alias("old_fen"), "to_move", "moves", "mask", gone.alias("gone"), *(c.alias(n) for n, c in board.items()), text.caption(F.col("t1")).alias("c1"), text.caption(F.col("t3")).alias("c3"))
+
+
+def second_look(targets: DataFrame, replies: DataFrame, masks: DataFrame) -> DataFrame:
+    """id, squares: what a second reading of each target should look at, given the first; none for those without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist(maps_as_pydicts="strict")
+            yield pa.RecordBatch.from_pydict({"id": [r["id"] for r in rows], "squares": [ladder.doubtful(r) for r in rows]}, schema=pa.schema([("id", pa.string()), ("squares", pa.list_(pa.string()))]))
+
+    return _readings(targets, replies, masks).where("b1 IS NOT NULL").mapInArrow(run, "id string, squares array<string>")
+
+
 def read_again(targets: DataFrame, replies: DataFrame, masks: DataFrame) -> DataFrame:
     """Positions settled by recorded readings of their images; each row goes no further than the first stage that settles it.
 
@@ -66,11 +86,7 @@ def read_again(targets: DataFrame, replies: DataFrame, masks: DataFrame) -> Data
     (another reader's listing); ``masks`` (id, mask): which squares look occupied. Gives id, old_fen, fen, to_move, status, rounds, variations_ok,
     note, confidence, fen_fast, fen_strong. Statuses: FIXED, MOVES_SUSPECT (two readings agree), UNRESOLVED, ERROR (no first reading).
     """
-    said = {r: replies.where(F.col("round") == r).groupBy("id").agg(F.max("text").alias(f"t{r}")) for r in (1, 2, 3)}
-    rows = reduce(lambda a, b: a.join(b, "id", "left"), said.values(), targets.select("id", "fen", "to_move", "moves").join(masks.select("id", "mask"), "id", "left"))
-    board, closer = text.listing(F.col("t1")), text.listing(F.col("t2"))
-    gone = F.regexp_extract_all(F.lower(F.coalesce("t2", F.lit(""))), F.lit(r"\b([a-h][1-8])\s*[:\-]\s*empty"), 1)
-    rows = rows.select("id", boards.placement(F.col("fen")).alias("old_fen"), "to_move", "moves", "mask", board.alias("b1"), text.caption(F.col("t1")).alias("c1"), closer.alias("b2"), gone.alias("gone"), text.listing(F.col("t3")).alias("b3"), text.caption(F.col("t3")).alias("c3"))
+    rows = _readings(targets, replies, masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,8 +16,10 @@ def missing(ids: DataFrame, column: str, low: int, high: int) -> DataFrame:
     return ids.sparkSession.range(low, high + 1).toDF(column).join(ids.select(F.col(column).cast("long").alias(column)).distinct(), column, "left_anti")
 
 
-def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+def duplicates(rows: DataFrame, *keys: str, of: str | None = None) -> DataFrame:
+    """Keys that several rows share: n and, with ``of``, what these rows have in that column, in order."""
+    found = [F.count("*").alias("n"), *([F.array_sort(F.collect_list(of)).alias("rows")] if of else [])]
+    return rows.groupBy(*keys).agg(*found).where("n > 1")
 
 
 def gate(rows: DataFrame, column: str, low: int, high: int) -> DataFrame:
@@ -28,11 +30,35 @@ def gate(rows: DataFrame, column: str, low: int, high: int) -> DataFrame:
     return own.crossJoin(twice).crossJoin(lost).select("missing", "repeated", "unnumbered", (F.col("missing") + F.col("repeated") + F.col("unnumbered") == 0).alias("ok"))
 
 
+#: Whole numbers that one task puts in order.
+SPAN = 1 << 16
+
+
 def islands(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Runs of consecutive whole numbers: low, high, n."""
-    order = Window.partitionBy(*by).orderBy(column)
-    marked = rows.select(*by, column).distinct().withColumn("_run", F.col(column) - F.row_number().over(order))
-    return marked.groupBy(*by, "_run").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n")).drop("_run")
+    """Runs of consecutive whole numbers: low, high, n. Spans of numbers are the unit of work; only runs that reach an edge of their span meet
+    those of others."""
+    span = F.floor(F.col(column) / SPAN)
+    marked = rows.select(*by, column, span.alias("_span")).distinct().withColumn("_run", F.col(column) - F.row_number().over(Window.partitionBy(*by, "_span").orderBy(column)))
+    local = marked.groupBy(*by, "_span", "_run").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n")).drop("_run", "_span")
+    edge = (F.pmod("low", F.lit(SPAN)) == 0) | (F.pmod("high", F.lit(SPAN)) == SPAN - 1)
+    order = Window.partitionBy(*by).orderBy("low")
+    cut = local.where(edge).withColumn("_new", F.coalesce((F.col("low") > F.lag("high").over(order) + 1).cast("int"), F.lit(1)))
+    whole = cut.withColumn("_run", F.sum("_new").over(order)).groupBy(*by, "_run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).drop("_run")
+    return local.where(~edge).unionByName(whole)
+
+
+def places(rows: DataFrame, first: str, key: str) -> DataFrame:
+    """Adds ``place``, a row's number from 1 among all by ``first``, then the whole number ``key``. Rows are counted by spans of keys, and
+    numbered within these."""
+    spanned = rows.withColumn("_span", F.floor(F.col(key) / SPAN))
+    before = spanned.groupBy(first, "_span").agg(F.count("*").alias("_n"))
+    # A row for each span.
+    earlier = F.sum("_n").over(Window.orderBy(first, "_span").rowsBetween(Window.unboundedPreceding, -1))
+    before = before.select(first, "_span", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(first, "_span").orderBy(key))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (first, "_span")]
+    found = spanned.withColumn("_own", own).alias("r").join(before.alias("b"), same)
+    return found.select("r.*", (F.col("_own") + F.col("b._before")).cast("long").alias("place")).drop("_own", "_span")
 
 
 def ranges(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -58,17 +84,31 @@ def longest_run(rows: DataFrame, flag: Column, order: Sequence[str], by: Sequenc
     return islands_.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_flag"), F.col("n"))), F.lit(0)).alias("longest"))
 
 
-def pairs(rows: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Neighbours two by two: first and second; a last odd one has no second."""
+def pairs(rows: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), *, even: bool = False) -> DataFrame:
+    """Neighbours two by two: first and second. A last odd one has no second or, with ``even``, fails the job."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     marked = rows.withColumn("_n", place)
-    return marked.groupBy(*by, F.floor(F.col("_n") / 2).alias("pair")).agg(F.max(F.when(F.col("_n") % 2 == 0, F.col(value))).alias("first"), F.max(F.when(F.col("_n") % 2 == 1, F.col(value))).alias("second"))
+    found = marked.groupBy(*by, F.floor(F.col("_n") / 2).alias("pair")).agg(F.max(F.when(F.col("_n") % 2 == 0, F.col(value))).alias("first"), F.max(F.when(F.col("_n") % 2 == 1, F.col(value))).alias("second"), F.count("*").alias("_size"))
+    if even:
+        found = found.where(F.when(F.col("_size") == 2, True).otherwise(F.raise_error(F.lit("an odd number of rows cannot be paired")).cast("boolean")))
+    return found.drop("_size")
+
+
+#: Parts of a group's range of values that are put in order one by one.
+PARTS = 1024
 
 
 def widest_gap(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """The widest step between neighbours in order, the lowest of several: low, high, gap."""
-    order = Window.partitionBy(*by).orderBy(value)
-    steps = rows.select(*by, F.col(value).alias("low"), F.lead(value).over(order).alias("high")).where("high IS NOT NULL").withColumn("gap", F.col("high") - F.col("low"))
+    """The widest step between neighbours in order, the lowest of several: low, high, gap. A group's range is cut into parts: steps within
+    these are found apart, and those from one part's end to the next one's beginning from a row for each part."""
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = known.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    part = F.least(F.floor(F.coalesce(F.try_divide((F.col("_v") - F.col("_low")) * PARTS, F.col("_high") - F.col("_low")), F.lit(0))), F.lit(PARTS - 1)).alias("_part")
+    cut = known.join(ends, list(by)).select(*by, "_v", part)
+    inner = cut.select(*by, F.col("_v").alias("low"), F.lead("_v").over(Window.partitionBy(*by, "_part").orderBy("_v")).alias("high"))
+    edges = cut.groupBy(*by, "_part").agg(F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+    outer = edges.select(*by, F.col("_last").alias("low"), F.lead("_first").over(Window.partitionBy(*by).orderBy("_part")).alias("high"))
+    steps = inner.unionByName(outer).where("high IS NOT NULL").withColumn("gap", F.col("high") - F.col("low"))
     return steps.groupBy(*by).agg(F.max_by(F.struct("low", "high", "gap"), F.struct("gap", -F.col("low"))).alias("_best")).select(*by, "_best.*")
 
 
@@ -85,22 +125,25 @@ def stitched(rows: DataFrame, text: str, order: Sequence[str], by: Sequence[str]
 
 def majority(rows: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
     """The most frequent value of a group; of several the one seen first, then the smallest. Nulls do not vote; a group of nulls has none."""
-    votes = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("seen"))
+    votes = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order[0] if len(order) == 1 else F.struct(*order)).alias("seen"))
     line = Window.partitionBy(*by).orderBy(F.desc("n"), "seen", value)
     return votes.withColumn("_k", F.row_number().over(line)).where("_k = 1").select(*by, value, F.col("n").alias("votes"))
 
 
-def stitch_pages(pages: DataFrame, order: str = "page") -> DataFrame:
-    """Solutions (id, moves) of OCR pages (page, solutions array of (id, moves), continuation).
+def stitch_pages(pages: DataFrame, order: str = "page", by: Sequence[str] = (), *, expected: tuple[int, int] | None = None) -> DataFrame:
+    """Solutions (id, moves) of OCR pages (page, solutions array of (id, moves), continuation), within ``by`` if given.
 
     ``Position`` before an id goes; a page's continuation is added to the last solution of the nearest page before that has
-    one; a continuation with none before it is left out. The order over pages is one sort of the pages' heads alone.
+    one; a continuation with none before it is left out. The order over pages is one sort of the pages' heads alone. With
+    ``expected`` (first and last page) nothing is stitched if a page between is missing.
     """
-    all_ = Window.orderBy(order)
+    if expected and (lost := missing(pages, order, *expected).orderBy(order).limit(1).collect()):
+        raise ValueError(f"page {lost[0][0]} is missing")
+    all_ = Window.partitionBy(*by).orderBy(order)
     last = F.when(F.size("solutions") > 0, F.col(order))
     owner = F.lag(F.last(last, ignorenulls=True).over(all_.rowsBetween(Window.unboundedPreceding, 0))).over(all_)
-    tails = pages.select(order, "solutions", "continuation").select(order, owner.alias("owner"), F.nullif(F.trim("continuation"), F.lit("")).alias("more")).where("owner IS NOT NULL AND more IS NOT NULL")
-    more = stitched(tails, "more", [order], ["owner"]).withColumnRenamed("owner", order)
-    items = pages.select(order, F.size("solutions").alias("_n"), F.posexplode("solutions").alias("at", "s")).join(more, order, "left")
-    moves = F.when((F.col("at") == F.col("_n") - 1) & F.col("more").isNotNull(), F.concat_ws(" ", "s.moves", "more")).otherwise(F.col("s.moves"))
-    return items.select(order, F.col("at").alias("place"), F.trim(F.regexp_replace("s.id", r"(?i)^\s*Position\s*", "")).alias("id"), moves.alias("moves"))
+    heads = pages.select(*by, order, owner.alias("owner"), F.nullif(F.trim("continuation"), F.lit("")).alias("more"))
+    more = stitched(heads.where("owner IS NOT NULL AND more IS NOT NULL"), "more", [order], [*by, "owner"]).withColumnRenamed("owner", order)
+    items = pages.select(*by, order, F.size("solutions").alias("_n"), F.posexplode("solutions").alias("at", "s")).join(more, [*by, order], "left")
+    moves = F.when((F.col("at") == F.col("_n") - 1) & F.col("more").isNotNull(), F.trim(F.concat_ws(" ", F.rtrim("s.moves"), "more"))).otherwise(F.col("s.moves"))
+    return items.select(*by, order, F.col("at").alias("place"), F.trim(F.regexp_replace("s.id", r"(?i)^\s*Position\s*", "")).alias("id"), moves.alias("moves"))

@@ -63,14 +63,14 @@ def missing_ids(t):
     return state.without_done(t("documents").select("doc_id"), t("labels"), "doc_id")
 
 
-@query("SELECT k AS doc_id FROM range(0, 1000) r(k) WHERE k NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT k AS doc_id FROM range((SELECT min(doc_id) FROM documents), (SELECT max(doc_id) + 1 FROM documents)) r(k) WHERE k NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def expected_ids(t):
     return sequences.missing(t("labels"), "doc_id", *_id_range(t))
 
 
 @query("SELECT count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def paired_ids(t):
-    return t("documents").join(t("labels").select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("n"))
+    return overlay.paired(t("documents"), t("labels"), "doc_id")
 
 
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -79,9 +79,10 @@ def duplicate_ids(t):
 
 
 @query("""
-SELECT (SELECT count(*) FROM range(0, 400) r(k) WHERE k NOT IN (SELECT doc_id FROM labels)) AS missing,
-  (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated,
-  (SELECT count(*) FROM labels WHERE doc_id IS NULL) AS unnumbered, false AS ok""")
+SELECT *, missing + repeated + unnumbered = 0 AS ok FROM (SELECT
+  (SELECT count(*) FROM range((SELECT min(doc_id) FROM documents), (SELECT max(doc_id) + 1 FROM documents)) r(k) WHERE k NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) AS missing,
+  (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS repeated,
+  (SELECT count(*) FROM labels WHERE doc_id IS NULL) AS unnumbered)""")
 def coverage_gate(t):
     return sequences.gate(t("labels"), "doc_id", *_id_range(t))
 
@@ -174,7 +175,7 @@ def normalise_text(t):
 
 
 @query("""
-SELECT count(*) AS n, CAST(sum(CASE WHEN d.text IS NOT NULL AND list_slice(string_split(d.text, ' '), 1, 2) = list_slice(string_split(b.text, ' '), 1, 2) THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+SELECT count(*) AS n, CAST(sum(CASE WHEN d.text IS NOT NULL AND list_slice(regexp_extract_all(d.text, '[^ ]+'), 1, len(regexp_extract_all(b.text, '[^ ]+'))) = regexp_extract_all(b.text, '[^ ]+') THEN 1 ELSE 0 END) AS BIGINT) AS ok,
   CAST(sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3""")
 def prefix_score(t):
     docs = t("documents").select("doc_id", F.col("text").alias("got"))
@@ -204,14 +205,12 @@ def calibration(t):
     return audit.calibration(_tiers(t).where("quality IS NOT NULL").withColumn("correct", F.col("quality") == 1))
 
 
-CHAPTERS = [(1, 20_000, "opening"), (20_001, 35_000, "middle"), (35_001, 10_000_000, "end")]
+CHAPTERS = [(1, 20_000, "opening"), (20_001, 35_000, "middle"), (35_001, (1 << 63) - 1, "end")]
 
 
 @query(f"SELECT o_orderkey, name FROM orders JOIN (VALUES {', '.join(map(str, CHAPTERS))}) c(low, high, name) ON o_orderkey BETWEEN low AND high")
 def range_lookup(t):
-    orders = t("orders")
-    chapters = orders.sparkSession.createDataFrame(CHAPTERS, "low long, high long, name string")
-    return orders.join(F.broadcast(chapters), F.col("o_orderkey").between(F.col("low"), F.col("high"))).select("o_orderkey", "name")
+    return overlay.in_ranges(t("orders").select("o_orderkey"), CHAPTERS, "o_orderkey")
 
 
 @query("""
@@ -244,18 +243,12 @@ SELECT doc_id, review, CAST(row_number() OVER (ORDER BY CASE review WHEN 'needs-
   SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'no-solution' WHEN l.quality = 0 AND l.toxic = 1 THEN 'unsolved' WHEN l.quality = 0 THEN 'needs-review' WHEN l.toxic = 1 THEN 'reviewed' ELSE 'verified' END AS review
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
 def review_queue(t):
-    from pyspark.sql import Window
-
     from boardframe.operators.review import ORDER, outcome
 
     rows = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
     review = outcome(F.col("quality").cast("string"), F.col("quality") == 1, F.coalesce(F.col("toxic") == 1, F.lit(False)))
     rows = rows.select("doc_id", review.alias("review")).withColumn("rank", F.array_position(F.array(*map(F.lit, ORDER)), F.col("review")))
-    # A place among all is the place among rows of one outcome, and how many have an earlier one: no row but counts meet in one task.
-    before = rows.groupBy("rank").agg(F.count("*").alias("n"))
-    before = before.select("rank", (F.coalesce(F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    own = F.row_number().over(Window.partitionBy("rank").orderBy("doc_id"))
-    return rows.withColumn("own", own).join(F.broadcast(before), "rank").select("doc_id", "review", (F.col("own") + F.col("before")).cast("bigint").alias("place"))
+    return sequences.places(rows, "rank", "doc_id").select("doc_id", "review", "place")
 
 
 @query("SELECT doc_id FROM documents WHERE source = 'src0' UNION SELECT doc_id FROM labels WHERE toxic = 1")

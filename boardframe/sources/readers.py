@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
+import time
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardframe.functions import boards, text
+from boardframe.kernel import columns as kernel
+from boardframe.sources import files
 
 PROBLEM = "id string, fen string, to_move string, hint string"
 SOLUTION_PAGE = "solutions array<struct<id:string,moves:string>>, continuation string"
@@ -76,8 +78,6 @@ def solution_lines(spark: SparkSession, path: str) -> DataFrame:
     number = F.nullif(F.regexp_extract("value", r"^\s*(\d+)\.\s+\S", 1), F.lit(""))
     name = F.nullif(F.regexp_extract("value", r"(?i)^\s*lichess\s+(\S+)", 1), F.lit(""))
     marked = rows.select("_pos", "value", number.alias("number"), name.alias("name"), F.col("_pos.file").alias("file"))
-    from pyspark.sql import Window
-
     after = F.lead("name").over(Window.partitionBy("file").orderBy("_pos"))
     return marked.withColumn("after", after).where("number IS NOT NULL").select(F.col("number").alias("id"), F.col("after").alias("name"), F.trim(F.regexp_replace("value", r"^\s*\d+\.\s+", "")).alias("moves"), "_pos")
 
@@ -86,8 +86,7 @@ def native(spark: SparkSession, book: str) -> tuple[DataFrame, DataFrame]:
     """Problems and solutions of a book that has maps by id: fens.json, and maybe solutions.json and overrides.json, whose main line comes first."""
 
     def entries(name: str, kind: str) -> DataFrame:
-        rows = _documents(spark, f"{book}/{name}", "x string").select("_pos")
-        whole = spark.read.option("wholetext", True).text(f"{book}/{name}") if rows.take(1) or os.path.exists(f"{book}/{name}") else spark.createDataFrame([], "value string")
+        whole = spark.read.option("wholetext", True).text(f"{book}/{name}") if files.exists(spark, f"{book}/{name}") else spark.createDataFrame([], "value string")
         return whole.select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("id", "v"))
 
     fens = entries("fens.json", "string")
@@ -100,14 +99,28 @@ def native(spark: SparkSession, book: str) -> tuple[DataFrame, DataFrame]:
     return own, moves
 
 
-def puzzle_csv(spark: SparkSession, path: str, *, want: int, seed: int = 0, low: int = 900, high: int = 1900, theme: str = "short") -> DataFrame:
+def puzzle_csv(spark: SparkSession, path: str, *, want: int, seed: int = 0, low: int = 900, high: int = 1900, theme: str = "short", hints: dict[str, str] | None = None) -> DataFrame:
     """``want`` puzzles of a public CSV (PuzzleId, FEN, Moves, Rating, Themes, GameUrl): rated from low to high, of a theme, with two
-    moves at least. The order is that of a hash of id and seed, so it does not depend on how rows lie."""
+    moves at least, all of them legal: number, id, fen (after the first move, where the puzzle starts), turn, sans, hint, rating, url.
+
+    ``hints`` gives texts for themes, the first of a puzzle's themes that has one counts. The order is that of a hash of id and seed, so it does
+    not depend on how rows lie."""
     rows = spark.read.schema("PuzzleId string, FEN string, Moves string, Rating string, Themes string, GameUrl string").csv(path, header=True, enforceSchema=False)
-    rating = F.col("Rating").try_cast("int")
-    good = rating.between(low, high) & F.array_contains(F.split("Themes", " "), theme) & (F.size(F.split(F.trim("Moves"), r"\s+")) >= 2)
-    good = good & boards.structural_reason(boards.placement(F.col("FEN"))).isNull()
-    return rows.where(good).select("*", rating.alias("rating_value")).orderBy(F.xxhash64("PuzzleId", F.lit(seed)), "PuzzleId").limit(want)
+    rating, themes = F.col("Rating").try_cast("int"), F.split("Themes", " ")
+    good = rating.between(low, high) & F.array_contains(themes, theme) & (F.size(F.split(F.trim("Moves"), r"\s+")) >= 2)
+    played = rows.where(good).withColumn("p", kernel.play_coordinates("FEN", F.lit(None).cast("string"), "Moves")).where("p.fen IS NOT NULL")
+    known = F.create_map(*(F.lit(x) for pair in (hints or {}).items() for x in pair)).cast("map<string,string>")
+    hint = F.coalesce(F.try_element_at(F.filter(F.transform(themes, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()), F.lit(1)), F.lit("Find the best move."))
+    turn = F.split("p.fen", " ")[1]
+    first = played.orderBy(F.xxhash64("PuzzleId", F.lit(seed)), "PuzzleId").limit(want)
+    chosen = first.select(F.xxhash64("PuzzleId", F.lit(seed)).alias("_order"), F.col("PuzzleId").alias("id"), F.col("p.fen").alias("fen"), turn.alias("turn"), F.col("p.sans").alias("sans"), hint.alias("hint"), rating.alias("rating"), F.coalesce("GameUrl", F.lit("")).alias("url"))
+    # As many rows as were asked for.
+    return chosen.withColumn("number", F.row_number().over(Window.orderBy("_order", "id")).cast("long")).drop("_order")
+
+
+def answer_key(puzzles: DataFrame) -> DataFrame:
+    """The truth of a book made of ``puzzle_csv``: id (the number), fen, moves, lichess_id."""
+    return puzzles.select(F.col("number").cast("string").alias("id"), "fen", F.array_join("sans", " ").alias("moves"), F.col("id").alias("lichess_id"))
 
 
 def images(spark: SparkSession, book: str, folder: str = "problem_images") -> DataFrame:
@@ -130,10 +143,11 @@ def page_index(spark: SparkSession, book: str) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("path", "_pos").alias("path"))
 
 
-def discover(root: str, launched: str, markers: Sequence[str] = ("problem_jsons", "fens.json", "bundle")) -> list[str]:
+def discover(spark: SparkSession, root: str, launched: str, markers: Sequence[str] = ("problem_jsons", "fens.json", "bundle")) -> list[str]:
     """Folders below root that look like books, and always the one launched. A listing for the driver."""
-    found = {e.name: e.path for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir() and any(os.path.exists(f"{e.path}/{m}") for m in markers)} if os.path.isdir(root) else {}
-    found.setdefault(os.path.basename(launched.rstrip("/")), launched)
+    names = [n for n in files.children(spark, root) if files.is_folder(spark, f"{root}/{n}") and any(files.exists(spark, f"{root}/{n}/{m}") for m in markers)]
+    found = {n: f"{root}/{n}" for n in names}
+    found.setdefault(launched.rstrip("/").rpartition("/")[2], launched)
     return list(found.values())
 
 
@@ -142,7 +156,7 @@ def run(spark: SparkSession, book: str, stage: str = "bundle") -> DataFrame:
     from boardframe.operators.state import latest
 
     path = f"{book}/bundle/state/puzzles.jsonl"
-    if stage == "bundle" and os.path.exists(path):
+    if stage == "bundle" and files.exists(spark, path):
         return latest(log(spark, path, PUZZLE)).select("id", "fen", "to_move", "moves")
     return problems(spark, book).select(text.bare_id(F.col("id")).alias("id"), "fen", "to_move", F.lit(None).cast("string").alias("moves"))
 
@@ -153,27 +167,21 @@ def truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "v.*")
 
 
-def config(*paths: str) -> dict[str, str]:
+def config(spark: SparkSession, *paths: str) -> dict[str, str]:
     """NAME=value lines of the first file that exists; comments and quotes go."""
     for path in paths:
-        if os.path.exists(path):
-            with open(path) as file:
-                pairs = [line.strip().partition("=") for line in file if "=" in line and not line.startswith("#")]
+        if files.exists(spark, path):
+            pairs = [line.strip().partition("=") for line in files.read_text(spark, path).splitlines() if "=" in line and not line.startswith("#")]
             return {k.strip(): v.strip().strip("'\"") for k, _, v in pairs}
     return {}
 
 
-def create_manifest(root: str, title: str) -> dict:
+def create_manifest(spark: SparkSession, root: str, title: str) -> dict:
     """The manifest of a book's folder, made if there is none."""
     path = f"{root}/manifest.json"
-    if not os.path.exists(path):
-        import time
-
-        os.makedirs(root, exist_ok=True)
-        with open(path, "w") as file:
-            json.dump({"title": title, "created": time.strftime("%F %T"), "profile": {}, "stages": {}}, file, ensure_ascii=False, indent=1)
-    with open(path) as file:
-        return json.load(file)
+    if not files.exists(spark, path):
+        files.write_text(spark, path, json.dumps({"title": title, "created": time.strftime("%F %T"), "profile": {}, "stages": {}}, ensure_ascii=False, indent=1))
+    return json.loads(files.read_text(spark, path))
 
 
 def raised(rows: DataFrame, bad: Column, what: str) -> DataFrame:

@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from boardframe.operators.state import latest
+from boardframe.sources.files import children
+
+#: Parts of the table, by a hash of the keys. A batch rewrites those that it touches.
+PARTS = 64
 
 
 def upsert_stream(changes: DataFrame, target: str, checkpoint: str, *, keys: Sequence[str] = ("id",), order: Sequence[str] = ("_pos",)) -> StreamingQuery:
-    """Every batch is merged with the version before it into a new one below ``target`` (version=N); a batch that is run again
-    writes its version again, so each change counts once. Read with ``current``."""
+    """Every batch writes the parts it changes anew, below ``target`` (version=N/part=K), from its rows and the newest version of these
+    parts before it. A batch that is run again writes its version again, so each change counts once. Read with ``current``."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{target}/version={number - 1}"
-        rows = batch
-        if number and _exists(spark, before):
-            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before))
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{target}/version={number}")
+        rows = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+        touched = {r["part"] for r in rows.select("part").distinct().collect()}  # PARTS at most
+        if not touched:
+            return
+        old = [path for part, path in _newest(spark, target, number).items() if part in touched]
+        if old:
+            before = spark.read.schema(batch.schema).parquet(*old)
+            rows = rows.unionByName(before.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")))
+        latest(rows, keys, order).write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _newest(spark: SparkSession, target: str, below: int | None = None) -> dict[int, str]:
+    """The newest folder of each part, of versions before ``below``."""
+    versions = sorted(int(m[1]) for name in children(spark, target) if (m := re.fullmatch(r"version=(\d+)", name)))
+    found: dict[int, str] = {}
+    for number in versions:
+        if below is None or number < below:
+            for name in children(spark, f"{target}/version={number}"):
+                if m := re.fullmatch(r"part=(\d+)", name):
+                    found[int(m[1])] = f"{target}/version={number}/{name}"
+    return found
 
 
-def current(spark, target: str) -> DataFrame:
-    """The newest version of a table that ``upsert_stream`` keeps."""
-    rows = spark.read.parquet(target)
-    newest = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == newest).drop("version")
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The table that ``upsert_stream`` keeps: the newest version of each part."""
+    return spark.read.parquet(*_newest(spark, target).values())
