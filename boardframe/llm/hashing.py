@@ -30,6 +30,9 @@ class _Powers:
     """Powers of BASE and of its inverse modulo 2**64, as many as were needed."""
 
     def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,9 +30,9 @@ from boardframe.llm.tokens import forget
 
 #: Bits of a shingle's slot, by which its sets are counted; parts of all slots; and shingles that a task packs at once.
 SLOT_BITS, BLOCK_BITS, PACKED = 34, 10, 1_500_000
-#: Frequent slots that tasks get to know at most, and bits of the table they look them up in. The more texts there are, the more
-#: sets a shingle must be in to be one of them; only speed depends on it, as lists of other shingles stay short.
-FREQUENT, TABLE_BITS = 1 << 21, 25
+#: Frequent slots are those of 2**LEAST sets or more. Tasks get to know FREQUENT of them at most, by a table of as many bits as named; where
+#: there are more, a shingle must be in more sets to be one of them. Only speed depends on it, as lists of other shingles stay short.
+LEAST, FREQUENT, TABLE_BITS = 2, 1 << 21, 25
 #: Shingles for which a set's parities have 512 bits; larger sets have more.
 PARITY_EACH = 400
 #: Sets, and items of their differences, of a part of a component; any two parts are compared by one task at a time.
@@ -167,7 +167,7 @@ def frequent(first: DataFrame, scratch: Scratch) -> np.ndarray:
     counts = scratch.save(rows.mapInArrow(_counted, "size int, n long, slots binary"), "counts")
     out, total, least = np.zeros(1 << TABLE_BITS, np.uint8), 0, None
     for r in sorted(counts.groupBy("size").agg(F.sum("n").alias("n")).collect(), reverse=True):
-        if total + r["n"] > FREQUENT:
+        if r["size"] < LEAST or total + r["n"] > FREQUENT:
             break
         total, least = total + r["n"], r["size"]
     if least is not None:

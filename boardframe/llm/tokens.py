@@ -6,12 +6,16 @@ separated words, one after another. Words repeat; each is encoded once and then
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import unicodedata
 from array import array
 
+from boardframe.llm import hashing
+
 #: Words that a worker remembers before it drops those not asked for of late.
-MEMORY = 200_000
+MEMORY = 120_000
 #: Marks that end a word and form one piece of their own after letters.
 MARKS = ".,;:!?|%$&*#"
 
@@ -86,5 +90,9 @@ def encoder(vocabulary: str, end_id: int) -> Encoder:
 
 
 def forget() -> None:
-    """Frees what this worker remembers; scans that encode nothing call it, as workers outlive their tasks."""
+    """Frees what this worker remembers and gives unused memory back to the system; scans that encode nothing call it, as workers outlive
+    their tasks."""
     _ENCODERS.clear()
+    hashing.POWERS.forget()
+    with contextlib.suppress(OSError, AttributeError):  # there is no such call on other systems
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
