@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boardframe.functions.once import once
+
 FILES, RANKS = "abcdefgh", "87654321"
 SQUARES = [f + r for r in RANKS for f in FILES]
 
@@ -27,17 +29,24 @@ def decode(placement: Column) -> Column:
 
 def encode(cells: Column) -> Column:
     """64 letters to a placement."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(cells, i * 8 + 1, F.lit(8)))
-    return _runs(F.array_join(parts, "/"), range(8, 0, -1), True)
+
+    def placed(cells: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(cells, i * 8 + 1, F.lit(8)))
+        return _runs(F.array_join(parts, "/"), range(8, 0, -1), True)
+
+    return once(placed, cells=cells)
 
 
 def to_map(placement: Column) -> Column:
-    cells, squares = F.split(decode(placement), ""), F.array(*map(F.lit, SQUARES))
+    cells, squares = F.split(decode(placement), ""), F.split(F.lit(" ".join(SQUARES)), " ")
     return F.map_from_entries(F.filter(F.zip_with(squares, cells, lambda s, p: F.struct(s.alias("key"), p.alias("value"))), lambda e: e["value"] != "."))
 
 
 def from_map(board: Column) -> Column:
-    return encode(F.array_join(F.transform(F.array(*map(F.lit, SQUARES)), lambda s: F.coalesce(F.try_element_at(board, s), F.lit("."))), ""))
+    """Pieces put on an empty board one by one."""
+    place = lambda key: ((8 - F.substring(key, 2, 1).cast("int")) * 8 + F.instr(F.lit(FILES), F.left(key, F.lit(1))))
+    cells = F.aggregate(F.map_entries(board), F.repeat(F.lit("."), F.lit(64)), lambda out, e: F.overlay(out, e["value"], place(e["key"]), F.lit(1)))
+    return encode(cells)
 
 
 def castling(placement: Column) -> Column:
@@ -96,13 +105,17 @@ def shifts(board: Column) -> Column:
 
 def mismatches(board: Column, mask: Column) -> Column:
     """Squares where a mask (square to occupied, empty or uncertain) and a board disagree; null without a mask."""
-    return F.size(F.map_filter(mask, lambda s, v: (v != "uncertain") & (F.map_contains_key(board, s) != (v == "occupied")))).cast("int")
+    return once(lambda board, mask: F.size(F.map_filter(mask, lambda s, v: (v != "uncertain") & (F.map_contains_key(board, s) != (v == "occupied")))).cast("int"), board=board, mask=mask)
 
 
 def differing(boards: Column) -> Column:
     """Squares in which an array of placements is not of one mind."""
-    cells = F.transform(boards, decode)
-    return F.filter(F.array(*map(F.lit, SQUARES)), lambda s: F.size(F.array_distinct(F.transform(cells, lambda c: F.substring(c, F.array_position(F.array(*map(F.lit, SQUARES)), s).cast("int"), F.lit(1))))) > 1)
+
+    def found(cells: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda i: F.size(F.array_distinct(F.transform(cells, lambda c: F.substring(c, i, F.lit(1))))) > 1)
+        return F.transform(at, lambda i: F.concat(F.substring(F.lit(FILES), F.pmod(i - 1, F.lit(8)) + 1, F.lit(1)), F.substring(F.lit(RANKS), F.floor((i - 1) / 8).cast("int") + 1, F.lit(1))))
+
+    return once(found, cells=F.transform(boards, decode))
 
 
 def row_fits(rank: Column, cells: Column) -> Column:

@@ -130,9 +130,9 @@ def line_disambiguation(t):
 
 @query(named(oracle(PUZZLES), select="""
 SELECT id, CASE WHEN d7 % 3 = 1 THEN 'damaged' WHEN hop12 THEN 'converts' ELSE 'position' END AS note,
-  CASE WHEN d7 % 3 <> 1 AND hop12 THEN '1. N' || s2 || CASE WHEN s2 = 'f7' THEN '+' ELSE '' END END AS moves FROM puzzles WHERE d7 % 3 < 2"""))
+  CASE WHEN d7 % 3 <> 1 AND hop12 THEN '1. N' || s2 || CASE WHEN s2 = 'f7' THEN '+' ELSE '' END END AS moves FROM puzzles"""))
 def older_notation(t):
-    rows = made(t, named(PUZZLES, select="SELECT id, knight AS fen, 'w' AS to_move, '1. S' || s2 || CASE WHEN d7 % 3 = 1 THEN ' §e5' WHEN d7 % 3 = 2 THEN '' ELSE ' (threat)' END AS moves FROM puzzles WHERE d7 % 3 < 2"))
+    rows = made(t, named(PUZZLES, select="SELECT id, knight AS fen, 'w' AS to_move, '1. S' || s2 || CASE WHEN d7 % 3 = 1 THEN ' §e5' WHEN d7 % 3 = 2 THEN '' ELSE ' (threat)' END AS moves FROM puzzles"))
     return review.old_notation(rows).join(repair.repair_moves(rows).select("id", "moves"), "id").select("id", "note", "moves")
 
 

@@ -15,9 +15,9 @@ from boardframe.plans.catalogue import query
 from boardframe.plans.generated import PUZZLES, digit, made, named, oracle
 
 # Logs.
-FIXES = """fixes AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE event_type WHEN 'click' THEN 'FIXED' WHEN 'view' THEN 'UNRESOLVED' ELSE 'MOVES_SUSPECT' END AS status, 'f' || CAST(event_id AS STRING) AS fen, CASE WHEN event_id % 3 = 0 THEN 'b' END AS to_move FROM {events} WHERE event_id % 3 < 2)"""
-MOVES = """repairs AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE WHEN event_id % 2 = 0 THEN 'REPAIRED' ELSE 'UNREPAIRED' END AS status, '1. m' || CAST(event_id AS STRING) AS moves FROM {events} WHERE event_id % 5 = 0)"""
-PEOPLE = """people AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE WHEN event_id % 4 < 2 THEN 'ok' WHEN event_id % 4 = 2 THEN 'fixed' ELSE 'exclude' END AS verdict, CASE WHEN event_id % 4 = 2 THEN 'h' || CAST(event_id AS STRING) ELSE '' END AS fen, CASE WHEN event_id % 8 = 0 THEN 'b' END AS to_move, CASE WHEN event_id % 4 = 2 THEN '1... h' || CAST(event_id AS STRING) END AS moves FROM {events} WHERE event_id % 11 = 0)"""
+FIXES = """fixes AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE event_type WHEN 'click' THEN 'FIXED' WHEN 'view' THEN 'UNRESOLVED' ELSE 'MOVES_SUSPECT' END AS status, 'f' || CAST(event_id AS STRING) AS fen, CASE WHEN event_id % 3 = 0 THEN 'b' END AS to_move FROM {events})"""
+MOVES = """repairs AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE WHEN event_id % 2 = 0 THEN 'REPAIRED' ELSE 'UNREPAIRED' END AS status, '1. m' || CAST(event_id AS STRING) AS moves FROM {events} WHERE event_type = 'purchase')"""
+PEOPLE = """people AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE WHEN event_id % 4 < 2 THEN 'ok' WHEN event_id % 4 = 2 THEN 'fixed' ELSE 'exclude' END AS verdict, CASE WHEN event_id % 4 = 2 THEN 'h' || CAST(event_id AS STRING) ELSE '' END AS fen, CASE WHEN event_id % 8 = 0 THEN 'b' END AS to_move, CASE WHEN event_id % 4 = 2 THEN '1... h' || CAST(event_id AS STRING) END AS moves FROM {events} WHERE event_type = 'signup')"""
 PRINTS = """prints AS (SELECT o_orderkey AS _pos, CAST(o_custkey AS STRING) || ' Name ' || CAST(o_orderkey AS STRING) AS id, '2...s' || CAST(o_orderkey AS STRING) AS moves, CAST(o_custkey AS STRING) AS key FROM {orders})"""
 OWN = """own AS (SELECT CAST(c_custkey AS STRING) || repeat('*', CAST(c_custkey % 4 AS INT)) AS printed, CAST(c_custkey AS STRING) AS id, 'p' || CAST(c_custkey AS STRING) || ' w' AS fen, CASE WHEN c_custkey % 2 = 0 THEN 'b' END AS to_move, c_name AS hint, c_custkey % 3 <> 0 AS pictured, c_custkey % 4 AS stars FROM {customer})"""
 
@@ -160,10 +160,10 @@ def _cells(t):
 # Boards in a diagram font: light squares in lower case. Two layers differ by the white rook; the last drawn counts, unless it lacks a row.
 FONT = {v: k for k, v in layout.GLYPHS.items()}
 GLYPH_LINES = 'lines AS (SELECT i AS r FROM (VALUES (8), (7), (6), (5), (4), (3), (2), (1)) v(i)), files AS (SELECT i AS f FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) v(i)), layers AS (SELECT i AS layer FROM (VALUES (0), (1)) v(i))'
-SET_BOARDS = PUZZLES + ", " + GLYPH_LINES + """, squares AS (SELECT k, d7, layer, r, f, CASE WHEN r = 8 AND f = 7 THEN 'k' WHEN r = 1 AND f = 7 THEN 'K' WHEN layer = 0 AND f = f1 AND r = r1 OR layer = 1 AND f = f2 AND r = r2 THEN 'R' ELSE '.' END AS piece, (r + f) % 2 = 0 AS light FROM puzzles, lines, files, layers WHERE d8 < 4)"""
+SET_BOARDS = PUZZLES + ", " + GLYPH_LINES + """, squares AS (SELECT k, d7, layer, r, f, CASE WHEN r = 8 AND f = 7 THEN 'k' WHEN r = 1 AND f = 7 THEN 'K' WHEN layer = 0 AND f = f1 AND r = r1 OR layer = 1 AND f = f2 AND r = r2 THEN 'R' ELSE '.' END AS piece, (r + f) % 2 = 0 AS light FROM puzzles, lines, files, layers)"""
 
 
-@query(named(oracle(PUZZLES), select="""SELECT k AS page, CASE WHEN d7 > 0 THEN CASE WHEN d7 < 8 THEN fen ELSE second END || ' w - - 0 1' WHEN d7 = 0 THEN fen || ' w - - 0 1' END AS fen, CAST(NULL AS STRING) AS error FROM (SELECT *, '7k/' || """ + " || '/' || ".join(f"CASE WHEN r2 = {r} THEN (CASE WHEN f2 = 0 THEN '' ELSE CAST(f2 AS STRING) END) || 'R' || CAST(7 - f2 AS STRING) ELSE '8' END" for r in range(7, 1, -1)) + " || '/7K' AS second FROM puzzles) WHERE d8 < 4"))
+@query(named(oracle(PUZZLES), select="""SELECT k AS page, CASE WHEN d7 > 0 THEN CASE WHEN d7 < 8 THEN fen ELSE second END || ' w - - 0 1' WHEN d7 = 0 THEN fen || ' w - - 0 1' END AS fen, CAST(NULL AS STRING) AS error FROM (SELECT *, '7k/' || """ + " || '/' || ".join(f"CASE WHEN r2 = {r} THEN (CASE WHEN f2 = 0 THEN '' ELSE CAST(f2 AS STRING) END) || 'R' || CAST(7 - f2 AS STRING) ELSE '8' END" for r in range(7, 1, -1)) + " || '/7K' AS second FROM puzzles)"))
 def font_boards(t):
     """The second layer lacks a row where d7 is below 8."""
     rows = made(t, named(SET_BOARDS, select="SELECT k, d7, layer, r, f, piece, light FROM squares WHERE NOT (layer = 1 AND d7 < 8 AND r = 4)"))
@@ -187,7 +187,7 @@ def page_profile(t):
 
 # Pictures of boards with the puzzle's three pieces as blots; some have a smudge that is neither blank nor a piece, some no frame.
 def _pictures(t):
-    rows = made(t, named(PUZZLES, select="SELECT id, fen, CAST(f2 AS INT) AS f, CAST(r2 AS INT) AS r, d7 FROM puzzles WHERE d8 < 4"))
+    rows = made(t, named(PUZZLES, select="SELECT id, fen, CAST(f2 AS INT) AS f, CAST(r2 AS INT) AS r, d7 FROM puzzles"))
 
     def draw(batches):
         for part in batches:
@@ -214,7 +214,7 @@ def _pictures(t):
     return rows.mapInPandas(draw, "id string, fen string, height int, width int, pixels binary")
 
 
-@query(named(oracle(PUZZLES), select="""SELECT id, CASE WHEN d7 > 0 THEN 3 END AS occupied, CASE WHEN d7 > 0 THEN CASE WHEN d7 > 7 AND s1 <> s2 THEN 1 ELSE 0 END END AS uncertain, CASE WHEN d7 > 0 THEN 0 END AS off FROM puzzles WHERE d8 < 4"""))
+@query(named(oracle(PUZZLES), select="""SELECT id, CASE WHEN d7 > 0 THEN 3 END AS occupied, CASE WHEN d7 > 0 THEN CASE WHEN d7 > 7 AND s1 <> s2 THEN 1 ELSE 0 END END AS uncertain, CASE WHEN d7 > 0 THEN 0 END AS off FROM puzzles"""))
 def occupancy_masks(t):
     pictures = _pictures(t)
     found = layout.masks(pictures).join(pictures.select("id", "fen"), "id")
@@ -222,7 +222,7 @@ def occupancy_masks(t):
     return found.select("id", count("occupied").alias("occupied"), count("uncertain").alias("uncertain"), boards.mismatches(boards.to_map(F.col("fen")), F.col("mask")).alias("off"))
 
 
-@query(named(oracle(PUZZLES), select="""SELECT count(*) FILTER (d7 > 0) AS boards, count(*) FILTER (d7 = 0) AS no_board, CAST(64 * count(*) FILTER (d7 > 0) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS wrong, count(*) FILTER (d7 > 7 AND s1 <> s2) AS uncertain, count(*) FILTER (d7 > 0) AS perfect FROM puzzles WHERE d8 < 4"""))
+@query(named(oracle(PUZZLES), select="""SELECT count(*) FILTER (d7 > 0) AS boards, count(*) FILTER (d7 = 0) AS no_board, CAST(64 * count(*) FILTER (d7 > 0) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS wrong, count(*) FILTER (d7 > 7 AND s1 <> s2) AS uncertain, count(*) FILTER (d7 > 0) AS perfect FROM puzzles"""))
 def mask_quality(t):
     pictures = _pictures(t)
     total, _ = layout.mask_quality(layout.masks(pictures), pictures.select("id", "fen"))
