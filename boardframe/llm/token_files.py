@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardframe.llm.store import Scratch, shuffle_partitions
@@ -126,12 +126,23 @@ def _put(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+def _get(uri: str) -> bytes:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as source:
+        return source.read()
+
+
+WRITTEN = pa.schema({"part": pa.int64(), "seq": pa.int64(), "name": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64()})
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int, vocab_size: int, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the files into ``folder``, a place that all executors share.
 
     Files follow each other in ascending doc_id (null first; of equal doc_ids, by text); within one document nothing is cut.
-    Null and empty texts have the end id alone. The result has a row for each file: name, place (its order), n_docs, n_ids,
-    start (ids of all files before it). No documents: no files.
+    Null and empty texts have the end id alone. The result, a table beside the files, has a row for each file: name, place (its order),
+    n_docs, n_ids, start (ids of all files before it). No documents: no files.
     """
     spark = docs.sparkSession
     bits = width(vocab_size)
@@ -147,7 +158,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
         def flush() -> pa.RecordBatch:
             name = f"ids-{part:06d}-{seq:06d}.bftk"
             _put(f"{folder}/{name}", to_file(keys, ids, bits))
-            return pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(keys)], "n_ids": [size // 4]}, schema=pa.schema({"name": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64()}))
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "n_docs": [len(keys)], "n_ids": [size // 4]}, schema=WRITTEN)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -162,31 +173,34 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, *, end_id:
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    # One small row for each file, of which a task writes a few.
-    files = sorted(ordered.mapInArrow(write, "name string, n_docs long, n_ids long").collect())
-    starts = np.concatenate([[0], np.cumsum([x["n_ids"] for x in files])]).tolist()
-    return spark.createDataFrame([(x["name"], i, x["n_docs"], x["n_ids"], starts[i]) for i, x in enumerate(files)], "name string, place long, n_docs long, n_ids long, start long")
+    table = Scratch(spark, "token-files")
+    files = table.save(ordered.mapInArrow(write, "part long, seq long, name string, n_docs long, n_ids long"), "written")
+    # Files of a task are counted in order within it, tasks by a row for each.
+    tasks = files.groupBy("part").agg(F.sum("n_ids").alias("ids"), F.count("*").alias("files"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("ids"), F.coalesce(F.sum("files").over(earlier), F.lit(0)).alias("files"))
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n_ids").over(own), F.lit(0))
+    counted = files.withColumn("before", start).join(tasks, "part")
+    return table.save(counted.select("name", (F.col("files") + F.col("seq")).alias("place"), "n_docs", "n_ids", (F.col("ids") + F.col("before")).alias("start")), "files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """One row for each document: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
+    """One row for each document: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers). ``files`` are dealt
+    among tasks, and each task reads those it is dealt."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out: tuple[list, list, list, list] = ([], [], [], [])
-                for doc, ids in TokenFile(data.as_py()).documents():
+                for doc, ids in TokenFile(_get(f"{folder}/{name}")).documents():
                     for to, x in zip(out, (doc, start, len(ids), zlib.crc32(ids.tobytes())), strict=True):
                         to.append(x)
                     start += len(ids)
                 yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), out, strict=True)), schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")]))
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files.take(1):
-        return files.sparkSession.createDataFrame([], schema)
-    stored = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "ids-*.bftk").load(folder)
-    named = stored.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return named.join(F.broadcast(files.select("name", "start")), "name").select("start", "content").mapInArrow(read, schema)
+    dealt = files.select("name", "start").repartition(shuffle_partitions(files.sparkSession), "name")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocabulary: str, *, end_id: int, vocab_size: int) -> DataFrame:
