@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardframe.llm.store import Scratch, shuffle_partitions
+from boardframe.llm.store import Scratch
 from boardframe.llm.tokens import encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -117,8 +117,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, end_id: int, tiers: tupl
     sequence_id, offset, window, padding, step_group.
 
     ``tiers`` are ascending powers of two. Null and empty texts have the end id alone; repeated rows are packed each. A
-    sequence's capacity is ``window``; ``padding`` is what it lacks, 0 but for the last sequence of each ``MERGED`` tasks'
-    remainders. step_group numbers training steps: the full sequences of one tier in groups of ``step_tokens`` ids, so
+    sequence's capacity is ``window``; ``padding`` is what it lacks: 0 but for the sequences of the tasks' remainders, each less than one window of
+    the smallest tier, which are packed whole, those of ``MERGED`` tasks together. Texts are encoded where they are read. step_group numbers training steps: the full sequences of one tier in groups of ``step_tokens`` ids, so
     that every step but the last of a tier has as many ids and one shape; padded sequences form steps of their own.
     """
     spark = docs.sparkSession
@@ -154,10 +154,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, end_id: int, tiers: tupl
                 at += own[2]
             yield _batch(rows, names)
 
-    order = [F.col("doc_id").asc_nulls_first(), "text"]
-    dealt = docs.select("doc_id", "text").repartition(shuffle_partitions(spark), F.hash("doc_id", "text")).sortWithinPartitions(*order)
     schema = ", ".join(f"{c} long" for c in names)
-    packed = scratch.save(dealt.mapInArrow(pack, schema), "packed")
+    packed = scratch.save(docs.select("doc_id", "text").mapInArrow(pack, schema), "packed")
     left = packed.where("window = 0").withColumn("group", F.expr(f"part div {MERGED}"))
     left = left.repartition("group").sortWithinPartitions("group", "part", F.col("doc_id").asc_nulls_first(), "start").select(*names)
     merged = scratch.save(left.mapInArrow(merge, schema), "merged")
