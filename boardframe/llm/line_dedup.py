@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from boardframe.llm.store import Scratch, marked
 
-#: Lines of fewer characters are only compared exactly; and the fewest that may be asked for, as shorter ones have no two halves.
-MIN_CHARS, LEAST_CHARS = 20, 4
+#: Lines of fewer characters are only compared exactly, unless asked for; and the fewest that have two halves. There are few different lines
+#: that are shorter, so their variants are emitted at once.
+MIN_CHARS, HALVED = 4, 4
 #: Parts of a block, and characters of a block whose variants are emitted.
 PARTS, FEW = 8, 8
 
@@ -67,11 +68,9 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     them. Blank lines are kept and equal nothing. Null texts have no lines, empty texts one blank line. Rows that repeat
     doc_id and text count as one document: their lines get the same verdicts. how: first, blank or later.
     """
-    if min_chars < LEAST_CHARS:
-        raise ValueError(f"min_chars must be {LEAST_CHARS} or more")
     scratch = Scratch(docs.sparkSession, "lines")
     size = F.char_length("line")
-    rows = _split(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("k1")).alias("k1"), "k2", F.when(size >= min_chars, halves(size, F.col("line"))).alias("halves"))
+    rows = _split(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("k1")).alias("k1"), "k2", F.when(size >= max(min_chars, HALVED), halves(size, F.col("line"))).alias("halves"), ((size >= max(min_chars, 1)) & (size < HALVED)).alias("short"))
     rows = scratch.save(rows, "rows")
     firsts = scratch.save(rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min(place_of(F.col("doc_id"), F.col("line_no"))).alias("first")), "firsts")
 
@@ -79,7 +78,7 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = rows.where("halves IS NOT NULL").select("k1", "k2", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
     shared = scratch.save(shared, "shared")  # a table of its own, so that the join may split a hot half
-    able = keyed.join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    able = keyed.join(shared, "half", "left_semi").select("k1", "k2").union(rows.where("short").select("k1", "k2")).distinct()
     able = scratch.save(able.join(firsts, ["k1", "k2"]).select("k1", "k2", "first", doc_of(F.col("first")).alias("w_doc"), line_of(F.col("first")).alias("w_line")), "able")
 
     # Their texts, from where each first stands.
@@ -89,12 +88,14 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     text = scratch.save(text, "texts")
 
     # Blocks: halves, with m the line's own length and one less, as the shorter line of a pair decides.
-    half = [(m, F.floor(m * i / 2).cast("int"), F.floor(m * (i + 1) / 2).cast("int")) for m in (size, size - 1) for i in (0, 1)]
+    # A short line is one block.
+    whole = size < HALVED
+    half = [(m, F.floor(m * i / 2).cast("int"), F.when(whole, m).otherwise(F.floor(m * (i + 1) / 2)).cast("int")) for m in (size, size - 1) for i in (0, 1)]
     state = text.select("k1", "k2", "first", "line", F.explode(F.array(*(F.struct(m.alias("m"), u.alias("u"), v.alias("v")) for m, u, v in half))).alias("b")).select("k1", "k2", "first", "line", "b.*")
     state, turn = scratch.save(_shared(state, scratch, "outside-0"), "blocks-0"), 0
     while (state.agg(F.max(F.col("v") - F.col("u"))).first()[0] or 0) > FEW:
-        step = F.ceil((F.col("v") - F.col("u")) / PARTS).cast("int")
-        parts = state.select("k1", "k2", "first", "line", "m", "v", F.explode(F.sequence("u", F.col("v") - 1, step)).alias("u"), step.alias("step")).withColumn("v", F.least(F.col("u") + F.col("step"), "v")).drop("step")
+        step = F.greatest(F.ceil((F.col("v") - F.col("u")) / PARTS), F.lit(1)).cast("int")
+        parts = state.select("k1", "k2", "first", "line", "m", "v", F.explode(F.sequence("u", F.greatest(F.col("v") - 1, "u"), step)).alias("u"), step.alias("step")).withColumn("v", F.least(F.col("u") + F.col("step"), "v")).drop("step")
         turn += 1
         state = scratch.save(_shared(parts, scratch, f"outside-{turn}"), f"blocks-{turn}")
         scratch.drop(f"blocks-{turn - 1}")
@@ -114,7 +115,7 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     near = scratch.save(near.groupBy("k1", "k2").agg(F.min("near").alias("near")), "near")
 
     best = firsts.join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("near", "first").alias("best"))
-    found = rows.drop("halves").join(best, ["k1", "k2"], "left")
+    found = rows.drop("halves", "short").join(best, ["k1", "k2"], "left")
     own_place = place_of(F.col("doc_id"), F.col("line_no"))
     kept = F.coalesce(F.col("best") == own_place, F.lit(True))
     found = found.select("doc_id", "line_no", "k1", "best", kept.alias("kept"))

@@ -14,7 +14,7 @@ def near(a, b):
     return short[k + (len(a) == len(b)) :] == long[k + 1 :]
 
 
-def brute(docs, min_chars=20):
+def brute(docs, min_chars=4):
     lines = [(doc, n + 1, line.strip(" \t\r\f\v").lower()) for doc, text in docs if text is not None for n, line in enumerate(text.split("\n"))]
     lines.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     out = []
@@ -31,7 +31,7 @@ def corpus(seed):
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abé d") for _ in range(n))
     base = [text(n) for n in (18, 19, 20, 21, 33, 64, 65, 66, 127, 130, 131, 400, 3000)]
-    lines = base + [text(5), "", " ", "Word", "word", "wort"]
+    lines = base + [text(5), "", " ", "Word", "word", "wort", "a", "b", "ab", "}", "abc", "ac", "xyz", "abcd", "é"]
     for line in base:
         for _ in range(6):
             x = list(line)
@@ -52,7 +52,8 @@ def test_against_all_pairs(spark, seed):
     assert got == brute(docs)
 
 
-def test_short_lines_against_all_pairs(spark):
+@pytest.mark.parametrize("least", [1, 2, 3, 4, 20])
+def test_short_lines_against_all_pairs(spark, least):
     rng = random.Random(3)
     lines = ["heti eror anesti.", "heti, eror anesti.", "page", "pages", "abc", "abd", "ab", "a"]
     for n in [*range(1, 24)] * 4:
@@ -61,16 +62,14 @@ def test_short_lines_against_all_pairs(spark):
         lines += [line, line[:k] + rng.choice(["", "x", "xé"]) + line[k + 1 :], line[:k] + "y" + line[k + 1 :]]
     rng.shuffle(lines)
     docs = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(len(lines) // 7 + 1)]
-    got = sorted(tuple(r) for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=4).collect())
-    assert got == brute(docs, 4)
+    got = sorted(tuple(r) for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=least).collect())
+    assert got == brute(docs, least)
 
 
 def test_empty_and_repeated(spark):
     frame = spark.createDataFrame([(1, "one line of some length"), (1, "one line of some length")], "doc_id long, text string")
     assert [r["kept"] for r in line_dedup(frame).collect()] == [True, True]
     assert line_dedup(frame.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup(frame, min_chars=3)
 
 
 def test_native(spark):
