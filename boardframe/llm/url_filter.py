@@ -40,7 +40,7 @@ def absolute(link: Column, base: Column) -> Column:
     """``link`` as seen from the page at ``base``."""
     link, top = F.replace(link, F.lit("&amp;"), F.lit("&")), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*((?:/[^/?#]*)*/)", 1)
-    return (
+    found = (
         F.when(F.coalesce(link, F.lit("")) == "", None)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
@@ -48,6 +48,18 @@ def absolute(link: Column, base: Column) -> Column:
         .when(link.startswith("/"), F.concat(top, link))
         .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), link))
     )
+    return F.when(found.rlike(r"://[^/?#]*/(?:[^?#]*/)?\.\.?(?:[/?#]|$)"), resolved(found)).otherwise(found)
+
+
+def resolved(url: Column) -> Column:
+    """Without the parts ``.`` and ``..`` of its path, which stand for the folder and the one above it."""
+    top, tail = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    parts = F.split(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*/?([^?#]*)", 1), "/")
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(parts, none, lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x)))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    path = F.array_join(walked, "/")
+    return F.concat(top, F.lit("/"), path, F.when(path == "", "").otherwise(closed), tail)
 
 
 def _order(rule: Rule) -> tuple:
@@ -98,6 +110,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     judged = with_rule(members.withColumns({"host": host_of(node), "path": path_of(node)}), rules)
     parts = judged.groupBy("component").agg(F.bool_or(F.coalesce(F.col("rule_verdict") == "allow", F.lit(False))).alias("allowed"), F.bool_or(F.coalesce(F.col("rule_verdict") == "block", F.lit(False))).alias("blocked"))
     aliases = members.join(parts, "component").select(F.col("node").alias("key"), "component", "allowed", "blocked")
-    found = own.join(aliases, "key", "left")
+    # Pages without an address have no aliases, and do not meet in one task for want of a key.
+    bare = own.where("key IS NULL").select(*own.columns, *(F.lit(None).cast(t).alias(c) for c, t in (("component", "string"), ("allowed", "boolean"), ("blocked", "boolean"))))
+    found = own.where("key IS NOT NULL").join(aliases, "key", "left").select(*own.columns, "component", "allowed", "blocked").union(bare)
     alias = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block")
     return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", alias, F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNotNull(), "rule").when(alias.isNotNull(), "alias").otherwise("default").alias("reason"), "component")
