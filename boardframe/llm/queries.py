@@ -44,6 +44,36 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over pages of which many redirect to others, in trees: decisions reach all aliases of an address."""
+    from boardframe.llm.url_filter import url_filter
+
+    pages = read(spark, sf_dir, "pages").where("url IS NOT NULL")
+    target = pages.select(F.col("page_id").alias("to"), F.col("url").alias("b"))
+    # Which pages redirect hangs on their own address, so it does not matter how many pages there are.
+    sources = pages.where(F.length("url") % 2 == 0).select(F.floor(F.col("page_id") / 5).alias("to"), F.col("url").alias("a"))
+    redirects = sources.join(target, "to").select("a", "b")
+    return url_filter(pages, RULES, redirects).select("page_id", "rule", "verdict", "reason", "component")
+
+
+URL_REDIRECTS_SQL = r"""
+WITH RECURSIVE u AS (SELECT page_id, url, translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(url, '^[\s\S]*?://[^?#]*(\?[^#]*)', 1) AS query FROM pages WHERE url IS NOT NULL),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || path || query END AS key FROM u),
+r(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+m AS (SELECT page_id, key, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC) AS n FROM k JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)),
+own AS (SELECT k.page_id, k.key, m.rule, m.verdict FROM k LEFT JOIN m ON m.page_id = k.page_id AND m.n = 1),
+e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b ON b.page_id = a.page_id // 5 WHERE length(a.url) % 2 = 0 AND a.key <> b.key),
+pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, seen) AS (SELECT a, a FROM pairs UNION SELECT pairs.b, reach.seen FROM reach JOIN pairs ON pairs.a = reach.node),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1),
+v AS (SELECT component, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked FROM own JOIN c ON c.node = own.key GROUP BY 1)
+SELECT own.page_id, own.rule, CASE WHEN own.verdict IS NOT NULL THEN own.verdict WHEN v.allowed THEN 'allow' WHEN v.blocked THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN own.rule IS NOT NULL THEN 'rule' WHEN v.allowed OR v.blocked THEN 'alias' ELSE 'default' END AS reason, c.component
+FROM own LEFT JOIN c ON c.node = own.key LEFT JOIN v ON v.component = c.component
+"""
+
+
 #: The pages of these tables hold no links of their own, so no decision reaches another address.
 OP8_SQL = r"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -127,6 +157,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "url_redirects": url_redirects,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_url_filter": OP8_SQL}
+#: Texts as hexadecimal digits, two for each byte.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i - 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS i FROM d WHERE length(h) >= 200)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM a)),
+r AS (SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM g GROUP BY doc_id, g),
+c AS (SELECT r.doc_id, low, high, substr(h, 2 * lag(high, 1, 1) OVER o - 1, 2 * (low - lag(high, 1, 1) OVER o)) AS piece FROM r JOIN d ON d.doc_id = r.doc_id WINDOW o AS (PARTITION BY r.doc_id ORDER BY low)),
+x AS (SELECT doc_id, sum(high - low) AS removed, count(*) AS spans, string_agg(piece, '' ORDER BY low) AS kept, max(high) AS last FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + 2], ' ')) AS h FROM i),
+n AS (SELECT doc_id, count(*) AS n, sum(CAST(h AS HUGEINT)) AS own FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT c.x, c.y, nx.own <> ny.own AS other, ny.own FROM c JOIN n nx ON nx.doc_id = c.x JOIN n ny ON ny.doc_id = c.y WHERE 100 * same >= 90 * (nx.n + ny.n - same)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id),
+k AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1), d AS (SELECT x, count(DISTINCT own) AS n FROM l WHERE other GROUP BY 1)
+SELECT k.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(d.n, 0) AS n_links FROM k LEFT JOIN n ON n.doc_id = k.doc_id LEFT JOIN d ON d.x = k.doc_id
+"""
+
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, lower(trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS line, doc_id * 2147483648 + i AS place FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+f AS (SELECT line, min(place) AS first, length(line) AS n FROM r WHERE line <> '' GROUP BY 1),
+p AS (SELECT a.line, min(b.first) AS near FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.n >= 4 AND b.n >= 4 AND b.first < a.first
+  WHERE (left(a.line, CAST(least(a.n, b.n) // 2 AS BIGINT)) = left(b.line, CAST(least(a.n, b.n) // 2 AS BIGINT)) OR right(a.line, CAST(least(a.n, b.n) // 2 AS BIGINT)) = right(b.line, CAST(least(a.n, b.n) // 2 AS BIGINT))) AND editdist3(a.line, b.line) <= 4 AND EDITS GROUP BY 1),
+k AS (SELECT r.doc_id, r.line_no, r.line, r.place, coalesce(p.near, f.first, r.place) AS best FROM r LEFT JOIN f ON f.line = r.line LEFT JOIN p ON p.line = r.line)
+SELECT doc_id, line_no, best // 2147483648 AS keep_doc_id, best % 2147483648 AS keep_line_no, best = place AS kept, CASE WHEN line = '' THEN 'blank' WHEN best = place THEN 'first' ELSE 'later' END AS how FROM k
+"""
+# One edit: of equal length with one other character, or one character more; told by the parts before and behind the place where they part.
+OP7_SQL = OP7_SQL.replace("editdist3(a.line, b.line) <= 4 AND EDITS", """CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda q: a.line[q] <> b.line[q])) = 1
+    ELSE len(list_filter(range(1, greatest(a.n, b.n) + 1), lambda q: CASE WHEN a.n > b.n THEN a.line[: q - 1] || a.line[q + 1 :] = b.line ELSE b.line[: q - 1] || b.line[q + 1 :] = a.line END)) > 0 END""")
+
+ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "url_redirects": URL_REDIRECTS_SQL}

@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
-from boardframe.llm.language import fit, identify, infer, train
+from boardframe.llm import language
+from boardframe.llm.language import BUCKETS, fit, identify, infer, train
 
 PARTS = {"en": ["th", "ing", "er", "wh", "and"], "de": ["sch", "ung", "ei", "ü", "ver"], "fr": ["eau", "que", "é", "tion", "oi"]}
 
@@ -28,6 +31,60 @@ def test_mixtures(spark):
     assert identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_against_a_plain_mixture(spark):
+    """Proportions and languages as of word by word loops over a model's own table."""
+    rng = random.Random(3)
+    rows = [(text(rng, lang, 60), lang) for lang in PARTS for _ in range(10)]
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    count, total = {}, Counter()
+    for body, lang in rows:
+        for gram in grams(body):
+            count[lang, gram] = count.get((lang, gram), 0) + 1
+            total[lang] += 1
+    logs = lambda word, lang: sum(math.log((count.get((lang, g), 0) + 0.5) / (total[lang] + 0.5 * BUCKETS)) for g in grams(word))
+
+    def mixture(words, langs):
+        like = []
+        for w in words:
+            all_ = [logs(w, lang) for lang in model.languages]
+            like.append([math.exp(max(logs(w, lang) - max(all_), -60)) for lang in langs])
+        share = [1 / len(langs)] * len(langs)
+        for _ in range(12):
+            new = [sum(share[k] * row[k] / sum(s * x for s, x in zip(share, row)) for row in like) / len(like) for k in range(len(langs))]
+            share = new
+        return share, sum(math.log(sum(s * x for s, x in zip(share, row))) for row in like)
+
+    for parts in ({"en": 40}, {"en": 30, "fr": 20}, {"de": 25, "en": 15, "fr": 30}):
+        words = " ".join(text(rng, lang, n) for lang, n in parts.items()).split()
+        found = infer(" ".join(words), model, 3.0)
+        assert set(found[2]) == set(parts)
+        share, _ = mixture(words, found[2])
+        assert all(abs(a - b) < 0.01 for a, b in zip(share, found[3]))
+        price = 3.0 * math.log1p(len(words))
+        whole = {lang: sum(logs(w, lang) for w in words) for lang in model.languages}
+        value = lambda langs: mixture(words, langs)[1] - price * (len(langs) - 1)
+        if len(parts) == 1:
+            assert found[2] == [max(whole, key=whole.get)]
+        assert value(found[2]) >= max(value([lang]) for lang in model.languages) - 1e-6
+
+
+def grams(body):
+    """Three bytes around each letter of a lower-cased text."""
+    raw = f" {body.lower()} ".encode()
+    seen = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in raw)
+    return [seen[i - 1 : i + 2] for i in range(1, len(seen) - 1) if seen[i] != 32]
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    model = train(spark.createDataFrame([(text(rng, lang, 60), lang) for lang in PARTS for _ in range(10)], "text string, lang string"))
+    body = " ".join(text(rng, lang, 50) for lang in ("en", "fr"))
+    whole = infer(body, model, 3.0)
+    for n in (1, 7, 100):
+        monkeypatch.setattr(language, "WORDS_AT_ONCE", n)
+        assert infer(body, model, 3.0) == whole
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     like = np.random.default_rng(1).random((200, 4))
     values = [fit(like, n)[1] for n in (1, 2, 4, 12)]
