@@ -29,7 +29,7 @@ from boardframe.llm.store import Scratch, marked, shuffle_partitions
 from boardframe.llm.tokens import forget
 
 #: Bits of a shingle's slot, by which its sets are counted; parts of all slots; and shingles that a task packs at once.
-SLOT_BITS, BLOCK_BITS, PACKED = 34, 10, 1_500_000
+SLOT_BITS, BLOCK_BITS, PACKED = 34, 10, 750_000
 #: Frequent slots are those of 2**LEAST sets or more. Tasks get to know FREQUENT of them at most, by a table of as many bits as named; where
 #: there are more, a shingle must be in more sets to be one of them. Only speed depends on it, as lists of other shingles stay short.
 LEAST, FREQUENT, TABLE_BITS = 2, 1 << 21, 25
@@ -137,6 +137,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = [np.unique(slots[sizes == k] >> np.uint64(SLOT_BITS - TABLE_BITS)).astype(np.uint32) for k in found]
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array([len(x) for x in first], pa.int64()), pa.array([x.tobytes() for x in first], pa.binary())], names=names)
 
+    forget()
     block, held, size = None, [], 0
     for batch in batches:
         for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -207,6 +208,7 @@ def _entries(n: int, percent: int, table):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [np.unique(shingles(text.as_py(), n)) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["doc_id", "node", "items"])
@@ -265,6 +267,7 @@ def _compared(percent: int):
     """Rows sorted by group and two of its parts (low, high) to the links between sets of these: how many, and one that is reached."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, held = None, []
 
         def done() -> pa.RecordBatch:

@@ -12,10 +12,12 @@ import os
 import unicodedata
 from array import array
 
+import pyarrow as pa
+
 from boardframe.llm import hashing
 
 #: Words that a worker remembers before it drops those not asked for of late.
-MEMORY = 120_000
+MEMORY = 200_000
 #: Marks that end a word and form one piece of their own after letters.
 MARKS = ".,;:!?|%$&*#"
 
@@ -94,5 +96,6 @@ def forget() -> None:
     their tasks."""
     _ENCODERS.clear()
     hashing.POWERS.forget()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # there is no such call on other systems
         ctypes.CDLL("libc.so.6").malloc_trim(0)
