@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -146,6 +146,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents"), min_chars=4)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text; a tenth of the texts, chosen by their doc_id, is made periodic from some word on first."""
+    from boardframe.llm.periodic_runs import longest, repetitions
+
+    docs = read(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", F.when(h % 10 == 0, _made_periodic(F.col("text"), F.floor(h / 10))).otherwise(F.col("text")).alias("text"))
+    found = repetitions(docs).withColumn("best", longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _made_periodic(text: Column, g: Column) -> Column:
+    """A text's words, of which those from word a on repeat p words of it; a text without words stays as it is."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.nullif(F.size(words), F.lit(0)).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    return F.coalesce(F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), F.lit(1), n.cast("int")), " "), text)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_language_mixture": op2_language_mixture,
@@ -157,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
     "url_redirects": url_redirects,
 }
 
@@ -198,4 +224,22 @@ SELECT doc_id, line_no, best // 2147483648 AS keep_doc_id, best % 2147483648 AS
 OP7_SQL = OP7_SQL.replace("editdist3(a.line, b.line) <= 4 AND EDITS", """CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda q: a.line[q] <> b.line[q])) = 1
     ELSE len(list_filter(range(1, greatest(a.n, b.n) + 1), lambda q: CASE WHEN a.n > b.n THEN a.line[: q - 1] || a.line[q + 1 :] = b.line ELSE b.line[: q - 1] || b.line[q + 1 :] = a.line END)) > 0 END""")
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "url_redirects": URL_REDIRECTS_SQL}
+#: Pairs of equal words, a row for each distance; neighbouring pairs of one distance make a run. The checksum works by a table of 256 numbers.
+OP11_SQL = r"""
+WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: xor(a // 256, t[(xor(a, c) % 256)::BIGINT + 1])), 4294967295::UBIGINT) AS BIGINT) AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), t),
+p AS (SELECT *, a, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM (SELECT *, CASE WHEN h % 10 = 0 THEN h // 10 % n ELSE n END AS a FROM d WHERE n > 0)),
+w AS (SELECT doc_id, n, i, ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS w FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS place FROM r),
+x AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = w.doc_id AND gone.i = w.i) GROUP BY 1)
+SELECT d.doc_id, coalesce(x.n_runs, 0) AS n_runs, b.start, CAST(b.length AS BIGINT) AS length, b.period, CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(x.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id AND b.place = 1 LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": OP11_SQL, "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "url_redirects": URL_REDIRECTS_SQL}
