@@ -171,6 +171,12 @@ def _made_periodic(text: Column, g: Column) -> Column:
     return F.coalesce(F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), F.lit(1), n.cast("int")), " "), text)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boardframe.llm.divergence import divergence
+
+    return divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_language_mixture": op2_language_mixture,
@@ -183,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
     "url_redirects": url_redirects,
 }
 
@@ -242,4 +249,19 @@ SELECT d.doc_id, coalesce(x.n_runs, 0) AS n_runs, b.start, CAST(b.length AS BIGI
 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id AND b.place = 1 LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": OP11_SQL, "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "url_redirects": URL_REDIRECTS_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+o AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT k) >= 30),
+l AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n, count(*) AS v FROM t GROUP BY 1),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN t USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT d.lang, d.source, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2) c ON c.lang = d.lang AND c.source = d.source),
+p AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 5) // (g.n + 5 * l.v) AS p, 1 + 1000000000 * (t.n + 5) // (l.n + 5 * l.v) AS q
+  FROM g JOIN t ON t.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL, "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "url_redirects": URL_REDIRECTS_SQL}
