@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from boardframe.llm import hashing
 from boardframe.llm.store import Scratch
+from boardframe.llm.suffix_automaton import Automaton
 from boardframe.llm.tokens import forget
 
 #: Bytes of texts after which a task hands on what it has.
@@ -32,40 +33,10 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(RUN)), ("collapsed"
 Run = tuple[int, int, int]
 
 
-def _automaton(words: Sequence[int]) -> tuple[list[dict[int, int]], list[int]]:
-    """The suffix automaton: where each state goes on, and where its stretches end for the first time."""
-    goes: list[dict[int, int]] = [{}]
-    back, size, ends = [-1], [0], [-1]
-
-    def state(own: dict[int, int], length: int, link: int, end: int) -> int:
-        goes.append(own)
-        size.append(length)
-        back.append(link)
-        ends.append(end)
-        return len(size) - 1
-
-    whole = 0
-    for i, word in enumerate(words):
-        at, whole = whole, state({}, i + 1, 0, i)
-        while at >= 0 and word not in goes[at]:
-            goes[at][word] = whole
-            at = back[at]
-        if at < 0:
-            continue
-        to = goes[at][word]
-        if size[to] > size[at] + 1:  # longer stretches end there too, but not here: the shorter ones get a state of their own
-            longer, to = to, state(dict(goes[to]), size[at] + 1, back[to], ends[to])
-            back[longer] = to
-            while at >= 0 and goes[at].get(word) == longer:
-                goes[at][word] = to
-                at = back[at]
-        back[whole] = to
-    return goes, ends
-
-
 def factors(words: Sequence[int]) -> Iterator[tuple[int, int, int]]:
     """Begin, end, and the begin of the first occurrence of each factor; -1 for a word that did not occur before."""
-    goes, ends = _automaton(words)
+    automaton = Automaton([words])
+    goes, ends = automaton.goes, automaton.ends
     begin, n = 0, len(words)
     while begin < n:
         at, i = 0, begin

@@ -177,6 +177,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from boardframe.llm.bpe import encode
+
+    found = encode(read(spark, sf_dir, "documents"), _vocabulary(), decoded=True)
+    tokens = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_language_mixture": op2_language_mixture,
@@ -190,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
+    "op13_bpe_codec": op13_bpe_codec,
     "url_redirects": url_redirects,
 }
 
