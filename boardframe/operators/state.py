@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardframe.sources import logs
+
 STATUSES = ("detected", "recognized", "verified", "needs_review", "no_solution", "approved", "excluded")
 ACCEPTED_FENS = ("FIXED", "SHIFT_FIXED", "MOVES_SUSPECT")
 ACCEPTED_MOVES = ("REPAIRED", "REOCRED")
@@ -54,8 +56,8 @@ def without_done(targets: DataFrame, done: DataFrame, key: str = "id", *, retry:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """One JSON line for each row, behind those already there."""
-    rows.write.mode("append").json(path)
+    """One JSON line for each row, behind all that was appended before; see ``logs``."""
+    logs.append(rows, path)
 
 
 def append_event(spark, path: str, stage: str, summary: str, **extras: str) -> None:
@@ -63,7 +65,9 @@ def append_event(spark, path: str, stage: str, summary: str, **extras: str) -> N
     append(row, path)
 
 
-def compact(rows: DataFrame, target: str, keys: Sequence[str] = ("id",), order: Sequence[str] = ("_pos",)) -> None:
-    """Writes the latest records to a new folder; the one being read is never overwritten."""
-    kept = latest(rows, keys, order)
-    kept.drop(*(c for c in order if c.startswith("_"))).write.mode("errorifexists").json(target)
+def targets(report: DataFrame, done: DataFrame, images: DataFrame, *, statuses: Sequence[str] = ("ILLEGAL", "STRUCT"), ids: Sequence[str] | None = None, limit: int | None = None, retry: Column | None = None, key: str = "id", order: Sequence[str] = ("id",)) -> DataFrame:
+    """What of a ``report`` (key, status) is to be worked on: the named ids, done or not, or else those of some statuses that ``done`` has not
+    finished (see ``without_done``); of these the ones with a picture in ``images``, the first ``limit`` by ``order`` if there is one."""
+    chosen = report.where(F.col(key).isin(*ids)) if ids is not None else without_done(report.where(F.col("status").isin(*statuses)), done, key, retry=retry)
+    pictured = chosen.join(images.select(key).distinct(), key, "left_semi")
+    return pictured.orderBy(*order).limit(limit) if limit else pictured

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _at(spark: SparkSession, path: str):
@@ -48,6 +53,50 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def matches(pattern: str, name: str) -> bool:
+    return re.fullmatch(pattern, name) is not None
+
+
+def glob(spark: SparkSession, pattern: str) -> bool:
+    """Whether there is anything that a pattern of Hadoop's matches."""
+    store, where = _at(spark, pattern)
+    return bool(store.globStatus(where) or [])
+
+
+def rename(spark: SparkSession, source: str, target: str) -> str:
+    """Moves a file or folder in one step; the new name's last part. Fails if there is one of that name."""
+    store, there = _at(spark, target)
+    store.mkdirs(there.getParent())
+    if store.exists(there) or not store.rename(_at(spark, source)[1], there):
+        raise FileExistsError(target)
+    return there.getName()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, where = _at(spark, path)
+    store.delete(where, True)
+
+
+def write_each(rows: DataFrame, root: str) -> int:
+    """Writes a file for each row of ``rows`` (path below ``root``, content), in the tasks; how many. ``root`` is a local folder that all share, or
+    a place that pyarrow reaches. Files are renamed into place, so a task that runs twice leaves each whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folder, name = os.path.split(f"{base}/{path}")
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(hidden := f"{folder}/._{uuid.uuid4().hex}") as out:
+                    out.write((content.as_py() or "").encode())
+                store.move(hidden, f"{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    return rows.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share: below ``spark.checkpoint.dir`` or, on one machine without it, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

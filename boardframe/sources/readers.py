@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
 import time
-from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from boardframe.functions import boards, text
 from boardframe.kernel import columns as kernel
-from boardframe.sources import files
+from boardframe.sources import files, logs
 
 PROBLEM = "id string, fen string, to_move string, hint string"
 SOLUTION_PAGE = "solutions array<struct<id:string,moves:string>>, continuation string"
@@ -21,60 +21,58 @@ FEN_FIX = "id string, old_fen string, fen string, to_move string, caption string
 MOVE_FIX = "id string, fen string, to_move string, status string, note string, moves string, reocr_text string"
 OVERRIDE = "id string, verdict string, fen string, to_move string, moves string"
 EVENT = "ts string, stage string, summary string"
+STATE = "bundle/state/puzzles.jsonl"
 RECOGNITION = "cell string, number int, to_move string, hint string, fen string"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and _pos: file, block and row within it, which order lines as they were appended, however files are split."""
-    try:
-        rows = spark.read.text(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows = spark.createDataFrame([], "value string")
-        return rows.withColumn("_pos", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")))
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return rows.select("value", place.alias("_pos"))
+def book_of(path: Column, inside: str) -> Column:
+    """The name of the folder of a book, from a path to ``inside`` of it."""
+    return F.url_decode(F.replace(F.regexp_extract(path, rf"([^/]+)/\Q{inside}\E(?:/|$)", 1), F.lit("+"), F.lit("%2B")))
+
 
+def log(spark: SparkSession, path: str, schema: str, key: str = "id", *, extras: bool = False) -> DataFrame:
+    """Records of an append-only log with their ``_pos``, which orders them as they were appended; see ``logs.records``."""
+    return logs.records(spark, path, schema, key, extras=extras)
 
-def log(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
-    """Records of an append-only file of JSON lines with their ``_pos``; blank and malformed lines and those without a key are skipped."""
-    rows = _lines(spark, path).select("_pos", F.from_json("value", schema).alias("r")).select("_pos", "r.*")
-    return rows.where(F.col(key).isNotNull())
 
+def book_log(spark: SparkSession, book: str, name: str, schema: str, key: str = "id", *, extras: bool = False) -> DataFrame:
+    """Records of the log ``name`` of a book, or of each book that a pattern matches, with ``book``."""
+    return logs.records(spark, f"{book}/{name}", schema, key, extras=extras, book=name)
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document for each file: its columns, page (the file's name without ending) and _pos (path)."""
+
+def _documents(spark: SparkSession, book: str, folder: str, schema: str) -> DataFrame:
+    """One JSON document for each file of a folder of one book, or of all that a pattern matches: its columns, book, page (the file's name without
+    ending) and _pos (path). Files of one folder are read in tasks; how many books there are does not matter to the plan."""
     try:
-        rows = spark.read.option("wholetext", True).text(path)
+        rows = spark.read.option("wholetext", True).text(f"{book}/{folder}/*.json").select("value", F.col("_metadata.file_path").alias("_pos"))
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
-    parsed = rows.select(F.col("_metadata.file_path").alias("_pos"), F.from_json("value", schema).alias("r")).where("r IS NOT NULL")
-    return parsed.select("_pos", F.regexp_extract("_pos", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("page"), "r.*")
+        rows = spark.createDataFrame([], "value string, _pos string")
+    parsed = rows.select("_pos", F.from_json("value", schema).alias("r")).where("r IS NOT NULL")
+    return parsed.select("_pos", book_of(F.col("_pos"), folder).alias("book"), F.regexp_extract("_pos", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("page"), "r.*")
 
 
 def problems(spark: SparkSession, book: str) -> DataFrame:
-    """Problems by bare id, the later file wins: id (as printed), fen, to_move, hint, _pos."""
-    rows = _documents(spark, f"{book}/problem_jsons/*.json", PROBLEM).drop("page").where("id IS NOT NULL")
-    chosen = rows.groupBy(text.bare_id(F.col("id")).alias("_key")).agg(F.max_by(F.struct(*rows.columns), "_pos").alias("r"))
+    """Problems by book and bare id, the later file wins: book, id (as printed), fen, to_move, hint, _pos."""
+    rows = _documents(spark, book, "problem_jsons", PROBLEM).drop("page").where("id IS NOT NULL")
+    chosen = rows.groupBy("book", text.bare_id(F.col("id")).alias("_key")).agg(F.max_by(F.struct(*rows.columns), "_pos").alias("r"))
     return chosen.select("r.*")
 
 
 def solution_pages(spark: SparkSession, book: str) -> DataFrame:
-    return _documents(spark, f"{book}/solution_jsons/*.json", SOLUTION_PAGE)
+    return _documents(spark, book, "solution_jsons", SOLUTION_PAGE)
 
 
 def solutions(spark: SparkSession, book: str) -> DataFrame:
-    """All printed solutions: _pos (page and place), page, id (as printed), moves."""
-    rows = solution_pages(spark, book).select("_pos", "page", F.posexplode("solutions").alias("at", "s"))
-    return rows.select(F.struct("_pos", "at").alias("_pos"), "page", "s.id", "s.moves").where("id IS NOT NULL")
+    """All printed solutions: book, _pos (page and place), page, id (as printed), moves."""
+    rows = solution_pages(spark, book).select("book", "_pos", "page", F.posexplode("solutions").alias("at", "s"))
+    return rows.select("book", F.struct("_pos", "at").alias("_pos"), "page", "s.id", "s.moves").where("id IS NOT NULL")
 
 
 def solution_lines(spark: SparkSession, path: str) -> DataFrame:
     """Solutions of a text: ``12. moves`` opens one, a line ``lichess X`` behind it names its id: id, name, moves, _pos."""
-    rows = _lines(spark, path)
+    rows = logs.lines(spark, path)
     number = F.nullif(F.regexp_extract("value", r"^\s*(\d+)\.\s+\S", 1), F.lit(""))
     name = F.nullif(F.regexp_extract("value", r"(?i)^\s*lichess\s+(\S+)", 1), F.lit(""))
     marked = rows.select("_pos", "value", number.alias("number"), name.alias("name"), F.col("_pos.file").alias("file"))
@@ -83,19 +81,21 @@ def solution_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def native(spark: SparkSession, book: str) -> tuple[DataFrame, DataFrame]:
-    """Problems and solutions of a book that has maps by id: fens.json, and maybe solutions.json and overrides.json, whose main line comes first."""
+    """Problems and solutions of books that have maps by id: fens.json, and maybe solutions.json and overrides.json, whose main line comes first.
+    ``book`` may be a pattern; both have ``book``."""
 
     def entries(name: str, kind: str) -> DataFrame:
-        whole = spark.read.option("wholetext", True).text(f"{book}/{name}") if files.exists(spark, f"{book}/{name}") else spark.createDataFrame([], "value string")
-        return whole.select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("id", "v"))
+        found = files.glob(spark, f"{book}/{name}")
+        whole = spark.read.option("wholetext", True).text(f"{book}/{name}").select("value", F.col("_metadata.file_path").alias("p")) if found else spark.createDataFrame([], "value string, p string")
+        return whole.select(book_of(F.col("p"), name).alias("book"), F.explode(F.from_json("value", f"map<string,{kind}>")).alias("id", "v"))
 
     fens = entries("fens.json", "string")
-    found = entries("solutions.json", "struct<main:string,text:string>").select("id", F.col("v.main").alias("main"))
-    better = entries("overrides.json", "struct<main:string>").select("id", F.col("v.main").alias("better"))
+    found = entries("solutions.json", "struct<main:string,text:string>").select("book", "id", F.col("v.main").alias("main"))
+    better = entries("overrides.json", "struct<main:string>").select("book", "id", F.col("v.main").alias("better"))
     part = F.split(F.trim("v"), r"\s+")
-    own = fens.select("id", part[0].alias("fen"), F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("w")).alias("to_move"), F.lit(None).cast("string").alias("hint"))
+    own = fens.select("book", "id", part[0].alias("fen"), F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("w")).alias("to_move"), F.lit(None).cast("string").alias("hint"))
     main = F.coalesce(F.nullif("better", F.lit("")), F.nullif("main", F.lit("")))
-    moves = fens.select("id").join(found, "id", "left").join(better, "id", "left").select("id", text.fold_moves(main).alias("moves")).where("moves IS NOT NULL")
+    moves = fens.select("book", "id").join(found, ["book", "id"], "left").join(better, ["book", "id"], "left").select("book", "id", text.fold_moves(main).alias("moves")).where("moves IS NOT NULL")
     return own, moves
 
 
@@ -124,41 +124,58 @@ def answer_key(puzzles: DataFrame) -> DataFrame:
 
 
 def images(spark: SparkSession, book: str, folder: str = "problem_images") -> DataFrame:
-    """Pictures by exact bare id, never by pattern: id, image, path."""
+    """Pictures by book and exact bare id, never by pattern: book, id, image, path."""
     try:
-        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(f"{book}/{folder}").select("path")
+        rows = spark.read.format("binaryFile").load(f"{book}/{folder}/*.png").select("path")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         rows = spark.createDataFrame([], "path string")
-    name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
-    found = rows.select(text.bare_id(F.regexp_replace(name, r"\.png$", "")).alias("id"), name.alias("image"), "path")
-    return found.groupBy("id").agg(F.max_by(F.struct("image", "path"), "image").alias("r")).select("id", "r.image", "r.path")
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    found = rows.select(book_of(F.col("path"), folder).alias("book"), text.bare_id(F.regexp_replace(name, r"\.png$", "")).alias("id"), name.alias("image"), "path")
+    return found.groupBy("book", "id").agg(F.max_by(F.struct("image", "path"), "image").alias("r")).select("book", "id", "r.image", "r.path")
 
 
 def page_index(spark: SparkSession, book: str) -> DataFrame:
-    """The page picture of each solution, where there is one: id, path."""
-    pages = images(spark, book, "solution_images").select(F.col("id").alias("page"), "path")
-    rows = solutions(spark, book).select(text.key(F.col("id")).alias("id"), "page", "_pos").join(pages, "page")
-    return rows.groupBy("id").agg(F.max_by("path", "_pos").alias("path"))
+    """The page picture of each solution, where there is one: book, id, path."""
+    pages = images(spark, book, "solution_images").select("book", F.col("id").alias("page"), "path")
+    rows = solutions(spark, book).select("book", text.key(F.col("id")).alias("id"), "page", "_pos").join(pages, ["book", "page"])
+    return rows.groupBy("book", "id").agg(F.max_by("path", "_pos").alias("path"))
+
+
+#: What makes a folder a book: what lies in these.
+MARKERS = ("problem_jsons", "fens.json", "bundle")
+
 
+def books(spark: SparkSession, root: str, launched: str | None = None) -> DataFrame:
+    """Folders below ``root`` that hold one of MARKERS, and always the one launched: book, path, problems, maps, bundle (what it holds).
 
-def discover(spark: SparkSession, root: str, launched: str, markers: Sequence[str] = ("problem_jsons", "fens.json", "bundle")) -> list[str]:
-    """Folders below root that look like books, and always the one launched. A listing for the driver."""
-    names = [n for n in files.children(spark, root) if files.is_folder(spark, f"{root}/{n}") and any(files.exists(spark, f"{root}/{n}/{m}") for m in markers)]
-    found = {n: f"{root}/{n}" for n in names}
-    found.setdefault(launched.rstrip("/").rpartition("/")[2], launched)
-    return list(found.values())
+    One scan of names, whatever the number of books; no file is opened. Empty folders are not seen."""
+    wanted = [p for m in MARKERS for p in (f"{root}/*/{m}", f"{root}/*/{m}/*", f"{root}/*/{m}/*/*") if files.glob(spark, p)]
+    found = spark.createDataFrame([], "path string, _kind string")
+    if wanted:
+        names = spark.read.format("binaryFile").load(wanted).select("path")
+        place = F.regexp_extract("path", rf"^(.*/[^/]+)/({'|'.join(map(re.escape, MARKERS))})(?:/[^/]+){{0,3}}$", 1)
+        found = names.select(place.alias("path"), F.regexp_extract("path", rf"^.*/[^/]+/({'|'.join(map(re.escape, MARKERS))})(?:/[^/]+){{0,3}}$", 1).alias("_kind"))
+    kinds = [F.bool_or(F.col("_kind") == m).alias(name) for m, name in zip(MARKERS, ("problems", "maps", "bundle"), strict=True)]
+    rows = found.groupBy("path").agg(*kinds)
+    if launched:
+        own = spark.range(1).select(F.lit(launched.rstrip("/")).alias("path"), *(F.lit(False).alias(c) for c in ("problems", "maps", "bundle")))
+        same = F.regexp_extract("path", r"([^/]+)$", 1) == launched.rstrip("/").rpartition("/")[2]
+        rows = rows.unionByName(own.join(rows.where(same).limit(1).select(F.lit(1).alias("_there")), F.lit(True), "left_anti"))
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("book"), "path", "problems", "maps", "bundle")
 
 
 def run(spark: SparkSession, book: str, stage: str = "bundle") -> DataFrame:
-    """What a pipeline made of a book: id, fen, to_move, moves, from its bundle if there is one, else from its problem files."""
+    """What a pipeline made of books: book, id, fen, to_move, moves, from a book's bundle if it has one, else from its problem files."""
     from boardframe.operators.state import latest
 
-    path = f"{book}/bundle/state/puzzles.jsonl"
-    if stage == "bundle" and files.exists(spark, path):
-        return latest(log(spark, path, PUZZLE)).select("id", "fen", "to_move", "moves")
-    return problems(spark, book).select(text.bare_id(F.col("id")).alias("id"), "fen", "to_move", F.lit(None).cast("string").alias("moves"))
+    made = problems(spark, book).select("book", text.bare_id(F.col("id")).alias("id"), "fen", "to_move", F.lit(None).cast("string").alias("moves"))
+    if stage != "bundle":
+        return made
+    bundled = latest(book_log(spark, book, STATE, PUZZLE), ["book", "id"]).select("book", "id", "fen", "to_move", "moves")
+    return made.join(bundled.select("book").distinct(), "book", "left_anti").select(bundled.columns).union(bundled)
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:

@@ -1,52 +1,25 @@
-"""An append-only log as a stream into a table of latest records."""
+"""An append-only log kept by a stream."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from boardframe.operators.state import latest
-from boardframe.sources.files import children
+from boardframe.sources import logs
 
-#: Parts of the table, by a hash of the keys. A batch rewrites those that it touches.
-PARTS = 64
 
+def append_stream(changes: DataFrame, log: str, checkpoint: str, *, compact_every: int = 0, keys: tuple[str, ...] = ("id",)) -> StreamingQuery:
+    """Every batch of ``changes`` is one append to ``log``. A batch that is run again after a failure is not appended twice, as its segment is named
+    by the stream and the batch. With ``compact_every`` the log is compacted after every so many batches; its readers never wait.
 
-def upsert_stream(changes: DataFrame, target: str, checkpoint: str, *, keys: Sequence[str] = ("id",), order: Sequence[str] = ("_pos",)) -> StreamingQuery:
-    """Every batch writes the parts it changes anew, below ``target`` (version=N/part=K), from its rows and the newest version of these
-    parts before it. A batch that is run again writes its version again, so each change counts once. Read with ``current``."""
+    The latest records are ``state.latest(readers.log(...))``, at any time and from any job."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
-        touched = {r["part"] for r in rows.select("part").distinct().collect()}  # PARTS at most
-        if not touched:
-            return
-        old = [path for part, path in _newest(spark, target, number).items() if part in touched]
-        if old:
-            before = spark.read.schema(batch.schema).parquet(*old)
-            rows = rows.unionByName(before.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")))
-        latest(rows, keys, order).write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        token = hashlib.md5(f"{checkpoint} {number}".encode(), usedforsecurity=False).hexdigest()
+        logs.append(batch, log, token=token)
+        if compact_every and (number + 1) % compact_every == 0:
+            logs.compact(batch.sparkSession, log, keys)
 
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _newest(spark: SparkSession, target: str, below: int | None = None) -> dict[int, str]:
-    """The newest folder of each part, of versions before ``below``."""
-    versions = sorted(int(m[1]) for name in children(spark, target) if (m := re.fullmatch(r"version=(\d+)", name)))
-    found: dict[int, str] = {}
-    for number in versions:
-        if below is None or number < below:
-            for name in children(spark, f"{target}/version={number}"):
-                if m := re.fullmatch(r"part=(\d+)", name):
-                    found[int(m[1])] = f"{target}/version={number}/{name}"
-    return found
-
-
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The table that ``upsert_stream`` keeps: the newest version of each part."""
-    return spark.read.parquet(*_newest(spark, target).values())
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
