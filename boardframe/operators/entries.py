@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardframe.functions import text
-from boardframe.operators.sequences import carried
+from boardframe.operators.sequences import carry
 
 # Fixed value: what names are made of, in a line of names alone as under a quotation or where a chapter divides entries.
 NAMES = r"[A-Z][a-zA-Z.'\- ]+"
@@ -54,7 +54,7 @@ def entries(spans: DataFrame, *, first: int = 1, **options) -> DataFrame:
     """doc, number, white, black, event, main, text of each entry; lines before the first entry, quotations in italics and lines of names alone do not count."""
     body = lines(spans, **options)
     rows = body.join(headers(body, first), ["doc", "page", "line"], "left")
-    rows = rows.withColumn("entry", carried(F.col("number"), ["page", "line"], ["doc"]))
+    rows = carry(rows, F.col("number"), ["page", "line"], ["doc"], "entry")
     head = F.regexp_extract("plain", r"^\d+\.\s+(.+)", 1)
     opened = rows.where("number IS NOT NULL").select("doc", "number", *_players(head))
     names = F.col("all_bold") & ~F.col("plain").rlike(r"\d") & F.col("plain").rlike(f"^{NAMES}$")

@@ -72,9 +72,9 @@ def ledgers(t):
     return rows.select("id", both.alias("l")).select("id", F.element_at("l", -1).alias("e"), F.size("l").cast("long").alias("n")).select("id", "e.*", "n")
 
 
-@query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS rows, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT o_custkey, o_orderkey, n FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1")
 def repeated_keys(t):
-    return sequences.duplicates(t("orders"), "o_custkey", of="o_orderkey")
+    return sequences.repeated(t("orders").select("o_custkey", "o_orderkey"), "o_custkey")
 
 
 QUEUE = PUZZLES + """, queued AS (SELECT id, k, CASE d7 % 5 WHEN 0 THEN 'needs-review' WHEN 1 THEN 'unsolved' WHEN 2 THEN 'no-solution' WHEN 3 THEN 'verified' ELSE 'reviewed' END AS review, d7 % 5 + 1 AS priority, CASE WHEN d8 < 5 THEN 'LOW' WHEN d8 < 10 THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM puzzles)"""

@@ -125,7 +125,7 @@ def stitch_text(t):
 SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS carried FROM conversations""")
 def carry_forward(t):
     own = F.when(F.col("role") == "user", F.length("text").cast("bigint"))
-    return t("conversations").select("conv_id", "turn", F.coalesce(sequences.carried(own, ["turn"], ["conv_id"]), F.lit(-1)).alias("carried"))
+    return sequences.carry(t("conversations").select("conv_id", "turn", own.alias("own")), F.col("own"), ["turn"], ["conv_id"], "carried").select("conv_id", "turn", F.coalesce("carried", F.lit(-1)).alias("carried"))
 
 
 @query("""

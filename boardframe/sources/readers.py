@@ -71,13 +71,19 @@ def solutions(spark: SparkSession, book: str) -> DataFrame:
 
 
 def solution_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Solutions of a text: ``12. moves`` opens one, a line ``lichess X`` behind it names its id: id, name, moves, _pos."""
-    rows = logs.lines(spark, path)
+    """Solutions of a text: ``12. moves`` opens one, a line ``lichess X`` behind it names its id: id, name, moves, _pos. The parts of a file that
+    tasks read are put in order one by one; only a part's first line is looked at from the part before."""
+    rows = logs.lines(spark, path).withColumns({"file": F.col("_pos.file"), "block": F.col("_pos.block")})
     number = F.nullif(F.regexp_extract("value", r"^\s*(\d+)\.\s+\S", 1), F.lit(""))
     name = F.nullif(F.regexp_extract("value", r"(?i)^\s*lichess\s+(\S+)", 1), F.lit(""))
-    marked = rows.select("_pos", "value", number.alias("number"), name.alias("name"), F.col("_pos.file").alias("file"))
-    after = F.lead("name").over(Window.partitionBy("file").orderBy("_pos"))
-    return marked.withColumn("after", after).where("number IS NOT NULL").select(F.col("number").alias("id"), F.col("after").alias("name"), F.trim(F.regexp_replace("value", r"^\s*\d+\.\s+", "")).alias("moves"), "_pos")
+    marked = rows.select("_pos", "file", "block", "value", number.alias("number"), name.alias("name"))
+    part = Window.partitionBy("file", "block").orderBy("_pos")
+    marked = marked.withColumns({"_next": F.lead(F.struct("name")).over(part)})
+    firsts = marked.groupBy("file", "block").agg(F.min_by("name", "_pos").alias("first"))
+    firsts = firsts.select("file", "block", F.lead("first").over(Window.partitionBy("file").orderBy("block")).alias("behind"))
+    found = marked.where("number IS NOT NULL").join(firsts, ["file", "block"])
+    after = F.when(F.col("_next").isNull(), F.col("behind")).otherwise(F.col("_next.name"))
+    return found.select(F.col("number").alias("id"), after.alias("name"), F.trim(F.regexp_replace("value", r"^\s*\d+\.\s+", "")).alias("moves"), "_pos")
 
 
 def native(spark: SparkSession, book: str) -> tuple[DataFrame, DataFrame]:
