@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from boardframe.llm.store import Scratch
 from boardframe.llm.suffix_automaton import Automaton
-from boardframe.llm.tokens import MARKS, MEMORY
+from boardframe.llm.tokens import MARKS, SHOWN
 
 #: Bytes of texts after which a task hands on what it has.
 FLUSH = 4 << 20
@@ -33,6 +34,29 @@ BY_WORDS = (
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 )
 NEVER = 1 << 62
+#: Latin letters end here; all below that Python calls letters are letters to the tokenizer's splitting too.
+LATIN = "\u0250"
+#: Words, pieces, and pairs of tokens that a worker remembers, and the symbols of a piece that are remembered as its beginning.
+MEMORY, HEAD = 300_000, 4
+
+
+class Recent(dict):
+    """Remembers values. When it is full, it keeps those asked for since it was half as full."""
+
+    def __init__(self):
+        self.before: dict = {}
+
+    def seen(self, key):
+        """A value that was remembered before the last clearing, now remembered again; None if there is none."""
+        found = self.before.get(key)
+        return found if found is None else self.add(key, found)
+
+    def add(self, key, value):
+        if len(self) >= MEMORY:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Merges:
@@ -70,6 +94,7 @@ class Merges:
         for state in sorted(range(1, len(self.size)), key=self.size.__getitem__):
             behind = self.back[state]
             self.shorter[state] = behind if self.token[behind] >= 0 else self.shorter[behind]
+        self.known, self.heads = Recent(), Recent()
 
     def apart(self, x: int, y: int, until: int = NEVER) -> bool:
         """Whether the symbols of ``x`` and ``y`` side by side become ``x`` and ``y``, and stay so before the merge ``until``."""
@@ -85,10 +110,14 @@ class Merges:
         return False
 
     def encode(self, symbols: list[int]) -> list[int]:
-        goes, back, size, token, shorter, length = self.goes, self.back, self.size, self.token, self.shorter, self.length
+        goes, back, size, token, shorter, length, known = self.goes, self.back, self.size, self.token, self.shorter, self.length, self.known
         last = [-1] * (len(symbols) + 1)
-        at = held = 0
-        for end, symbol in enumerate(symbols, 1):
+        at = held = done = 0
+        head = tuple(symbols[:HEAD]) if len(symbols) > HEAD else None
+        if found := head and (self.heads.get(head) or self.heads.seen(head)):
+            last[: HEAD + 1], at, held = found
+            done = HEAD
+        for end, symbol in enumerate(symbols[done:], done + 1):
             while symbol not in goes[at]:
                 at = back[at]
                 held = size[at]
@@ -98,10 +127,20 @@ class Merges:
             while True:
                 found = token[place]
                 before = end - length[found]
-                if before == 0 or self.apart(last[before], found):
-                    last[end] = found
+                if before == 0:
+                    break
+                pair = last[before], found
+                fits = known.get(pair)
+                if fits is None:
+                    fits = known.seen(pair)
+                    if fits is None:
+                        fits = known.add(pair, self.apart(*pair))
+                if fits:
                     break
                 place = shorter[place]
+            last[end] = found
+            if head and end == HEAD:
+                self.heads.add(head, (last[: HEAD + 1], at, held))
         ids, end = [], len(symbols)
         while end:
             ids.append(last[end])
@@ -109,10 +148,11 @@ class Merges:
         return ids[::-1]
 
 
-class Codec(dict):
-    """Ids of words as bytes. When it is full, it keeps what was asked for since it was half as full."""
+class Codec(Recent):
+    """Ids of words as bytes."""
 
     def __init__(self, vocabulary: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
@@ -128,23 +168,19 @@ class Codec(dict):
         self.cut = re.compile("|".join(f"({re.escape(x)})" for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.shown = {i: s.encode() for s, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in added}
         self.joined = spec.get("decoder") is None
-        self.before: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMORY:
-            self.before = dict(self)
-            self.clear()
-            self.pieces.clear()
-        found = self[word] = self.before.get(word) or self._word(word.decode())
-        return found
+        return self.seen(word) or self.add(word, self._word(word.decode()))
 
     def _word(self, word: str) -> bytes:
-        if word.isascii():
-            plain = word.lower()
-            stem = plain.rstrip(MARKS)
-            if stem.isalpha():
-                return self._piece(stem) + (self._piece(plain[len(stem) :]) if len(stem) < len(plain) else b"")
+        stem = word.rstrip(MARKS)
+        if stem.isalpha() and max(stem) < LATIN and (stem.isascii() or unicodedata.is_normalized("NFC", stem)):
+            # One piece of letters, each lower-cased by itself, and maybe one of marks.
+            plain = stem.lower() if stem.isascii() else "".join(c.lower() for c in stem)
+            if plain.isalpha():
+                shown = plain if plain.isascii() else "".join(map(SHOWN.__getitem__, plain.encode()))
+                return self._piece(shown) + (self._piece(word[len(stem) :]) if len(stem) < len(word) else b"")
         return self._whole(word)
 
     def _whole(self, text: str) -> bytes:
@@ -163,13 +199,12 @@ class Codec(dict):
         return b"".join(map(self._piece, filter(None, pieces)))
 
     def _piece(self, shown: str) -> bytes:
-        found = self.pieces.get(shown)
-        if found is None:
-            ids, suffix = self.merges.ids, self.merges.suffix
-            found = array("I", self.merges.encode([*map(ids.__getitem__, shown[:-1]), ids[shown[-1] + suffix]])).tobytes()
-            if len(self.pieces) < MEMORY:
-                self.pieces[shown] = found
-        return found
+        found = self.pieces.get(shown) or self.pieces.seen(shown)
+        if found:
+            return found
+        ids, suffix = self.merges.ids, self.merges.suffix
+        symbols = [*map(ids.__getitem__, shown[:-1]), ids[shown[-1] + suffix]]
+        return self.pieces.add(shown, array("I", self.merges.encode(symbols)).tobytes())
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers; null is empty."""
