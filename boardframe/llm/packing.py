@@ -15,7 +15,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardframe.llm.store import Scratch
@@ -161,19 +161,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, end_id: int, tiers: tupl
     merged = scratch.save(left.mapInArrow(merge, schema), "merged")
     both = packed.where("window > 0").unionByName(merged)
 
-    # A few rows for each task: where its sequences begin among all, and among those of their tier.
-    counts = sorted(both.groupBy("part", "window").agg(F.countDistinct("seq").alias("n"), F.min("seq").alias("low")).collect(), key=lambda r: (r["part"] < 0, abs(r["part"]), r["window"]))
-    base: dict[int, int] = {}
-    tier_base, total, in_tier = [], 0, dict.fromkeys((0, *tiers), 0)
-    for r in counts:
-        if r["part"] not in base:
-            base[r["part"]] = total
-        total += r["n"]
-        tier_base.append((r["part"], r["window"], base[r["part"]], in_tier[r["window"]]))
-        in_tier[r["window"]] += r["n"]
-    bases = spark.createDataFrame(tier_base, "part long, window long, base long, tier_base long")
+    # A row for each task and tier: where its sequences begin among all, and among those of its tier. Merged remainders come last.
+    counts = both.groupBy("part", "window").agg(F.countDistinct("seq").alias("n"))
+    place = [F.col("part") < 0, F.abs("part")]
+    before = lambda line: F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy(*place)).alias("base"))
+    bases = counts.select("part", "window", before(Window.partitionBy("window").orderBy(*place)).alias("tier_base")).join(starts, "part")
     sequences = both.groupBy("part", "window", "seq").agg(F.sum("length").alias("filled"))
-    ranked = sequences.withColumn("rank", F.expr("row_number() OVER (PARTITION BY part, window ORDER BY seq) - 1")).join(F.broadcast(bases), ["part", "window"])
+    ranked = sequences.withColumn("rank", F.expr("row_number() OVER (PARTITION BY part, window ORDER BY seq) - 1")).join(bases, ["part", "window"])
     capacity = F.when(F.col("window") > 0, F.col("window")).when(F.expr("filled & (filled - 1)") == 0, F.col("filled")).otherwise(tiers[-1])
     sequence = ranked.select("part", "seq", (F.col("base") + F.col("seq")).alias("sequence_id"), capacity.alias("capacity"), (capacity - F.col("filled")).alias("padding"), F.concat_ws("-", F.col("window").cast("string"), F.floor((F.col("tier_base") + F.col("rank")) * capacity / step_tokens).cast("long").cast("string")).alias("step_group"))
     return both.join(sequence, ["part", "seq"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("capacity").alias("window"), "padding", "step_group")
