@@ -77,8 +77,9 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode()
-        # The vocabulary lower-cases all but its special tokens.
-        return b"".join(map(self.words.__getitem__, (raw if b"<|" in raw else raw.lower()).split())) + self.end
+        # The vocabulary lower-cases all but its special tokens, after marks have joined their letters: texts with such marks stay as they are here.
+        plain = raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+        return b"".join(map(self.words.__getitem__, plain.split())) + self.end
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
