@@ -162,7 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, cove
     have make up ``coverage`` of the item's windows at least, two of them at least unless the item has but one, or if they hold
     RUN_WORDS consecutive words of it. Windows that are mostly placeholders must have equal words, and count in a share of all windows;
     the share of the others is taken as well. Plain windows of an alignment in which one value of the item stands for several in the
-    document do not count. Items shorter than a window must be in the document as a whole text, or anywhere if
+    document, or several for one, do not count. Items shorter than a window must be in the document as a whole text, or anywhere if
     ``short``. Null and empty texts match nothing; an
     empty benchmark leaves all documents clean. Rows that share a doc_id are judged each by its own text.
     """
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, words: int = 8, cove
     one = ["doc_id", "twin", "item_id"]
     keys = [*one, "shift"]
     values = pairs.where("plain").select(*keys, F.explode(F.filter("slots", lambda s: s["item"].isNotNull())).alias("slot")).select(*keys, "slot.item", "slot.doc").distinct()
-    unlike = values.groupBy(*keys, "item").agg(F.count("*").alias("n")).where("n > 1").select(*keys).distinct()
+    unlike = values.groupBy(*keys, "item").agg(F.count("*").alias("n")).union(values.groupBy(*keys, "doc").agg(F.count("*").alias("n"))).where("n > 1").select(*keys).distinct()
     plain = pairs.where("plain")
     agreed = plain.join(unlike, [plain[k].eqNullSafe(unlike[k]) for k in keys], "left_anti").union(pairs.where("NOT plain"))
     agreed = scratch.save(agreed.select(*keys, "place", "total", "every", "plain").distinct(), "agreed")

@@ -38,11 +38,11 @@ def brute(docs, items, n=8, coverage=0.25):
             pairs = [(i - j, j, a, b) for i, x, b in own for j, y, a in mine if x == y]
             bad = set()
             for s, *_ in pairs:
-                seen = {}
+                seen, back = {}, {}
                 for s2, _, a, b in pairs:
                     if s2 == s:
                         for p, q in zip(a, b):
-                            if p is not None and seen.setdefault(p, q) != q:
+                            if p is not None and (seen.setdefault(p, q) != q or back.setdefault(q, p) != p):
                                 bad.add(s)
             places = {j for s, j, *_ in pairs if s not in bad}
             if mine and len(places) / len(mine) >= coverage and (len(places) > 1 or len(mine) == 1):
@@ -108,3 +108,13 @@ def test_copies_of_any_item(spark):
     docs = [(k, inside(t)) for k, t in items] + [(5, inside(" ".join(long[20:33]))), (6, inside(" ".join(long[20:31]))), (7, inside(items[1][1].replace("PARIS", "ROME").replace("OLD", "RED"))), (8, inside(items[2][1].replace("7", "6").replace("12", "11"))), (9, items[0][1])]
     found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), short=True)
     assert {r["doc_id"]: r["item_ids"] for r in found.collect()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [4], 6: [], 7: [], 8: [], 9: [1]}
+
+
+def test_slots_are_one_to_one(spark):
+    """Two values of an item may not become one, nor one two."""
+    item = "then Ada paid Ben exactly 12 coins and kept 7 coins for the long way home with the other guests"
+    texts = [(1, item), (2, item.replace("Ada", "Eve").replace("Ben", "Tom").replace("12", "31").replace("7", "9")), (3, item.replace("Ada", "Eve").replace("Ben", "Eve").replace("12", "9").replace("7", "9"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r["covered"] for r in decontaminate(docs, items).collect()}
+    assert found[1] == found[2] == 1.0 and found[3] < 1.0
