@@ -239,7 +239,7 @@ def _explode(length: int):
                 continue
             doc, twin, pos, low, high = (batch.column(k).to_numpy() for k in range(5))
             row, far, ranks = window_ranks(batch.column(5).to_pylist(), low, high, length)
-            yield pa.RecordBatch.from_arrays([pa.array(ranks.view(np.int64)), pa.array(doc[row]), pa.array(twin[row]), pa.array((pos[row] - far).astype(np.int32))], names=["rank", "doc", "twin", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(6).to_numpy()[row]), pa.array(ranks.view(np.int64)), pa.array(doc[row]), pa.array(twin[row]), pa.array((pos[row] - far).astype(np.int32))], names=["anchor", "rank", "doc", "twin", "pos"])
 
     return run
 
@@ -300,10 +300,11 @@ def dedup_strings(docs: DataFrame, *, length: int = 100) -> DataFrame:
     around = scratch.save(around, "around")
     order = ["rank", "doc", "twin", "pos"]
     decided = around.where("NOT many").drop("many").repartition(parts, "rank").sortWithinPartitions(*order).mapInArrow(_decide(length), SCHEMA)
-    windows = around.where("many").select("doc", "twin", "pos", "low", "high", "around").mapInArrow(_explode(length), "rank long, doc long, twin long, pos int")
+    windows = around.where("many").select("doc", "twin", "pos", "low", "high", "around", "rank").mapInArrow(_explode(length), "anchor long, rank long, doc long, twin long, pos int")
     windows = scratch.save(windows, "windows")
-    least = windows.groupBy("rank").agg(F.min(F.struct("doc", "twin", "pos")).alias("least"))
-    later = windows.join(least, "rank").where(F.struct("doc", "twin", "pos") != F.col("least"))
+    # Equal windows have equal anchors: both hashes must agree.
+    least = windows.groupBy("anchor", "rank").agg(F.min(F.struct("doc", "twin", "pos")).alias("least"))
+    later = windows.join(least, ["anchor", "rank"]).where(F.struct("doc", "twin", "pos") != F.col("least"))
     spans = found.where(F.col("kind") == SPAN).select("doc", "twin", "pos", F.col("low").alias("end"))
     spans = spans.union(decided.select("doc", "twin", "pos", "low")).union(later.select("doc", "twin", "pos", F.col("pos") + length))
     spans = scratch.save(spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("pos", "end")).alias("spans")), "spans")
