@@ -63,14 +63,14 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each line of each row of ``docs`` (doc_id, text): doc_id, line_no, keep_doc_id, keep_line_no, kept, how.
 
     Lines are separated by line feeds and numbered from 1. Equal means equal after trimming and lower-casing; near means
-    one edit apart (inserted, deleted or other character), for lines of ``min_chars`` characters (4 or more) at least.
+    one edit apart (inserted, deleted or other character), for lines of ``min_chars`` characters at least.
     A line is kept if no equal or near line comes earlier, by doc_id (null first) and number; keep_* name the earliest of
     them. Blank lines are kept and equal nothing. Null texts have no lines, empty texts one blank line. Rows that repeat
     doc_id and text count as one document: their lines get the same verdicts. how: first, blank or later.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     size = F.char_length("line")
-    rows = _split(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("k1")).alias("k1"), "k2", F.when(size >= max(min_chars, HALVED), halves(size, F.col("line"))).alias("halves"), ((size >= max(min_chars, 1)) & (size < HALVED)).alias("short"))
+    rows = _split(docs).select("doc_id", "line_no", F.when(F.col("line") != "", F.col("k1")).alias("k1"), "k2", F.when(size >= max(min_chars, HALVED), halves(size, F.col("line"))).alias("halves"), ((size >= max(min_chars, 1)) & (size <= HALVED)).alias("short"))
     rows = scratch.save(rows, "rows")
     firsts = scratch.save(rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min(place_of(F.col("doc_id"), F.col("line_no"))).alias("first")), "firsts")
 
@@ -88,9 +88,8 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     text = scratch.save(text, "texts")
 
     # Blocks: halves, with m the line's own length and one less, as the shorter line of a pair decides.
-    # A short line is one block.
-    whole = size < HALVED
-    half = [(m, F.floor(m * i / 2).cast("int"), F.when(whole, m).otherwise(F.floor(m * (i + 1) / 2)).cast("int")) for m in (size, size - 1) for i in (0, 1)]
+    # A short line, and one by which it is the longer of a pair, is one block.
+    half = [(m, F.floor(m * i / 2).cast("int"), F.when(m < HALVED, m).otherwise(F.floor(m * (i + 1) / 2)).cast("int")) for m in (size, size - 1) for i in (0, 1)]
     state = text.select("k1", "k2", "first", "line", F.explode(F.array(*(F.struct(m.alias("m"), u.alias("u"), v.alias("v")) for m, u, v in half))).alias("b")).select("k1", "k2", "first", "line", "b.*")
     state, turn = scratch.save(_shared(state, scratch, "outside-0"), "blocks-0"), 0
     while (state.agg(F.max(F.col("v") - F.col("u"))).first()[0] or 0) > FEW:

@@ -143,7 +143,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from boardframe.llm.line_dedup import line_dedup
 
-    return line_dedup(read(spark, sf_dir, "documents"), min_chars=4)
+    return line_dedup(read(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ OP7_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 r AS (SELECT doc_id, CAST(i AS BIGINT) AS line_no, lower(trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS line, doc_id * 2147483648 + i AS place FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
 f AS (SELECT line, min(place) AS first, length(line) AS n FROM r WHERE line <> '' GROUP BY 1),
-p AS (SELECT a.line, min(b.first) AS near FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.n >= 4 AND b.n >= 4 AND b.first < a.first
+p AS (SELECT a.line, min(b.first) AS near FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
   WHERE (left(a.line, CAST(least(a.n, b.n) // 2 AS BIGINT)) = left(b.line, CAST(least(a.n, b.n) // 2 AS BIGINT)) OR right(a.line, CAST(least(a.n, b.n) // 2 AS BIGINT)) = right(b.line, CAST(least(a.n, b.n) // 2 AS BIGINT))) AND editdist3(a.line, b.line) <= 4 AND EDITS GROUP BY 1),
 k AS (SELECT r.doc_id, r.line_no, r.line, r.place, coalesce(p.near, f.first, r.place) AS best FROM r LEFT JOIN f ON f.line = r.line LEFT JOIN p ON p.line = r.line)
 SELECT doc_id, line_no, best // 2147483648 AS keep_doc_id, best % 2147483648 AS keep_line_no, best = place AS kept, CASE WHEN line = '' THEN 'blank' WHEN best = place THEN 'first' ELSE 'later' END AS how FROM k
