@@ -62,9 +62,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     texts = scratch.save(texts.where("NOT every"), "texts")
     rest = without(docs, texts)
     # Repeated rows of which one stays.
-    mixed = texts.where("some").select(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin"))
+    mixed = texts.where("some").select("doc_id", "twin")
     if not mixed.take(1):
         return rest
-    some = marked(docs, mixed.select(F.col("_id").alias("doc_id"))).withColumn("_own", F.xxhash64("text"))
-    same = some["doc_id"].eqNullSafe(mixed["_id"]) & (some["_own"] == mixed["_twin"])
-    return rest.unionByName(some.join(mixed, same, "left_semi").dropDuplicates(["doc_id", "_own"]).drop("_own"))
+    some = marked(docs, mixed.select("doc_id"))
+    same = some["doc_id"].eqNullSafe(mixed["doc_id"]) & (F.xxhash64(some["text"]) == mixed["twin"])
+    return rest.unionByName(some.join(mixed, same, "left_semi").dropDuplicates(["doc_id", "text"]))

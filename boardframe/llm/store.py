@@ -80,9 +80,9 @@ def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``gone`` (doc_id, twin: xxhash64 of the text). Only texts that may be among them move, unless there are
     too many ids (see ``marked``)."""
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("twin").alias("_twin")).distinct()
-    test = _is_marked(gone.select(F.col("_gone").alias("doc_id")))
+    gone = gone.select("doc_id", "twin").distinct()
+    test = _is_marked(gone.select("doc_id"))
     some = docs if test is None else docs.where(test)
-    same = some["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(some["text"]) == gone["_twin"])
+    same = some["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(some["text"]) == gone["twin"])
     left = some.join(gone, same, "left_anti")
     return left if test is None else docs.where(~test).unionByName(left)
