@@ -87,3 +87,10 @@ def crops(cells: DataFrame, zoom: float) -> DataFrame:
     return cells.select("page", "num", "side", *((F.col(c) * zoom).cast("int").alias(n) for n, c in names.items()))
 
 
+def merged_sides(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Sides by number, of cells (num, side) over those ``known`` from earlier runs (num, side): a cell that was read again counts, with or without
+    a side; of a number that several cells have, the one that comes last by page and place, if they have these."""
+    order = [c for c in ("page", "place") if c in cells.columns]
+    numbered = cells.where("num IS NOT NULL")
+    new = numbered.groupBy("num").agg((F.max_by(F.struct("side"), F.struct(*order)) if order else F.max(F.struct("side"))).alias("s")).select("num", "s.side")
+    return known.select("num", "side").join(new, "num", "left_anti").unionByName(new)

@@ -63,7 +63,7 @@ def _readings(targets: DataFrame, replies: DataFrame, masks: DataFrame) -> DataF
     """What each round of replies says of a target, as boards, captions and squares called empty."""
     said = {r: replies.where(F.col("round") == r).groupBy("id").agg(F.max("text").alias(f"t{r}")) for r in (1, 2, 3)}
     rows = reduce(lambda a, b: a.join(b, "id", "left"), said.values(), targets.select("id", "fen", "to_move", "moves").join(masks.select("id", "mask"), "id", "left"))
-    gone = F.regexp_extract_all(F.lower(F.coalesce("t2", F.lit(""))), F.lit(r"\b([a-h][1-8])\s*[:\-]\s*empty"), 1)
+    gone = F.regexp_extract_all(F.lower(F.coalesce("t2", F.lit(""))), F.lit(text.EMPTY), 1)
     board = {f"b{r}": text.listing(F.col(f"t{r}")) for r in (1, 2, 3)}
     return rows.select("id", boards.placement(F.col("fen")).alias("old_fen"), "to_move", "moves", "mask", gone.alias("gone"), *(c.alias(n) for n, c in board.items()), text.caption(F.col("t1")).alias("c1"), text.caption(F.col("t3")).alias("c3"))
 

@@ -127,22 +127,24 @@ def ranges(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return islands(rows, column, by).select(*by, "low", F.when(F.col("low") == F.col("high"), low).otherwise(F.concat(low, F.lit("-"), high)).alias("pages"))
 
 
-def runs(rows: DataFrame, column: str, by: Sequence[str], gap: int) -> DataFrame:
-    """Runs whose neighbours are ``gap`` apart at most: low, high, n and the centre, rounded down. Nulls are in none."""
+def runs(rows: DataFrame, column: str, by: Sequence[str], gap: int, *, mean: bool = False) -> DataFrame:
+    """Runs whose neighbours are ``gap`` apart at most: low, high, n and the centre, rounded down; with ``mean`` that of all its values too, rounded
+    down. Nulls are in none."""
     cut = segments(rows.where(F.col(column).isNotNull()).select(*by, column), [column], by)
     line = Window.partitionBy(*by, "_seg").orderBy(column)
     new = (F.col(column) - F.lag(column).over(line) > gap).cast("int")
     local = cut.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    local = local.groupBy(*by, "_seg", "_run").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n"))
+    local = local.groupBy(*by, "_seg", "_run").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("n"), F.sum(column).alias("_sum"))
     # Runs of neighbouring segments join if they are close: the first and the last of each segment.
     ends = local.groupBy(*by, "_seg").agg(F.max("_run").alias("_last"))
     local = matched(local, ends, [*by, "_seg"], ["_last"])
     edge = F.col("_run").isin(0) | (F.col("_run") == F.col("_last"))
     across = Window.partitionBy(*by).orderBy("low", "_seg")
     open_ = local.where(edge).withColumn("_new", F.coalesce((F.col("low") - F.lag("high").over(across) > gap).cast("int"), F.lit(1)))
-    whole = open_.withColumn("_chain", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_chain").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    found = local.where(~edge).select(*by, "low", "high", "n").unionByName(whole.drop("_chain"))
-    return found.withColumn("centre", F.floor((F.col("low") + F.col("high")) / 2))
+    whole = open_.withColumn("_chain", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_chain").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("_sum").alias("_sum"))
+    found = local.where(~edge).select(*by, "low", "high", "n", "_sum").unionByName(whole.drop("_chain"))
+    found = found.withColumn("centre", F.floor((F.col("low") + F.col("high")) / 2))
+    return (found.withColumn("mean", F.floor(F.col("_sum") / F.col("n"))) if mean else found).drop("_sum")
 
 
 def longest_run(rows: DataFrame, flag: Column, order: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -229,19 +229,25 @@ def mask_quality(t):
     return total.select("boards", "no_board", F.col("cells").cast("long").alias("cells"), F.col("wrong").cast("long").alias("wrong"), F.col("uncertain").cast("long").alias("uncertain"), "perfect")
 
 
-# Scanned pages with bordered boards: one to three in the left column, one in the right; on some a border is broken off.
+# Scanned pages with bordered boards: one to three in the left column, one in the right; on some a border is broken off. On all of them there are
+# lines of text, a small box and hatching in the boards, on every seventh nothing else.
 def _scans(t):
-    rows = t("supplier").selectExpr("s_suppkey AS page", "CAST(s_suppkey % 3 AS INT) AS n", "s_suppkey % 5 = 0 AS broken")
+    rows = t("supplier").selectExpr("s_suppkey AS page", "CAST(s_suppkey % 3 AS INT) AS n", "s_suppkey % 5 = 0 AS broken", "s_suppkey % 7 = 0 AS bare")
 
     def draw(batches):
         for part in batches:
             out = []
-            for n, broken in zip(part["n"], part["broken"], strict=True):
+            for n, broken, bare in zip(part["n"], part["broken"], part["bare"], strict=True):
                 image = np.full((240, 160), 255, np.uint8)
-                for top, left in [(10 + 70 * i, 10) for i in range(n + 1)] + [(20, 95)]:
+                for y in (*range(222, 238, 5), 90, 96):  # letters, with gaps between them
+                    image[y : y + 3, 84:156] = np.where(np.arange(72) % 6 < 4, 0, 255)
+                image[110, 90:121] = image[140, 90:121] = image[110:141, 90] = image[110:141, 120] = 0
+                for top, left in [] if bare else [(10 + 70 * i, 10) for i in range(n + 1)] + [(20, 95)]:
+                    for k in range(0, 24, 4):  # hatching
+                        image[top + 10 + np.arange(20), left + 10 + k + np.arange(20) % 4] = 0
                     image[top : top + 3, left : left + 51] = image[top + 50 : top + 53, left : left + 51] = 0
                     image[top : top + 53, left] = image[top : top + 53, left + 50] = 0
-                if broken:
+                if broken and not bare:
                     image[70:73, 95:146] = 255
                 out.append(image.tobytes())
             yield pd.DataFrame({"page": part["page"], "height": 240, "width": 160, "pixels": out})
@@ -250,8 +256,32 @@ def _scans(t):
 
 
 @query("""
-SELECT s_suppkey AS page, CAST(0 AS BIGINT) AS "column", CAST(i AS BIGINT) AS place, CAST(11 + 70 * i AS BIGINT) AS top, CAST(10 AS BIGINT) AS "left", CAST(61 + 70 * i AS BIGINT) AS bottom, CAST(60 AS BIGINT) AS "right", CAST(NULL AS STRING) AS error FROM supplier, range(0, 3) r(i) WHERE i <= s_suppkey % 3
-UNION ALL SELECT s_suppkey, 1, 0, 21, 95, 71, 145, NULL FROM supplier WHERE s_suppkey % 5 > 0 UNION ALL SELECT s_suppkey, 1, NULL, NULL, NULL, NULL, NULL, '1 border rows' FROM supplier WHERE s_suppkey % 5 = 0""")
+SELECT s_suppkey AS page, CAST(0 AS BIGINT) AS "column", CAST(i AS BIGINT) AS place, CAST(11 + 70 * i AS BIGINT) AS top, CAST(10 AS BIGINT) AS "left", CAST(61 + 70 * i AS BIGINT) AS bottom, CAST(60 AS BIGINT) AS "right", CAST(NULL AS STRING) AS error FROM supplier, range(0, 3) r(i) WHERE i <= s_suppkey % 3 AND s_suppkey % 7 > 0
+UNION ALL SELECT s_suppkey, 1, 0, 21, 95, 71, 145, NULL FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 > 0 UNION ALL SELECT s_suppkey, 1, NULL, NULL, NULL, NULL, NULL, '1 border rows' FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 7 > 0""")
 def bordered_boards(t):
-    found = layout.bordered_boards(_scans(t))
+    book = layout.Layout.load({"detect_zoom": 1.0, "ink_threshold": 160, "min_border_run": 45, "expected_ids": [1, 9]})
+    found = layout.bordered_boards(layout.pixel_runs(_scans(t), ink=book.ink), book.min_border_run * book.zoom)
     return found.select("page", *(F.col(c).cast("long").alias(c) for c in ("column", "place", "top", "left", "bottom", "right")), "error")
+
+
+@query("""
+SELECT CAST(c_custkey AS BIGINT) AS num, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 4 > 0 THEN 'b' END WHEN c_custkey % 2 = 0 THEN 'w' END AS side FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0""")
+def kept_sides(t):
+    """Sides of a run over pages, some read twice, over those of an earlier run."""
+    rows = t("customer").select(F.col("c_custkey").alias("num"))
+    known = rows.where("num % 2 = 0").select("num", F.lit("w").alias("side"))
+    cells = rows.where("num % 3 > 0").select(F.lit(2).alias("page"), F.lit(0).alias("place"), "num", F.expr("CASE WHEN num % 4 > 0 THEN 'b' END").alias("side"))
+    earlier = cells.withColumns({"page": F.lit(1), "side": F.lit("w")}).union(rows.select(F.lit(9), F.lit(0), F.lit(None).cast("long"), F.lit("w")))
+    return entries.merged_sides(cells.union(earlier), known).select(F.col("num").cast("long").alias("num"), "side")
+
+
+@query(named(oracle(PUZZLES), select="SELECT id, CAST(1 AS BIGINT) AS wrong FROM puzzles WHERE d7 > 0 AND s1 <> s2 ORDER BY id DESC LIMIT 8"))
+def worst_boards(t):
+    """The boards whose masks have most wrong squares: the truth has a piece more than the picture, where some pictures have a smudge."""
+    pictures = _pictures(t)
+    truth = made(t, named(PUZZLES, select="SELECT id, fen, s2, s1 <> s2 AS other FROM puzzles"))
+    pieces = F.map_filter(F.map_from_arrays(F.array("s2"), F.array(F.lit("Q"))), lambda s, q: F.col("other"))
+    masks = layout.masks(pictures).withColumn("mask", F.transform_values("mask", lambda _, v: F.when(v == "uncertain", "empty").otherwise(v)))
+    board = F.map_concat(F.map_filter(boards.to_map(F.col("fen")), lambda s, _: ~F.map_contains_key(pieces, s)), pieces)
+    _, worst = layout.mask_quality(masks, truth.select("id", boards.from_map(board).alias("fen")))
+    return worst.select("id", F.col("wrong").cast("long").alias("wrong"))

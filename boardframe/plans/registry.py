@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from boardframe.functions import text
 from boardframe.operators import audit, overlay, sequences, state
 from boardframe.plans.catalogue import ORACLE_SQL, QUERIES, query
+from boardframe.plans.generated import made, named, oracle
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -185,23 +186,37 @@ def prefix_score(t):
     return both.agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(F.col("doc_id").isNull()).alias("missing"))
 
 
-CHAPTERS = [(1, 20_000, "opening"), (20_001, 35_000, "middle"), (35_001, (1 << 63) - 1, "end")]
+#: A range for each order, some in others, some of length one and some very long; of several the one of least place counts.
+RANGES = """ranges AS (SELECT o_orderkey * 3 AS low, o_orderkey * 3 + CASE WHEN o_orderkey % 1000 = 7 THEN 3000000000000 WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_custkey % 40 END AS high, 'r' || CAST(o_orderkey AS STRING) AS name, o_custkey * 1000000 + o_orderkey AS place FROM {orders} WHERE o_orderkey % 3 > 0)"""
 
 
-@query(f"SELECT o_orderkey, name FROM orders JOIN (VALUES {', '.join(map(str, CHAPTERS))}) c(low, high, name) ON o_orderkey BETWEEN low AND high")
+@query(named(oracle(RANGES), select="SELECT spot, min_by(name, place) AS name FROM (SELECT DISTINCT l_orderkey * 3 + l_linenumber AS spot FROM lineitem) JOIN ranges ON spot BETWEEN low AND high GROUP BY spot"))
 def range_lookup(t):
-    return overlay.in_ranges(t("orders").select("o_orderkey"), CHAPTERS, "o_orderkey")
+    points = t("lineitem").select((F.col("l_orderkey") * 3 + F.col("l_linenumber")).alias("spot")).distinct()
+    return overlay.in_ranges(points, made(t, named(RANGES, select="SELECT * FROM ranges")), "spot")
+
+
+#: Chapters as a book's configuration has them.
+CHAPTERS = {"chapters": {"1-20000": "opening", "15000-35000": "middle", "35001-900000000": "end"}}
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey <= 20000 THEN 'opening' WHEN o_orderkey <= 35000 THEN 'middle' ELSE 'end' END AS name FROM orders WHERE o_orderkey BETWEEN 1 AND 900000000")
+def chapters(t):
+    rows = t("orders").select("o_orderkey")
+    return overlay.in_ranges(rows, overlay.chapters(rows.sparkSession, CHAPTERS), "o_orderkey")
 
 
 @query("""
-SELECT p_brand, a, b FROM (SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b, row_number() OVER (PARTITION BY x.p_brand ORDER BY abs(x.p_size - y.p_size), x.p_partkey, y.p_partkey) AS k
-FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey AND y.p_partkey - x.p_partkey <= 50) WHERE k = 1""")
+SELECT p_brand, a, b FROM (SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b, row_number() OVER (PARTITION BY x.p_brand ORDER BY abs(x.p_retailprice - y.p_retailprice), least(x.p_partkey, y.p_partkey), greatest(x.p_partkey, y.p_partkey)) AS k
+FROM part x JOIN part y ON x.p_brand = y.p_brand AND (x.p_retailprice, x.p_partkey) < (y.p_retailprice, y.p_partkey)) WHERE k = 1""")
 def argmin_pair(t):
-    # Neighbours within 50 keys meet in one bucket of 50 or in the next.
-    own = t("part").select("p_brand", F.col("p_partkey").alias("a"), F.col("p_size").alias("s"), F.floor(F.col("p_partkey") / 50).alias("bucket"))
-    other = own.select("p_brand", F.col("a").alias("b"), F.col("s").alias("z"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    pairs = own.join(other, ["p_brand", "bucket"]).where("a < b AND b - a <= 50")
-    return pairs.groupBy("p_brand").agg(F.min(F.struct(F.abs(F.col("s") - F.col("z")).alias("d"), "a", "b")).alias("m")).select("p_brand", "m.a", "m.b")
+    """Of each brand the two parts of closest price: they are neighbours in the order of prices."""
+    rows = t("part").select("p_brand", "p_retailprice", "p_partkey", F.struct("p_retailprice", "p_partkey").alias("own"))
+    beside = sequences.carry(rows, F.col("own"), ["p_retailprice", "p_partkey"], ["p_brand"], "before", before=True).where("before IS NOT NULL")
+    gap = F.col("p_retailprice") - F.col("before.p_retailprice")
+    keys = F.array_sort(F.array("p_partkey", "before.p_partkey"))
+    best = beside.groupBy("p_brand").agg(F.min(F.struct(gap.alias("gap"), keys.alias("keys"), F.col("before.p_partkey").alias("a"), F.col("p_partkey").alias("b"))).alias("m"))
+    return best.select("p_brand", "m.a", "m.b")
 
 
 @query("SELECT p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, p_type LIMIT 15")
