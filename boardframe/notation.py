@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 # Fixed values of the notation: letters of the pieces, what ends a game, castling.
@@ -38,6 +39,7 @@ class Shape(NamedTuple):
     wing: str = ""
 
 
+@lru_cache(1 << 16)
 def shape(word: str, old: bool = False) -> Shape | None:
     """A word by its parts, or None if it is no move. ``old`` reads older notation: long forms, captured pieces, wings, no hints."""
     body = word.rstrip("!?").rstrip("+#")

@@ -402,3 +402,34 @@ def replies(t):
   s1 || CASE WHEN d10 < 8 THEN ': black queen' ELSE ': EMPTY' END AS closer FROM puzzles"""))
     head, board = text.reply_header(F.col("reply")), text.listing(F.col("reply"))
     return rows.select("id", head.alias("x"), boards.from_map(board).alias("listed"), boards.from_map(text.patched(board, F.col("closer"))).alias("patched"), text.caption(F.col("reply")).alias("caption")).select("id", F.col("x.number").cast("long").alias("number"), "x.to_move", "x.hint", "listed", "patched", "caption")
+
+
+def _after(f: str, r: str, king: str) -> str:
+    """The board with the rook on a file and row and the black king in a row of its own."""
+    return f"'{king}/' || " + " || '/' || ".join(f"CASE WHEN {r} = {i} THEN (CASE WHEN {f} = 0 THEN '' ELSE CAST({f} AS STRING) END) || 'R' || CAST(7 - {f} AS STRING) ELSE '8' END" for i in range(7, 1, -1)) + " || '/7K'"
+
+
+PLIES = f"""
+SELECT id, CAST(1 AS INTEGER) AS ply, 'R' || s2 AS token, CASE WHEN go12 THEN 'R' || s2 END AS san, CASE WHEN go12 THEN {_after('f2', 'r2', '7k')} || ' b - - 1 1' END AS board, CAST(CASE WHEN go12 THEN 1 ELSE 0 END AS INTEGER) AS options FROM puzzles
+UNION ALL SELECT id, 2, 'Kg8', 'Kg8', {_after('f2', 'r2', '6k1')} || ' w - - 2 2', 1 FROM puzzles WHERE go12
+UNION ALL SELECT id, 3, 'R' || s3, CASE WHEN go23 THEN 'R' || s3 END, CASE WHEN go23 THEN {_after('f3', 'r3', '6k1')} || ' b - - 3 2' END, CASE WHEN go23 THEN 1 ELSE 0 END FROM puzzles WHERE go12"""
+
+
+@query(named(oracle(PUZZLES), select=PLIES))
+def plies(t):
+    """A row for each ply of each line, by a lateral join with the table function."""
+    from boardframe.kernel.plies import with_plies
+
+    rows = made(t, named(PUZZLES, select="SELECT id, fen, 'w' AS turn, '1.R' || s2 || ' Kg8 2.R' || s3 AS moves FROM puzzles"))
+    return with_plies(rows).select("id", "ply", "token", "san", "board", "options")
+
+
+@query(named(oracle(PUZZLES), select=PLIES))
+def plies_in_sql(t):
+    """The same in SQL."""
+    from boardframe.kernel.plies import register
+
+    rows = made(t, named(PUZZLES, select="SELECT id, fen, '1.R' || s2 || ' Kg8 2.R' || s3 AS moves FROM puzzles"))
+    register(rows.sparkSession)
+    rows.createOrReplaceTempView("lines_of_puzzles")
+    return rows.sparkSession.sql("SELECT id, p.* FROM lines_of_puzzles, LATERAL plies(fen, 'w', moves) AS p")
