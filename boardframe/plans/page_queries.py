@@ -5,6 +5,8 @@ Pages and texts are built from known parts, so the oracle knows what must be rea
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from boardframe.functions import boards
 from boardframe.operators import entries, export, layout, overlay, review, sequences, state
 from boardframe.plans.catalogue import query
 from boardframe.plans.generated import PUZZLES, digit, made, named, oracle
+from boardframe.sources import files
+from boardframe.sources.pages import PdfPages
 
 # Logs.
 FIXES = """fixes AS (SELECT event_id AS _pos, CAST(user_id AS STRING) AS id, CASE event_type WHEN 'click' THEN 'FIXED' WHEN 'view' THEN 'UNRESOLVED' ELSE 'MOVES_SUSPECT' END AS status, 'f' || CAST(event_id AS STRING) AS fen, CASE WHEN event_id % 3 = 0 THEN 'b' END AS to_move FROM {events})"""
@@ -285,3 +289,56 @@ def worst_boards(t):
     board = F.map_concat(F.map_filter(boards.to_map(F.col("fen")), lambda s, _: ~F.map_contains_key(pieces, s)), pieces)
     _, worst = layout.mask_quality(masks, truth.select("id", boards.from_map(board).alias("fen")))
     return worst.select("id", F.col("wrong").cast("long").alias("wrong"))
+
+
+# Files with one to three pages each: a line of text, letters of a diagram font by their codes, a square by its lines and a box; streams stored or
+# deflated by turns.
+def _pdf_files(t) -> tuple:
+    rows = t("supplier").selectExpr("s_suppkey AS p")
+
+    def write(batches):
+        for part in batches:
+            paths, bodies = [], []
+            for p in part["p"]:
+                pages = int(p) % 3 + 1
+                font = lambda name, width: f"<< /Type /Font /Subtype /Type1 /BaseFont /{name} /FirstChar 0 /Widths [{' '.join([str(width)] * 256)}] >>"
+                objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {pages} /MediaBox [0 0 500 800] /Kids [{' '.join(f'{10 + 2 * k} 0 R' for k in range(pages))}] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>", font("Roman", 600), font("ABCDEF+Chess#20Merida", 1000)]
+                numbers = dict(enumerate(objects, 1))
+                for k in range(pages):
+                    body = f"q BT /F1 10 Tf 50 700 Td ({p} \\({k}\\)) Tj ET Q BT 1 0 0 rg /F2 12 Tf 1 0 0 1 60 {600 - 10 * k} Tm <C86B> Tj ET 100 100 m 120 100 l 120 120 l 100 120 l h S {30 + k} 40 50 60 re f".encode()
+                    raw, kind = (zlib.compress(body), "/Filter /FlateDecode ") if (p + k) % 2 else (body, "")
+                    numbers[10 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>"
+                    numbers[11 + 2 * k] = f"<< {kind}/Length {len(raw)} >>\nstream\n".encode() + raw + b"\nendstream"
+                paths.append(f"{p}/book.pdf")
+                bodies.append(b"%PDF-1.4\n" + b"".join(f"{n} 0 obj\n".encode() + (x if isinstance(x, bytes) else x.encode()) + b"\nendobj\n" for n, x in numbers.items()) + b"trailer << /Root 1 0 R >>\n%%EOF")
+            yield pd.DataFrame({"path": paths, "content": bodies})
+
+    spark, root = rows.sparkSession, files.work_folder(rows.sparkSession, "pdf")
+    files.write_each(rows.mapInPandas(write, "path string, content binary"), root)
+    spark.dataSource.register(PdfPages)
+    return spark, root
+
+
+def _pdf(t, table: str):
+    spark, root = _pdf_files(t)
+    return spark.read.format("pdf_pages").option("table", table).load(root).withColumn("book", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).drop("file")
+
+
+@query("""
+WITH pages AS (SELECT s_suppkey AS p, k FROM supplier, range(0, 3) r(k) WHERE k <= s_suppkey % 3), lines AS (SELECT p, k, CAST(p AS STRING) || ' (' || CAST(k AS STRING) || ')' AS line FROM pages)
+SELECT CAST(p AS STRING) AS book, CAST(k AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS seq, 50.0 + 6 * (i - 1) AS x0, CAST(90.0 AS DOUBLE) AS y0, 'Roman' AS font, 0 AS color, line[i] AS ch FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM lines)
+UNION ALL SELECT CAST(p AS STRING), k, length(line), 60.0, 188.0 + 10 * k, 'Chess Merida', 16711680, 'È' FROM lines UNION ALL SELECT CAST(p AS STRING), k, length(line) + 1, 72.0, 188.0 + 10 * k, 'Chess Merida', 16711680, 'k' FROM lines""")
+def pdf_glyphs(t):
+    """Glyphs of the pages of all files of a folder."""
+    return _pdf(t, "glyphs").select("book", "page", "seq", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"), "font", "color", "ch")
+
+
+@query("""
+SELECT CAST(s_suppkey AS STRING) AS book, CAST(k AS INTEGER) AS page, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(x + w AS DOUBLE) AS x1, CAST(y + h AS DOUBLE) AS y1, CAST(n AS INTEGER) AS items, n = 4 AS anchor
+FROM supplier, range(0, 3) r(k), LATERAL (VALUES (100, 680, 20, 20, 4), (30 + k, 700, 50, 60, 1)) d(x, y, w, h, n) WHERE k <= s_suppkey % 3""")
+def pdf_drawings(t):
+    """Drawings of all pages, and which of them are anchors."""
+    found = _pdf(t, "drawings")
+    anchor = layout.anchors(found, LAYOUT).select("book", "page", F.lit(True).alias("anchor"), F.col("x0").alias("ax"))
+    rows = found.join(anchor, ["book", "page"], "left")
+    return rows.select("book", "page", "x0", "y0", "x1", "y1", "items", (F.col("x0") == F.col("ax")).alias("anchor"))

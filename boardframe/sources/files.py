@@ -78,7 +78,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def write_each(rows: DataFrame, root: str) -> int:
-    """Writes a file for each row of ``rows`` (path below ``root``, content), in the tasks; how many. ``root`` is a local folder that all share, or
+    """Writes a file for each row of ``rows`` (path below ``root``, content: text or bytes), in the tasks; how many. ``root`` is a local folder that all share, or
     a place that pyarrow reaches. Files are renamed into place, so a task that runs twice leaves each whole."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,8 @@ def write_each(rows: DataFrame, root: str) -> int:
                 folder, name = os.path.split(f"{base}/{path}")
                 store.create_dir(folder, recursive=True)
                 with store.open_output_stream(hidden := f"{folder}/._{uuid.uuid4().hex}") as out:
-                    out.write((content.as_py() or "").encode())
+                    body = content.as_py() or ""
+                    out.write(body if isinstance(body, bytes) else body.encode())
                 store.move(hidden, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
 
