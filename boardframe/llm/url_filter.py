@@ -18,6 +18,7 @@ PLAN_RULES = 200
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -89,8 +90,8 @@ def with_rule(urls: DataFrame, rules: Sequence[Rule], host: str = "host", path:
 def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, reason, component.
 
-    Addresses are nodes; canonical links and refresh redirects in html, and rows of ``redirects`` (two columns of
-    addresses), are edges. A page's own rule decides first (reason ``rule``). Without one, an explicit allow of any alias
+    Addresses are nodes; all canonical links and refresh redirects in html, seen from the page's base address if it names one, and rows of
+    ``redirects`` (two columns of addresses), are edges. A page's own rule decides first (reason ``rule``). Without one, an explicit allow of any alias
     comes before a block of any alias (``alias``); aliases that were never fetched count. Else the verdict is allow
     (``default``). Null or malformed urls have an empty host and path, no aliases, and are allowed; null html has no links.
     Repeated rows each get a row. component is the smallest address of the aliases, null where there are none.
@@ -98,8 +99,11 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     scratch = Scratch(pages.sparkSession, "url")
     url, html = F.col("url"), F.col("html")
     own = with_rule(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key")), rules)
-    links = pages.select(url, F.explode(F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))).alias("link")).where("link <> ''")
-    edges = links.select(url.alias("a"), absolute(F.col("link"), url).alias("b"))
+    # Links of a page are seen from its base address, where it names one.
+    found = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (CANONICAL, REFRESH)))
+    links = pages.select(url, F.regexp_extract(html, BASE, 1).alias("named"), F.explode(F.array_distinct(found)).alias("link")).where("link <> ''")
+    links = links.select(url, "link", F.coalesce(F.when(F.col("named") != "", absolute(F.col("named"), url)), url).alias("base"))
+    edges = links.select(url.alias("a"), absolute(F.col("link"), F.col("base")).alias("b"))
     if redirects is not None:
         edges = edges.union(redirects.select(*(F.col(c) for c in redirects.columns[:2])))
     edges = scratch.save(edges.select(key_of(F.col("a")).alias("a"), key_of(F.col("b")).alias("b")).where("a <> b").distinct(), "edges")

@@ -54,6 +54,21 @@ def test_aliases(spark):
     assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("allow", "alias"), 4: ("allow", "rule"), 5: ("block", "rule"), 6: ("block", "alias"), 7: ("allow", "default")}
 
 
+def test_base_addresses_and_several_links(spark):
+    """A relative link is seen from the base address; every link of a page counts."""
+    pages = [
+        (1, "http://one.de/x/y", "<base target=_top href='http://bad.org/es/'><link rel=canonical href='p'>"),  # http://bad.org/es/p is blocked
+        (2, "http://two.de/x/y", "<base href=sub/ ><meta http-equiv=refresh content='0;url=../z'><link rel='canonical' href='http://fine.de/'>"),
+        (3, "http://two.de/x/z", None),
+        (4, "http://three.de/", "<link rel='canonical' href='http://fine.de/4'><link href='http://bad.org/es/q' rel='canonical'>"),
+        (5, "http://fine.de/4", ""),
+        (6, "http://six.de/x", "<base href='//com/en/'><link rel=canonical href='#top'>"),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["component"]) for r in u.url_filter(frame, RULES).collect()}
+    assert got == {1: ("block", "bad.org/es/p"), 2: ("allow", "fine.de/"), 3: ("allow", "fine.de/"), 4: ("block", "bad.org/es/q"), 5: ("block", "bad.org/es/q"), 6: ("block", "com/en/")}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(1, 50)] + [(None, 1), (5, 5)]
