@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,17 @@ def glob(spark: SparkSession, pattern: str) -> bool:
     return bool(store.globStatus(where) or [])
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as paths of files are given."""
+    store, where = _at(spark, path)
+    return store.makeQualified(where).toString()
+
+
+def plain(path: Column) -> Column:
+    """A file's path (``_metadata.file_path``) as it is written, without encoded signs."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def rename(spark: SparkSession, source: str, target: str) -> str:
     """Moves a file or folder in one step; the new name's last part. Fails if there is one of that name."""
     store, there = _at(spark, target)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import time
 
 from pyspark.errors import AnalysisException
@@ -27,7 +26,7 @@ RECOGNITION = "cell string, number int, to_move string, hint string, fen string"
 
 def book_of(path: Column, inside: str) -> Column:
     """The name of the folder of a book, from a path to ``inside`` of it."""
-    return F.url_decode(F.replace(F.regexp_extract(path, rf"([^/]+)/\Q{inside}\E(?:/|$)", 1), F.lit("+"), F.lit("%2B")))
+    return files.plain(F.regexp_extract(path, rf"([^/]+)/\Q{inside}\E(?:/|$)", 1))
 
 
 def log(spark: SparkSession, path: str, schema: str, key: str = "id", *, extras: bool = False) -> DataFrame:
@@ -132,13 +131,13 @@ def answer_key(puzzles: DataFrame) -> DataFrame:
 def images(spark: SparkSession, book: str, folder: str = "problem_images") -> DataFrame:
     """Pictures by book and exact bare id, never by pattern: book, id, image, path."""
     try:
-        rows = spark.read.format("binaryFile").load(f"{book}/{folder}/*.png").select("path")
+        rows = spark.read.format("binaryFile").load(f"{book}/{folder}/*.png").select("path", F.col("_metadata.file_path").alias("file"))
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.createDataFrame([], "path string")
-    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
-    found = rows.select(book_of(F.col("path"), folder).alias("book"), text.bare_id(F.regexp_replace(name, r"\.png$", "")).alias("id"), name.alias("image"), "path")
+        rows = spark.createDataFrame([], "path string, file string")
+    name = files.plain(F.regexp_extract("file", r"([^/]+)$", 1))
+    found = rows.select(book_of(F.col("file"), folder).alias("book"), text.bare_id(F.regexp_replace(name, r"\.png$", "")).alias("id"), name.alias("image"), "path")
     return found.groupBy("book", "id").agg(F.max_by(F.struct("image", "path"), "image").alias("r")).select("book", "id", "r.image", "r.path")
 
 
@@ -156,21 +155,21 @@ MARKERS = ("problem_jsons", "fens.json", "bundle")
 def books(spark: SparkSession, root: str, launched: str | None = None) -> DataFrame:
     """Folders below ``root`` that hold one of MARKERS, and always the one launched: book, path, problems, maps, bundle (what it holds).
 
-    One scan of names, whatever the number of books; no file is opened. Empty folders are not seen."""
-    wanted = [p for m in MARKERS for p in (f"{root}/*/{m}", f"{root}/*/{m}/*", f"{root}/*/{m}/*/*") if files.glob(spark, p)]
+    One scan of names, whatever the number of books; no file is opened. Empty folders and empty files are not seen."""
+    base = files.qualified(spark, root)
+    wanted = [p for m in MARKERS if files.glob(spark, p := f"{root}/*/{m}")]
     found = spark.createDataFrame([], "path string, _kind string")
     if wanted:
-        names = spark.read.format("binaryFile").load(wanted).select("path")
-        place = F.regexp_extract("path", rf"^(.*/[^/]+)/({'|'.join(map(re.escape, MARKERS))})(?:/[^/]+){{0,3}}$", 1)
-        found = names.select(place.alias("path"), F.regexp_extract("path", rf"^.*/[^/]+/({'|'.join(map(re.escape, MARKERS))})(?:/[^/]+){{0,3}}$", 1).alias("_kind"))
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(wanted).select(files.plain(F.col("_metadata.file_path")).alias("p"))
+        part = F.split(F.substring("p", len(base) + 2, 1 << 16), "/")
+        found = names.select(F.concat(F.lit(f"{base}/"), part[0]).alias("path"), part[1].alias("_kind"))
     kinds = [F.bool_or(F.col("_kind") == m).alias(name) for m, name in zip(MARKERS, ("problems", "maps", "bundle"), strict=True)]
     rows = found.groupBy("path").agg(*kinds)
     if launched:
         own = spark.range(1).select(F.lit(launched.rstrip("/")).alias("path"), *(F.lit(False).alias(c) for c in ("problems", "maps", "bundle")))
         same = F.regexp_extract("path", r"([^/]+)$", 1) == launched.rstrip("/").rpartition("/")[2]
         rows = rows.unionByName(own.join(rows.where(same).limit(1).select(F.lit(1).alias("_there")), F.lit(True), "left_anti"))
-    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
-    return rows.select(name.alias("book"), "path", "problems", "maps", "bundle")
+    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("book"), "path", "problems", "maps", "bundle")
 
 
 def run(spark: SparkSession, book: str, stage: str = "bundle") -> DataFrame:

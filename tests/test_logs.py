@@ -147,3 +147,18 @@ def test_edges(spark, tmp_path):
     (tmp_path / "file").write_text('{"id": "a"}')
     with pytest.raises(ValueError):
         logs.compact(spark, str(tmp_path / "file"))
+
+
+def test_books_of_any_name(spark, tmp_path):
+    """Books and pictures by their names as written, a log within a bundle counts, other folders do not."""
+    shelf = tmp_path / "bundle" / "my shelf"
+    for book in ("b 1%2", "c+ü", "plain"):
+        (shelf / book / "problem_images").mkdir(parents=True)
+        (shelf / book / "problem_images" / "7* %41+.png").write_bytes(b"x")
+    state.append(frame(spark, ("a", 1)), f"{shelf}/b 1%2/bundle/state/puzzles.jsonl")
+    (shelf / "c+ü" / "problem_jsons").mkdir()
+    (shelf / "c+ü" / "problem_jsons" / "1.json").write_text('{"id": "1", "fen": "f"}')
+    found = {r["book"]: (r["problems"], r["maps"], r["bundle"]) for r in readers.books(spark, str(shelf), f"{shelf}/launched").collect()}
+    assert found == {"b 1%2": (False, False, True), "c+ü": (True, False, False), "launched": (False, False, False)}
+    assert {(r["book"], r["id"], r["image"]) for r in readers.images(spark, f"{shelf}/*").collect()} == {(b, "7 %41+", "7* %41+.png") for b in ("b 1%2", "c+ü", "plain")}
+    assert [(r["book"], r["id"]) for r in readers.problems(spark, f"{shelf}/*").collect()] == [("c+ü", "1")]
