@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boardframe.functions import boards
 from boardframe.operators import entries, export, layout, overlay, review, sequences, state
 from boardframe.plans.catalogue import query
-from boardframe.plans.generated import PUZZLES, digit, made, named, oracle
+from boardframe.plans.generated import PUZZLES, dealt, digit, made, named, oracle
 from boardframe.sources import files
 from boardframe.sources.pages import PdfPages
 
@@ -221,7 +221,7 @@ def _pictures(t):
 @query(named(oracle(PUZZLES), select="""SELECT id, CASE WHEN d7 > 0 THEN 3 END AS occupied, CASE WHEN d7 > 0 THEN CASE WHEN d7 > 7 AND s1 <> s2 THEN 1 ELSE 0 END END AS uncertain, CASE WHEN d7 > 0 THEN 0 END AS off FROM puzzles"""))
 def occupancy_masks(t):
     pictures = _pictures(t)
-    found = layout.masks(pictures).join(pictures.select("id", "fen"), "id")
+    found = layout.masks(pictures).join(made(t, named(PUZZLES, select="SELECT id, fen FROM puzzles")), "id")
     count = lambda what: F.size(F.map_filter("mask", lambda _, v: v == what))
     return found.select("id", count("occupied").alias("occupied"), count("uncertain").alias("uncertain"), boards.mismatches(boards.to_map(F.col("fen")), F.col("mask")).alias("off"))
 
@@ -229,14 +229,15 @@ def occupancy_masks(t):
 @query(named(oracle(PUZZLES), select="""SELECT count(*) FILTER (d7 > 0) AS boards, count(*) FILTER (d7 = 0) AS no_board, CAST(64 * count(*) FILTER (d7 > 0) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS wrong, count(*) FILTER (d7 > 7 AND s1 <> s2) AS uncertain, count(*) FILTER (d7 > 0) AS perfect FROM puzzles"""))
 def mask_quality(t):
     pictures = _pictures(t)
-    total, _ = layout.mask_quality(layout.masks(pictures), pictures.select("id", "fen"))
+    truth = made(t, named(PUZZLES, select="SELECT id, fen FROM puzzles"))
+    total, _ = layout.mask_quality(layout.masks(pictures), truth)
     return total.select("boards", "no_board", F.col("cells").cast("long").alias("cells"), F.col("wrong").cast("long").alias("wrong"), F.col("uncertain").cast("long").alias("uncertain"), "perfect")
 
 
 # Scanned pages with bordered boards: one to three in the left column, one in the right; on some a border is broken off. On all of them there are
 # lines of text, a small box and hatching in the boards, on every seventh nothing else.
 def _scans(t):
-    rows = t("supplier").selectExpr("s_suppkey AS page", "CAST(s_suppkey % 3 AS INT) AS n", "s_suppkey % 5 = 0 AS broken", "s_suppkey % 7 = 0 AS bare")
+    rows = dealt(t("supplier").select("s_suppkey")).selectExpr("s_suppkey AS page", "CAST(s_suppkey % 3 AS INT) AS n", "s_suppkey % 5 = 0 AS broken", "s_suppkey % 7 = 0 AS bare")
 
     def draw(batches):
         for part in batches:
@@ -294,7 +295,7 @@ def worst_boards(t):
 # Files with one to three pages each: a line of text, letters of a diagram font by their codes, a square by its lines and a box; streams stored or
 # deflated by turns.
 def _pdf_files(t) -> tuple:
-    rows = t("supplier").selectExpr("s_suppkey AS p")
+    rows = dealt(t("supplier").select("s_suppkey")).selectExpr("s_suppkey AS p")
 
     def write(batches):
         for part in batches:
