@@ -38,3 +38,18 @@ def test_masks_of_pictures_with_and_without_boards(spark):
     found = {r["id"]: r["mask"] for r in layout.masks(spark.createDataFrame(rows, "id string, height int, width int, pixels binary").coalesce(1)).collect()}
     assert [found[str(i)] is None for i in range(7)] == [i % 3 == 0 for i in range(7)]
     assert all([s for s, v in m.items() if v == "occupied"] == ["a8"] and len(m) == 64 for m in found.values() if m)
+
+
+@pytest.mark.parametrize("name", ["unreadable_games", "export_games"])
+def test_texts_of_games_are_not_worked_out_again_and_again(spark, name):
+    """The plan of a game's text is of some size, not of all the ways in which its parts stand in one another."""
+    assert len(plan(QUERIES[name](spark, SF))) < 200_000
+
+
+def test_equal_rows_are_worked_out_once():
+    from boardframe.kernel import columns
+
+    row = ("7k/8/8/8/8/8/8/R6K", "w", "1.Rb2 Kg7 2.Ra1")
+    before = columns._repair.cache_info().hits
+    assert columns._repair(*row) == columns._repair(*row)
+    assert columns._repair.cache_info().hits > before
