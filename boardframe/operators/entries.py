@@ -5,9 +5,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +40,19 @@ def headers(body: DataFrame, first: int = 1) -> DataFrame:
     number = F.regexp_extract("plain", r"^(\d+)\.\s+.+", 1).try_cast("long")
     able = body.where(F.col("first_bold")).select("doc", "page", "line", number.alias("number")).where("number IS NOT NULL")
 
-    def accept(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, want, keep = rows.sort_values(["page", "line"]), first, []
-        for n in rows["number"]:
-            keep.append(n == want)
-            want += n == want
-        return rows[keep]
-
-    return able.groupBy("doc").applyInPandas(accept, able.schema)
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, want = [], first
+        for batch in batches:
+            keep = []
+            for doc, n in zip(batch.column("doc").to_pylist(), batch.column("number").to_pylist(), strict=True):
+                if [doc] != own:
+                    own, want = [doc], first
+                keep.append(n == want)
+                want += n == want
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    # A task reads its documents one behind the other, so their number costs nothing and none is held.
+    return able.repartition("doc").sortWithinPartitions("doc", "page", "line").mapInArrow(accept, able.schema)
 
 
 def entries(spans: DataFrame, *, first: int = 1, **options) -> DataFrame:

@@ -53,3 +53,14 @@ def test_equal_rows_are_worked_out_once():
     before = columns._repair.cache_info().hits
     assert columns._repair(*row) == columns._repair(*row)
     assert columns._repair.cache_info().hits > before
+
+
+def test_headers_of_documents_are_found_in_order(spark):
+    """In one pass over sorted rows, not a call for each document; also where the document's name is null."""
+    from boardframe.operators import entries
+
+    spans = [(doc, page, 0, 0, "Bold", 9, f"{n}. A – B") for doc in ("a", None, "b") for page, n in enumerate([2, 1, 3, 2, 2, 3])]
+    frame = spark.createDataFrame(spans, "doc string, page int, line int, seq int, font string, size int, text string")
+    found = entries.headers(entries.lines(frame))
+    assert sorted(((r["doc"] or "", r["page"], r["number"]) for r in found.collect())) == [(d, p, n) for d in ("", "a", "b") for p, n in ((1, 1), (3, 2), (5, 3))]
+    assert "FlatMapGroups" not in plan(found)
