@@ -64,3 +64,23 @@ def test_headers_of_documents_are_found_in_order(spark):
     found = entries.headers(entries.lines(frame))
     assert sorted(((r["doc"] or "", r["page"], r["number"]) for r in found.collect())) == [(d, p, n) for d in ("", "a", "b") for p, n in ((1, 1), (3, 2), (5, 3))]
     assert "FlatMapGroups" not in plan(found)
+
+
+def test_files_of_a_shelf_are_listed_by_tasks(spark, tmp_path):
+    """No list of files is in the plan, and names are as Spark's own reader gives them."""
+    from boardframe.sources import files, readers
+
+    for book in ("b 1", "b2", "c3"):
+        folder = tmp_path / "shelf" / book / "problem_jsons"
+        folder.mkdir(parents=True)
+        for name in ("1#.json", "2 ü+.json", "_no.json", ".no.json", "3.txt", "%41.json"):
+            (folder / name).write_text('{"id": "' + name[0] + '", "fen": "ä"}')
+    pattern = f"{tmp_path}/shelf/b*"
+    own = files.below(spark, pattern, "problem_jsons", ".json")
+    plain = spark.read.option("wholetext", True).text(f"{pattern}/problem_jsons/*.json").selectExpr("_metadata.file_path AS file", "value")
+    rows = sorted((r["file"], r["value"]) for r in own.collect())
+    assert rows == sorted((r["file"], r["value"]) for r in plain.collect()) and len(rows) == 6
+    found = readers.problems(spark, pattern)
+    assert sorted((r["book"], r["id"]) for r in found.collect()) == [(b, i) for b in ("b 1", "b2") for i in ("%", "1", "2")]
+    assert not found.inputFiles()
+    assert readers.problems(spark, f"{tmp_path}/none/*").isEmpty() and readers.images(spark, pattern).isEmpty()
