@@ -84,3 +84,18 @@ def test_files_of_a_shelf_are_listed_by_tasks(spark, tmp_path):
     assert sorted((r["book"], r["id"]) for r in found.collect()) == [(b, i) for b in ("b 1", "b2") for i in ("%", "1", "2")]
     assert not found.inputFiles()
     assert readers.problems(spark, f"{tmp_path}/none/*").isEmpty() and readers.images(spark, pattern).isEmpty()
+
+
+def test_many_long_ranges_do_not_meet_every_number(spark, monkeypatch):
+    """Each number meets the ranges that end in its part, and one for all that cover it; the rows are those of brute force."""
+    import random
+
+    from boardframe.operators import overlay
+
+    monkeypatch.setattr(overlay, "SPAN", 7)
+    draw = random.Random(2)
+    ranges = [(low := draw.randint(-50, 300), low + draw.choice([-1, 0, 3, 20, 400, 10**12]), f"n{i}", i) for i in range(80)]
+    numbers = [draw.randint(-80, 400) for _ in range(150)] + [None, 10**11, 10**13]
+    found = overlay.in_ranges(spark.createDataFrame([(n,) for n in numbers], "x long"), spark.createDataFrame(ranges, "low long, high long, name string, place int"), "x")
+    held = {n: min(((place, name) for low, high, name, place in ranges if low <= n <= high), default=None) for n in numbers if n is not None}
+    assert sorted((r["x"], r["name"]) for r in found.collect()) == sorted((n, held[n][1]) for n in numbers if n is not None and held[n])
