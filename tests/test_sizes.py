@@ -99,3 +99,15 @@ def test_many_long_ranges_do_not_meet_every_number(spark, monkeypatch):
     found = overlay.in_ranges(spark.createDataFrame([(n,) for n in numbers], "x long"), spark.createDataFrame(ranges, "low long, high long, name string, place int"), "x")
     held = {n: min(((place, name) for low, high, name, place in ranges if low <= n <= high), default=None) for n in numbers if n is not None}
     assert sorted((r["x"], r["name"]) for r in found.collect()) == sorted((n, held[n][1]) for n in numbers if n is not None and held[n])
+
+
+def test_small_files_share_tasks(spark):
+    """The tasks that read pages grow with the bytes of files, not with their number; a large file is still cut."""
+    from boardframe.sources import pages
+
+    small = [(f"{i:06}.pdf", 2000) for i in range(100_000)]
+    parts = pages.dealt(small)
+    assert len(parts) <= sum(size + pages.OPENED for _, size in small) / pages.SLICE * 1.1 + 1
+    assert [one for p in parts for one in p.held] == [(path, 0, 1) for path, _ in small]
+    assert 8 <= len(pages.dealt(small[:1000])) <= 100 and pages.dealt([]) == []
+    assert [p.held for p in pages.dealt([("a", 3 * pages.SLICE), ("b", 9)])] == [[("a", 0, 3)], [("a", 1, 3)], [("a", 2, 3)], [("b", 0, 1)]]
