@@ -339,7 +339,4 @@ SELECT CAST(s_suppkey AS STRING) AS book, CAST(k AS INTEGER) AS page, CAST(x AS
 FROM supplier, range(0, 3) r(k), LATERAL (VALUES (100, 680, 20, 20, 4), (30 + k, 700, 50, 60, 1)) d(x, y, w, h, n) WHERE k <= s_suppkey % 3""")
 def pdf_drawings(t):
     """Drawings of all pages, and which of them are anchors."""
-    found = _pdf(t, "drawings")
-    anchor = layout.anchors(found, LAYOUT).select("book", "page", F.lit(True).alias("anchor"), F.col("x0").alias("ax"))
-    rows = found.join(anchor, ["book", "page"], "left")
-    return rows.select("book", "page", "x0", "y0", "x1", "y1", "items", (F.col("x0") == F.col("ax")).alias("anchor"))
+    return _pdf(t, "drawings").select("book", "page", "x0", "y0", "x1", "y1", "items", layout.is_anchor(LAYOUT).alias("anchor"))

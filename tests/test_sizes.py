@@ -111,3 +111,9 @@ def test_small_files_share_tasks(spark):
     assert [one for p in parts for one in p.held] == [(path, 0, 1) for path, _ in small]
     assert 8 <= len(pages.dealt(small[:1000])) <= 100 and pages.dealt([]) == []
     assert [p.held for p in pages.dealt([("a", 3 * pages.SLICE), ("b", 9)])] == [[("a", 0, 3)], [("a", 1, 3)], [("a", 2, 3)], [("b", 0, 1)]]
+
+
+def test_drawings_are_read_once(spark):
+    """Which of them are anchors is seen from each, without a second reading of all files."""
+    found = QUERIES["pdf_drawings"](spark, SF)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
