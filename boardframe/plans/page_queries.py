@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boardframe.functions import boards
 from boardframe.operators import entries, export, layout, overlay, review, sequences, state
 from boardframe.plans.catalogue import query
-from boardframe.plans.generated import PUZZLES, dealt, digit, made, named, oracle
+from boardframe.plans.generated import PUZZLES, dealt, digit, few, made, named, oracle
 from boardframe.sources import files
 from boardframe.sources.pages import PdfPages
 
@@ -194,7 +194,7 @@ def _pictures(t):
     rows = made(t, named(PUZZLES, select="SELECT id, fen, CAST(f2 AS INT) AS f, CAST(r2 AS INT) AS r, d7 FROM puzzles"))
 
     def draw(batches):
-        for part in batches:
+        for part in few(batches):
             out = []
             for fen, f, r, d in zip(part["fen"], part["f"], part["r"], part["d7"], strict=True):
                 image = np.full((180, 180), 255, np.uint8)
@@ -240,7 +240,7 @@ def _scans(t):
     rows = dealt(t("supplier").select("s_suppkey")).selectExpr("s_suppkey AS page", "CAST(s_suppkey % 3 AS INT) AS n", "s_suppkey % 5 = 0 AS broken", "s_suppkey % 7 = 0 AS bare")
 
     def draw(batches):
-        for part in batches:
+        for part in few(batches):
             out = []
             for n, broken, bare in zip(part["n"], part["broken"], part["bare"], strict=True):
                 image = np.full((240, 160), 255, np.uint8)
@@ -298,7 +298,7 @@ def _pdf_files(t) -> tuple:
     rows = dealt(t("supplier").select("s_suppkey")).selectExpr("s_suppkey AS p")
 
     def write(batches):
-        for part in batches:
+        for part in few(batches):
             paths, bodies = [], []
             for p in part["p"]:
                 pages = int(p) % 3 + 1

@@ -117,3 +117,37 @@ def test_drawings_are_read_once(spark):
     """Which of them are anchors is seen from each, without a second reading of all files."""
     found = QUERIES["pdf_drawings"](spark, SF)
     assert found._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+
+
+def test_workers_hold_few_pictures():
+    """However many rows a batch has, few are drawn before they are sent on."""
+    import pandas as pd
+
+    from boardframe.plans.generated import few
+
+    parts = list(few(iter([pd.DataFrame({"k": range(1000)}), pd.DataFrame({"k": []}), pd.DataFrame({"k": [7]})])))
+    assert max(map(len, parts)) <= 64 and [k for p in parts for k in p["k"]] == [*range(1000), 7]
+
+
+def test_stretches_of_many_pages_in_parts(spark, monkeypatch):
+    """The same as pixel by pixel, whatever a worker holds; stretches do not go on from row to row, nor from half to half."""
+    monkeypatch.setattr(layout, "SENT", 40)
+    dice = np.random.default_rng(5)
+    images = [(dice.random((int(dice.integers(1, 12)), int(dice.integers(2, 15)))) < 0.7).astype(np.uint8) * 200 for _ in range(40)]
+    want = set()
+    for page, image in enumerate(images):
+        tall, wide = image.shape
+        for half, (a, b) in enumerate(((0, wide // 2), (wide // 2, wide))):
+            lines = [(True, y, [(x, image[y, x]) for x in range(a, b)]) for y in range(tall)] + [(False, x, [(y, image[y, x]) for y in range(tall)]) for x in range(a, b)]
+            for across, line, dots in lines:
+                start = None
+                for at, ink in [*dots, (dots[-1][0] + 1 if dots else 0, 255)]:
+                    if ink < 128 and start is None:
+                        start = at
+                    elif ink >= 128 and start is not None:
+                        if at - start >= 3:
+                            want.add((page, half, across, line, start, at - start))
+                        start = None
+    rows = [(i, *image.shape, bytearray(image.tobytes())) for i, image in enumerate(images)]
+    found = layout.pixel_runs(spark.createDataFrame(rows, "page long, height int, width int, pixels binary").coalesce(1), least=3).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
